@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from metriloom.plans import anomaly, store  # noqa: F401
+from metriloom.plans import align, anomaly, features, store, telemetry  # noqa: F401
