@@ -221,6 +221,8 @@ def with_views(names: str, body: str) -> str:
     """Prefix ``body`` with the named views as common table expressions."""
     views = ",\n".join(f"{n} AS ({_PLAIN[n]})" for n in names.split())
     body = body.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
