@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from metriloom.functions.quantities import millicores
 from metriloom.functions.time import MICROS, micros
@@ -90,59 +89,61 @@ def _hops(times: np.ndarray, cooldown: int) -> np.ndarray:
     return np.searchsorted(times, times + cooldown, side="left")
 
 
-def _chunk_exits(keys: list[str], cooldown: int, chunk: int):
-    """Per (series, chunk): which last accepted time follows from each possible first one."""
+def _chunk_exits(cooldown: int, chunk: int):
+    """Per chunk: which last accepted time follows from each possible first one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["us"].to_numpy())
+    def one(number: int, times: np.ndarray) -> tuple[list, list]:
         n, hop = len(times), _hops(times, cooldown)
         exits = times.copy()
         for i in range(n - 1, -1, -1):
             if hop[i] < n:
                 exits[i] = exits[hop[i]]
         # an earlier chunk can block at most the first cooldown of this one
-        start = int(pdf["chunk"].iloc[0]) * chunk
-        firsts = min(n, int(np.searchsorted(times, start + cooldown, side="left")) + 1)
-        last_of_run = np.append(exits[1:firsts] != exits[: firsts - 1], True)
-        picked = np.flatnonzero(last_of_run)
-        row = pdf.iloc[:1][[*keys, "chunk"]].copy()
-        row["firsts"] = [times[picked].tolist()]
-        row["exits"] = [exits[picked].tolist()]
-        return row
+        firsts = min(n, int(np.searchsorted(times, number * chunk + cooldown, side="left")) + 1)
+        picked = np.flatnonzero(np.append(exits[1:firsts] != exits[: firsts - 1], True))
+        return times[picked].tolist(), exits[picked].tolist()
+
+    @F.pandas_udf("firsts array<bigint>, exits array<bigint>")
+    def run(number: pd.Series, times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(c, np.asarray(t)) for c, t in zip(number, times)], columns=["firsts", "exits"])
 
     return run
 
 
-def _chunk_entries(keys: list[str], cooldown: int):
+def _chunk_entries(cooldown: int):
     """Per series: walk the chunks in order and note the last accepted time before each."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        last, entries = None, []
-        for firsts, exits in zip(pdf["firsts"], pdf["exits"]):
-            entries.append(last)
-            j = 0 if last is None else int(np.searchsorted(firsts, last + cooldown, side="left"))
-            if j < len(firsts):
-                last = int(exits[j])
-        out = pdf[[*keys, "chunk"]].copy()
-        out["entry"] = pd.array(entries, dtype="Int64")
-        return out
+    @F.pandas_udf("array<struct<chunk: bigint, entry: bigint>>")
+    def run(chunks: pd.Series) -> pd.Series:
+        out = []
+        for series in chunks:
+            last, entries = None, []
+            for c in series:
+                entries.append({"chunk": c["chunk"], "entry": last})
+                j = 0 if last is None else int(np.searchsorted(c["firsts"], last + cooldown, side="left"))
+                if j < len(c["firsts"]):
+                    last = int(c["exits"][j])
+            out.append(entries)
+        return pd.Series(out)
 
     return run
 
 
-def _mark_chunk(cooldown: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        times = pdf["us"].to_numpy()
-        hop, entry = _hops(times, cooldown), pdf["entry"].iloc[0]
-        i = 0 if pd.isna(entry) else int(np.searchsorted(times, int(entry) + cooldown, side="left"))
-        accepted = np.zeros(len(times), dtype=bool)
-        while i < len(times):
-            accepted[i] = True
-            i = int(hop[i])
-        pdf["accepted"] = accepted
-        return pdf.drop(columns=["entry"])
+def _accepted_times(cooldown: int):
+    """Per chunk: the accepted times, given the last accepted time before it."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(times: pd.Series, entry: pd.Series) -> pd.Series:
+        out = []
+        for t, last in zip(times, entry):
+            t = np.asarray(t)
+            hop, picked = _hops(t, cooldown), []
+            i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + cooldown, side="left"))
+            while i < len(t):
+                picked.append(int(t[i]))
+                i = int(hop[i])
+            out.append(picked)
+        return pd.Series(out)
 
     return run
 
@@ -162,20 +163,17 @@ def cooldown(
     if cooldown_seconds > chunk_seconds:
         raise ValueError("a chunk must be at least one cooldown long")
     c, size = cooldown_seconds * MICROS, chunk_seconds * MICROS
-    times = requests.groupBy(*keys, micros(ts).alias("us"), chunk_number(ts, chunk_seconds).alias("chunk")).agg(F.min(tie).alias("winner"))
-    key_fields = [requests.schema[k] for k in keys]
-    chunk_field = T.StructField("chunk", T.LongType())
-    longs = T.ArrayType(T.LongType())
-    exits_schema = T.StructType([*key_fields, chunk_field, T.StructField("firsts", longs), T.StructField("exits", longs)])
-    entry_schema = T.StructType([*key_fields, chunk_field, T.StructField("entry", T.LongType())])
-    marked_schema = T.StructType([*times.schema.fields, T.StructField("accepted", T.BooleanType())])
-
-    exits = times.groupBy(*keys, "chunk").applyInPandas(_chunk_exits(keys, c, size), exits_schema)
-    entries = exits.groupBy(*keys).applyInPandas(_chunk_entries(keys, c), entry_schema)
-    entered = times.join(entries, [*keys, "chunk"])
-    marked = entered.groupBy(*keys, "chunk").applyInPandas(_mark_chunk(c), marked_schema)
-    won = marked.where("accepted").select(*keys, F.col("us").alias("_us"), F.col("winner").alias(tie), F.lit(True).alias("_won"))
-    out = requests.withColumn("_us", micros(ts)).join(won, [*keys, "_us", tie], "left").drop("_us")
+    distinct = requests.select(*keys, chunk_number(ts, chunk_seconds).alias("chunk"), micros(ts).alias("us")).distinct()
+    times = distinct.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("us")).alias("times"))  # one chunk long
+    exits = times.select(*keys, "chunk", _chunk_exits(c, size)("chunk", "times").alias("x"))
+    walk = F.array_sort(F.collect_list(F.struct("chunk", "x.firsts", "x.exits")))  # a few values per chunk
+    entries = exits.groupBy(*keys).agg(walk.alias("w")).select(*keys, F.inline(_chunk_entries(c)("w")))
+    entry = F.col("entry").cast("double")  # below 2**53, so exact; NULL arrives as NaN
+    won = times.join(entries, [*keys, "chunk"]).select(*keys, F.explode(_accepted_times(c)("times", entry)).alias("_us"))
+    # of requests at one accepted time only the earliest arrival wins
+    placed = requests.withColumn("_us", micros(ts))
+    hits = placed.join(won, [*keys, "_us"], "left_semi").groupBy(*keys, "_us").agg(F.min(tie).alias(tie)).withColumn("_won", F.lit(True))
+    out = placed.join(hits, [*keys, "_us", tie], "left").drop("_us")
     return out.withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
 
 
