@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from metriloom.plans import align, anomaly, cost, features, forecast, recommend, store, telemetry  # noqa: F401
+from metriloom.plans import align, anomaly, cost, features, forecast, models, recommend, sources, store, telemetry  # noqa: F401
