@@ -187,7 +187,7 @@ def efficiency_counts(eff: DataFrame) -> DataFrame:
 
 def scaling_event_savings(
     events: DataFrame, *, cpu_per_replica: float | Column, memory_per_replica: float | Column, ts: str = "timestamp", tie: str = "seq",
-    chunk_seconds: int = 30 * 86400,
+    chunk_seconds: int = 86400,
 ) -> DataFrame:
     """Cost before and after each scaling event; only scaling down saves.
 

@@ -158,20 +158,26 @@ def online_baseline(
     newest = newest_per_key(df, keys, [F.desc(ts), F.desc(tie)], 2 * window, "_rank")
     now, before = F.col("_rank") <= window, F.col("_rank") > window
     facts = newest.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.max_by(value, -F.col("_rank")).alias("_last"),
-        F.avg(F.when(now, F.col(value))).alias("_ma"),
-        F.avg(F.when(before, F.col(value))).alias("_prev"),
-        F.stddev_pop(F.when(now, F.col(value))).alias("_std"),
+        F.count("*").alias("n"),
+        F.max_by(value, -F.col("_rank")).alias("last"),
+        F.avg(F.when(now, F.col(value))).alias("ma"),
+        F.avg(F.when(before, F.col(value))).alias("prev"),
+        F.stddev_pop(F.when(now, F.col(value))).alias("std"),
     )
     if wanted is not None:
         facts = wanted.join(facts, list(keys), "left")
-    facts = facts.withColumn("_n", F.coalesce("_n", F.lit(0)))
-    short = F.col("_n") < window
-    trend = F.when(F.col("_n") >= 2 * window, (F.col("_ma") - F.col("_prev")) / window).otherwise(0.0)
-    moving = F.greatest(F.lit(0.0), F.col("_ma") + trend * F.col("step"))
-    margin = z_of(confidence) * F.col("_std")
-    out = steps(facts, periods).withColumn("value", F.when(short, F.coalesce("_last", F.lit(0.0))).otherwise(moving))
+    return online_values(facts, periods, keys=keys, window=window, confidence=confidence)
+
+
+def online_values(facts: DataFrame, periods: int, *, keys: Sequence[str], window: int = 12, confidence: float = 0.95) -> DataFrame:
+    """Forecast rows from per-series facts: row count, last value, mean and deviation of the newest
+    window (``ma``, ``std``) and mean of the one before (``prev``)."""
+    n = F.coalesce("n", F.lit(0))
+    short = n < window
+    trend = F.when(n >= 2 * window, (F.col("ma") - F.col("prev")) / window).otherwise(0.0)
+    moving = F.greatest(F.lit(0.0), F.col("ma") + trend * F.col("step"))
+    margin = z_of(confidence) * F.col("std")
+    out = steps(facts, periods).withColumn("value", F.when(short, F.coalesce("last", F.lit(0.0))).otherwise(moving))
     return out.select(
         *keys,
         "step",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from metriloom.functions.quantities import millicores
 from metriloom.functions.time import MICROS, micros
-from metriloom.operators.scale import DAY, chunk_number
+from metriloom.operators.scale import chunk_number
 
 SCALE_OUT_ABOVE, SCALE_IN_BELOW = 0.85, 0.3
 MAX_REPLICAS, MIN_REPLICAS = 100, 1
@@ -150,7 +150,7 @@ def _accepted_times(cooldown: int):
 
 def cooldown(
     requests: DataFrame, *, keys: Sequence[str] = ("namespace", "workload"), ts: str = "timestamp", tie: str = "seq", cooldown_seconds: int = 300,
-    chunk_seconds: int = DAY,
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Mark each request accepted or not: accepted when the last accepted one is a cooldown ago.
 
@@ -160,6 +160,7 @@ def cooldown(
     its own requests. Requests at the same time are one step (the earliest by ``tie`` can win).
     """
     keys = list(keys)
+    chunk_seconds = chunk_seconds or max(3600, cooldown_seconds)
     if cooldown_seconds > chunk_seconds:
         raise ValueError("a chunk must be at least one cooldown long")
     c, size = cooldown_seconds * MICROS, chunk_seconds * MICROS

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from metriloom.functions.time import MICROS, col, micros
 
 DAY = 86_400
+#: length of a time chunk. One small row per (series, chunk) moves between chunks, so a short chunk is
+#: cheap; with 15 minutes a series holding a third of a 30-day table is spread over 2880 groups.
+CHUNK = 900
 #: rows up to which an aggregated side is broadcast; beyond it the join shuffles and AQE splits skew
 BROADCAST_ROWS = 500_000
 
@@ -44,7 +47,7 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.join(F.broadcast(one_row), F.lit(True), "inner")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "row_index", chunk_seconds: int = DAY) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "row_index", chunk_seconds: int = CHUNK) -> DataFrame:
     """1-based position of each row in its series by (ts, tie), plus ``series_rows``.
 
     Counts per (series, chunk) give the offset of each chunk; only inside a chunk are rows sorted.
@@ -69,7 +72,7 @@ def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "
     )
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns: dict[str, str], chunk_seconds: int = DAY) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns: dict[str, str], chunk_seconds: int = CHUNK) -> DataFrame:
     """Add the previous row's value of each column (``columns``: source -> new name).
 
     Inside a chunk this is ``lag``; the first row of a chunk takes the last row of the newest
@@ -117,10 +120,19 @@ def newest_rows(df: DataFrame, ts: str, tie: str, n: int, bucket_seconds: int =
     return inside.unionByName(rest)
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """Top ``n`` rows per key; Catalyst limits each partition to ``n`` per key before the shuffle."""
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", spread: int = 32) -> DataFrame:
+    """Top ``n`` rows per key; Catalyst limits each partition to ``n`` per key before the shuffle.
+
+    A large ``n`` is first taken per (key, hash of the row) so that a key present in every partition
+    does not send n rows from each of them to one task; the second step then sees ``spread * n`` rows.
+    """
+    rows = df
+    if n >= 256:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys and dict(df.dtypes)[c][:3] != "map"]), F.lit(spread))
+        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = df.withColumn("_salt", salt).withColumn("_rk", F.row_number().over(first)).where(F.col("_rk") <= n).drop("_rk", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
 def exact_percentile(df: DataFrame, column: str, q: float, bins: int = 2_000, finish_rows: int = 50_000) -> float | None:

@@ -118,45 +118,60 @@ def after_last_delete(events: DataFrame, keys: Sequence[str], ts: str, tie: str)
     return kept.where(F.col("_deleted").isNull() | (F.struct(ts, tie) > F.col("_deleted"))).drop("_deleted")
 
 
-def agent_registry(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq", with_deletes: bool = False) -> DataFrame:
-    """Fold register, heartbeat and config events into the current agents.
+FOLDED = ("hostname", "agent_version", "metrics_count", "metrics", "paused", "collection_interval")
+
 
-    One aggregate per agent, no sort: the newest matching event counts only if it is newer than the
-    agent's first register, which is the same as dropping everything before that register. Register
-    events set host and version, the first one also the deployment; empty metrics never overwrite.
+def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq") -> DataFrame:
+    """One row per agent: for each field the newest event that sets it, as struct (at, value).
+
+    Register events set host and version, the first one also the deployment; heartbeats set the count
+    and, where not empty, the metrics; config events set what is not NULL. Two such tables can be
+    merged again by the same maxima, see :func:`merge_partials`.
     """
-    if with_deletes:
-        events = after_last_delete(events, ["agent_id"], ts, tie)
-    at = F.struct(F.col(ts), F.col(tie))
+    at = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("seq"))
     kind = F.col("kind")
     register, beat, config = kind == "register", kind == "heartbeat", kind == "config"
 
     def newest(name: str, when: Column) -> Column:
-        return F.max_by(F.when(when, F.struct(at.alias("at"), F.col(name).alias("v"))), F.when(when, at)).alias(f"_{name}")
+        return F.max(F.when(when, F.struct(at.alias("at"), F.col(name).alias("v")))).alias(name)
 
-    folded = events.groupBy("agent_id").agg(
-        F.min(F.when(register, at)).alias("_first"),
-        F.min_by(F.when(register, F.col("deployment_id")), F.when(register, at)).alias("deployment_id"),
+    return events.groupBy("agent_id").agg(
+        F.min(F.when(register, F.struct(at.alias("at"), F.col("deployment_id").alias("v")))).alias("first"),
+        F.max(F.when(register | beat, at)).alias("seen"),
         newest("hostname", register),
         newest("agent_version", register),
         newest("metrics_count", beat),
         newest("metrics", register | (beat & (F.col("metrics") != ""))),
         newest("paused", config & F.col("paused").isNotNull()),
         newest("collection_interval", config & F.col("collection_interval").isNotNull()),
-        F.max(F.when(register | beat, at)).alias("_seen"),
     )
 
+
+def merge_partials(*parts: DataFrame) -> DataFrame:
+    """Fold partial registries of consecutive batches into one."""
+    union = parts[0]
+    for p in parts[1:]:
+        union = union.unionByName(p)
+    return union.groupBy("agent_id").agg(
+        F.min("first").alias("first"), F.max("seen").alias("seen"), *[F.max(c).alias(c) for c in FOLDED]
+    )
+
+
+def registry_view(partials: DataFrame) -> DataFrame:
+    """The current agents. A field set before the agent's first register does not count, and an agent
+    that never registered is not shown."""
+
     def value(name: str, default=None) -> Column:
-        kept = F.when(F.col(f"_{name}.at") >= F.col("_first"), F.col(f"_{name}.v"))
+        kept = F.when(F.col(f"{name}.at") >= F.col("first.at"), F.col(f"{name}.v"))
         return (kept if default is None else F.coalesce(kept, F.lit(default))).alias(name)
 
-    return folded.where(F.col("_first").isNotNull()).select(
+    return partials.where(F.col("first").isNotNull()).select(
         "agent_id",
-        "deployment_id",
+        F.col("first.v").alias("deployment_id"),
         value("hostname"),
         value("agent_version"),
-        F.col(f"_first.{ts}").alias("registered_at"),
-        F.col(f"_seen.{ts}").alias("last_seen"),
+        F.col("first.at.ts").alias("registered_at"),
+        F.col("seen.ts").alias("last_seen"),
         value("metrics_count", 0),
         value("metrics"),
         value("paused", False),
@@ -164,6 +179,13 @@ def agent_registry(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq"
     )
 
 
+def agent_registry(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq", with_deletes: bool = False) -> DataFrame:
+    """Fold register, heartbeat and config events into the current agents: one aggregate, no sort."""
+    if with_deletes:
+        events = after_last_delete(events, ["agent_id"], ts, tie)
+    return registry_view(registry_partials(events, ts=ts, tie=tie))
+
+
 def registry_from_ingest(payloads: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """One registration per payload, from the labels of its first sample.
 
