@@ -13,21 +13,15 @@ from metriloom.functions.time import col
 GIGABYTES = {"Ki": 1 / (1024.0 * 1024.0), "Mi": 1 / 1024.0, "Gi": 1.0, "Ti": 1024.0}
 BYTES = {"Ki": 1024.0, "Mi": 1024.0**2, "Gi": 1024.0**3, "K": 1000.0, "M": 1000.0**2, "G": 1000.0**3}
 
-NUMBER_AND_UNIT = r"^\s*([0-9.eE+-]*?)(Ki|Mi|Gi|Ti|K|M|G|m)?\s*$"
-
-
-def _number(text: Column) -> Column:
-    return F.regexp_extract(text, NUMBER_AND_UNIT, 1).try_cast("double")
-
-
-def _unit(text: Column) -> Column:
-    return F.regexp_extract(text, NUMBER_AND_UNIT, 2)
-
 
 def _scaled(text: Column, factors: Mapping[str, float]) -> Column:
-    entries = F.create_map(*[F.lit(x) for kv in factors.items() for x in kv])
-    factor = F.when(_unit(text) == "", 1.0).otherwise(F.try_element_at(entries, _unit(text)))
-    return _number(text) * factor
+    """Number before a known suffix times its factor, or the plain number; NULL for anything else."""
+    t = F.trim(text)
+    out = t.try_cast("double")
+    for suffix, factor in factors.items():
+        head = F.substring(t, F.lit(1), F.length(t) - len(suffix))
+        out = F.when(F.endswith(t, F.lit(suffix)), head.try_cast("double") * factor).otherwise(out)
+    return out
 
 
 def cost_quantity(text: str | Column) -> Column:
@@ -38,7 +32,7 @@ def cost_quantity(text: str | Column) -> Column:
 def millicores(text: str | Column) -> Column:
     """Millicores; bad text is NULL."""
     t = col(text)
-    return F.when(_unit(t) == "m", _number(t)).when(_unit(t) == "", _number(t) * 1000)
+    return F.when(F.endswith(t, F.lit("m")), _scaled(t, {"m": 1.0})).otherwise(t.try_cast("double") * 1000)
 
 
 def memory_bytes(text: str | Column) -> Column:

@@ -53,6 +53,12 @@ def _epoch(seconds: Column) -> Column:
     return F.timestamp_micros(F.round(seconds.try_cast("double") * 1000000).cast("bigint"))
 
 
+def _present(value: Column) -> Column:
+    """``explode`` argument that keeps a row once if the value is there. A generator is not pushed below
+    or merged into the parse, so the payload is parsed once; a filter on it would parse it again."""
+    return F.filter(F.array(value), lambda v: v.isNotNull())
+
+
 def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "received_at", keep: Sequence[str] = (), source: str = "agent") -> tuple[DataFrame, DataFrame]:
     """Samples of posted envelopes, and the rejects.
 
@@ -62,7 +68,8 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
     """
     parsed = df.withColumn("_e", F.from_json(body, ENVELOPE))
     no_list = F.col("_e.metrics").isNull()
-    opened = parsed.where(~no_list).select(*keep, received, F.col("_e.agent_version").alias("agent_version"), F.explode("_e.metrics").alias("m"))
+    opened = parsed.select(  # no row where there is no list
+        *keep, received, F.col("_e.agent_version").alias("agent_version"), F.explode("_e.metrics").alias("m"))
     number = F.col("m.value").try_cast("double")
     bad = F.col("m.value").isNotNull() & number.isNull()
     samples = opened.where(~bad).select(
@@ -82,9 +89,8 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
 
 def envelopes(df: DataFrame, *, body: str = "body") -> DataFrame:
     """Envelopes with their samples still nested, for :func:`metriloom.operators.store.registry_from_ingest`."""
-    return df.withColumn("_e", F.from_json(body, ENVELOPE)).where(F.col("_e.metrics").isNotNull()).select(
-        *[c for c in df.columns if c != body], "_e.metrics", "_e.agent_version"
-    )
+    with_list = F.filter(F.array(F.from_json(body, ENVELOPE)), lambda e: e["metrics"].isNotNull())
+    return df.select(*[c for c in df.columns if c != body], F.inline(with_list)).drop("sent_at")
 
 
 def _prometheus(df: DataFrame, body: str, query: str, keep: Sequence[str], point) -> DataFrame:
@@ -121,7 +127,7 @@ def normalize_cloudwatch(
         lambda d: F.struct(d["Timestamp"].try_cast("timestamp").alias("at"), F.coalesce(d["Average"], F.lit(0.0)).alias("v")),
     )
     newest = F.array_max(F.filter(points, lambda p: p["at"].isNotNull()))
-    rows = df.select("*", newest.alias("_p"), cut.alias("_ns"), metric.alias("_metric")).where("_p IS NOT NULL AND _ns <> ''")
+    rows = df.select("*", cut.alias("_ns"), metric.alias("_metric")).where("_ns <> ''").select("*", F.explode(_present(newest)).alias("_p"))
     given = F.map_filter(F.str_to_map(dims, F.lit(","), F.lit("=")), lambda k, v: v.isNotNull())
     labels = with_labels(given, literal_map(dimensions)) if dimensions else given
     labels = with_labels(labels, F.create_map(F.lit("namespace"), F.col("_ns")))
@@ -142,7 +148,7 @@ def normalize_cloud_monitoring(
         return F.struct(p["interval"]["endTime"].try_cast("timestamp").alias("at"), number.alias("v"))
 
     points = F.filter(F.transform("s.points", point), lambda p: p["at"].isNotNull())
-    rows = rows.withColumn("_p", F.array_max(points)).where("_p IS NOT NULL") if newest_only else rows.withColumn("_p", F.explode(points))
+    rows = rows.withColumn("_p", F.explode(_present(F.array_max(points)) if newest_only else points))
     empty = F.create_map().cast(EMPTY)
     prefixed = F.transform_keys(F.coalesce("s.resource.labels", empty), lambda k, _: F.concat(F.lit("resource_"), k))
     labels = with_labels(F.coalesce("s.metric.labels", empty), prefixed)
@@ -158,7 +164,8 @@ def normalize_azure_monitor(df: DataFrame, *, body: str = "body", keep: Sequence
     metrics = df.select(*keep, F.explode(F.from_json(body, AZURE)["value"]).alias("m"))
     rows = metrics.select(*keep, F.col("m.name.value").alias("_name"), F.explode("m.timeseries").alias("t"))
     points = F.transform("t.data", lambda d: F.struct(d["timeStamp"].try_cast("timestamp").alias("at"), d["average"].alias("v")))
-    rows = rows.withColumn("_p", F.array_max(F.filter(points, lambda p: p["v"].isNotNull() & p["at"].isNotNull()))).where("_p IS NOT NULL")
+    newest = F.array_max(F.filter(points, lambda p: p["v"].isNotNull() & p["at"].isNotNull()))
+    rows = rows.withColumn("_p", F.explode(_present(newest)))
     labels = F.map_from_entries(F.transform("t.metadatavalues", lambda v: F.struct(v["name"]["value"], v["value"])))
     words = F.replace(F.replace(snake_case("_name", every_capital), F.lit(" "), F.lit("_")), F.lit("%"), F.lit("pct"))
     return _samples(rows, words, F.col("_p.v"), F.col("_p.at"), labels, "azure_monitor", keep)
