@@ -53,7 +53,7 @@ def boosted_forecaster_train(
     One model is fitted over all series given; the fit is distributed over rows.
     """
     rows = lookback_features(df, value, keys=keys, lookback=lookback, ts=ts)
-    split = ordered_split(rows, keys=keys, ratio=0.8, ts=ts).dropna(subset=[*lookback_names(lookback), "target"])
+    split = ordered_split(rows, keys=keys, ratio=0.8, ts=ts, aligned=True).dropna(subset=[*lookback_names(lookback), "target"])
     split = written(split.select(*keys, ts, *lookback_names(lookback), "target", "is_train"), "lookback")
     model = _pipeline(lookback_names(lookback), "target", trees, depth, rate, seed).fit(split.where("is_train"))
     error = (F.col("target") - F.col("prediction")) ** 2

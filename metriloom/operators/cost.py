@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metriloom.functions.time import add_seconds, col
 from metriloom.operators.forecast import trend_word
 from metriloom.operators.scale import with_previous
-from metriloom.operators.store import as_of_column
+from metriloom.operators.store import cutoff
 from metriloom.schemas import HOURS_PER_DAY, HOURS_PER_MONTH, PLAN_DISCOUNTS, UNIT_PRICES
 
 OVERSIZED, UNDERSIZED = 0.3, 0.85
@@ -220,8 +220,7 @@ def scaling_event_savings(
 
 def in_period(events: DataFrame, period: str, *, as_of=None, namespace: str | None = None, ts: str = "timestamp") -> DataFrame:
     """Events not older than the period at ``as_of`` (inclusive)."""
-    cutoff = add_seconds(as_of_column(events, ts, as_of), -PERIOD_HOURS[period] * 3600)
-    rows = events.where(F.col(ts) >= cutoff)
+    rows = events.where(F.col(ts) >= cutoff(events, ts, as_of, PERIOD_HOURS[period] * 3600))
     return rows if namespace is None else rows.where(F.col("namespace") == namespace)
 
 

@@ -163,12 +163,19 @@ def lookback_names(lookback: int = 12) -> list[str]:
     ]
 
 
-def ordered_split(df: DataFrame, *, keys: Sequence[str], ratio: float | None = None, ts: str = "timestamp", tie: str | None = None) -> DataFrame:
-    """Mark the first part of each series as train (``is_train``).
+def ordered_split(
+    df: DataFrame, *, keys: Sequence[str], ratio: float | None = None, ts: str = "timestamp", tie: str | None = None, aligned: bool = False
+) -> DataFrame:
+    """Mark the first part of each series as train (``is_train``), with ``row_index`` and ``series_rows``.
 
-    Without a ratio it is 60 % for series under 50 rows and 80 % otherwise.
+    Without a ratio it is 60 % for series under 50 rows and 80 % otherwise. On ``aligned`` frames one
+    window per series does it; raw samples are numbered in time chunks.
     """
-    placed = numbered(df, keys, ts, tie or ts)
+    if aligned:
+        w = Window.partitionBy(*keys)
+        placed = df.withColumn("row_index", F.row_number().over(w.orderBy(ts))).withColumn("series_rows", F.count("*").over(w))
+    else:
+        placed = numbered(df, keys, ts, tie or ts)
     share = F.lit(ratio) if ratio is not None else F.when(F.col("series_rows") < 50, 0.6).otherwise(0.8)
     return placed.withColumn("is_train", F.col("row_index") <= F.floor(F.col("series_rows") * share))
 

@@ -130,7 +130,7 @@ def train_baseline(
 
     The window is ``largest_window`` or half the training rows, whichever is smaller.
     """
-    split = ordered_split(df.where(F.col(value).isNotNull()), keys=keys, ts=ts)
+    split = ordered_split(df.where(F.col(value).isNotNull()), keys=keys, ts=ts, aligned=True)
     sized = split.withColumn(
         "_train_rows", F.floor(F.col("series_rows") * F.when(F.col("series_rows") < 50, 0.6).otherwise(0.8))
     )

@@ -43,8 +43,12 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Add the columns of a global aggregate (always exactly one row) to every row."""
-    return df.join(F.broadcast(one_row), F.lit(True), "inner")
+    """Add the columns of a global aggregate (always exactly one row) to every row.
+
+    The row is one scalar subquery, so there is no join and ``df`` is not moved.
+    """
+    row = one_row.select(F.struct(*one_row.columns).alias("row")).scalar()
+    return df.withColumns({c: row[c] for c in one_row.columns})
 
 
 def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "row_index", chunk_seconds: int = CHUNK) -> DataFrame:

@@ -97,7 +97,7 @@ def seasonal_forecast(params: DataFrame, periods: int = 12, *, step_seconds: int
 
 def seasonal_evaluate(df: DataFrame, *, keys: Sequence[str], ts: str = "timestamp", value: str = "value", ratio: float = 0.8, mode: str = "multiplicative") -> DataFrame:
     """Fit the first part of each series, score the rest: errors, coverage of the band, sizes."""
-    split = ordered_split(df.where(F.col(value).isNotNull()), keys=keys, ratio=ratio, ts=ts)
+    split = ordered_split(df.where(F.col(value).isNotNull()), keys=keys, ratio=ratio, ts=ts, aligned=True)
     params = seasonal_fit(split.where("is_train"), keys=keys, ts=ts, value=value, mode=mode)
     test = split.where("NOT is_train").select(*keys, ts, F.col(value).alias("actual"))
     scored = seasonal_values(join_small(test, params, keys), ts=ts, mode=mode)

@@ -21,13 +21,25 @@ def as_of_column(df: DataFrame, ts: str, as_of: datetime | Column | None) -> Col
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
+def cutoff(df: DataFrame, ts: str, as_of: datetime | Column | None, seconds: int) -> Column:
+    """The time ``seconds`` before the evaluation time, in the type of ``ts``.
+
+    Without a given time it is one scalar subquery as a whole, so the comparison with the bare column
+    can still be pushed into the scan.
+    """
+    kind = dict(df.dtypes)[ts]
+    if as_of is None:
+        return df.agg(add_seconds(F.max(ts), -seconds).cast(kind)).scalar()
+    return add_seconds(as_of_column(df, ts, as_of), -seconds).cast(kind)
+
+
 def get_metrics(
     df: DataFrame, name: str, *, deployment: str | None = None, hours: float = 24, limit: int = 100,
     as_of=None, ts: str = "timestamp", tie: str = "seq",
 ) -> DataFrame:
     """The newest ``limit`` samples of a metric in the last ``hours``."""
-    cutoff = add_seconds(as_of_column(df, ts, as_of), -int(hours * 3600))
-    rows = df.where((F.col("name") == name) & (F.col(ts) > cutoff))
+    since = cutoff(df, ts, as_of, int(hours * 3600))
+    rows = df.where((F.col("name") == name) & (F.col(ts) > since))
     if deployment is not None:
         rows = rows.where(F.col("deployment") == deployment)
     return rows.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
@@ -280,7 +292,7 @@ def metric_availability(
     table = df.sparkSession.createDataFrame(
         [(f, m) for f, ms in candidates.items() for m in ms], "friendly string, metric_type string"
     )
-    rows = df.where(F.col(ts) > add_seconds(as_of_column(df, ts, as_of), -int(hours * 3600)))
+    rows = df.where(F.col(ts) > cutoff(df, ts, as_of, int(hours * 3600)))
     rows = rows.where(F.col(metric).isin([m for ms in candidates.values() for m in ms]))
     if namespace is not None:
         rows = rows.where(F.col(namespace_col) == namespace)

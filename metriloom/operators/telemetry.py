@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from metriloom.functions.time import MICROS, add_seconds, floor_to, micros, seconds_between
 from metriloom.operators.align import with_increase
+from metriloom.operators.scale import attach_row
 from metriloom.schemas import SCALING_TRIGGERS
 
 
@@ -213,4 +214,4 @@ def service_totals(
         F.coalesce(F.sum("n"), F.lit(0)).alias("recommendations"),
         F.count_if(add_seconds("last", cooldown_seconds) > as_of).alias("workloads_in_cooldown"),
     )
-    return f.join(F.broadcast(d), F.lit(True)).join(F.broadcast(r), F.lit(True))
+    return attach_row(attach_row(f, d), r)

@@ -49,8 +49,8 @@ def n06(t):
 def n07(t):
     fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key", trees=TREES)
     scored = boosted.residual_detector_score(keyed_wide(t), fitted).select("timestamp", "cpu_usage", "prediction", "score", "flag")
-    top = boosted.feature_importance(fitted, t.spark, 1).select(F.col("feature").alias("top_feature"))
-    return scored.join(F.broadcast(top), F.lit(True))
+    top = boosted.feature_importance(fitted, t.spark, 1).first()
+    return scored.withColumn("top_feature", F.lit(top["feature"]))
 
 
 @query("n10_isolation_forest")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from metriloom.operators import align, telemetry
+from metriloom.operators.scale import attach_row
 from metriloom.plans.align import INC, SERIES, r
 from metriloom.plans.registry import query
 
@@ -96,7 +97,7 @@ SELECT coalesce(max(value) FILTER (name = 'absent'), 2.0::DOUBLE) AS empty_side,
 def m09(t):
     empty = telemetry.or_vector(t.samples.where("name = 'absent'"), 2.0).withColumnRenamed("value", "empty_side")
     filled = telemetry.or_vector(t.samples.where("name = 'view'"), 2.0).withColumnRenamed("value", "filled_side")
-    return empty.join(F.broadcast(filled), F.lit(True))
+    return attach_row(empty, filled)
 
 
 RULES = [
