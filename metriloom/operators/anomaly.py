@@ -37,6 +37,8 @@ def zscore_anomalies(
     compared, so the same rows are kept whatever order the sums were taken in.
     """
     sigma = SENSITIVITY_SIGMA[sensitivity] if sigma is None else sigma
+    if not 1.0 <= sigma <= 5.0:
+        raise ValueError("sigma must lie between 1 and 5")
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.avg(value).alias("expected"), F.stddev_pop(value).alias("_std")
     ).where(F.col("_n") >= min_points).withColumn("_std", F.when(F.col("_std") < 1e-10, 0.001).otherwise(F.col("_std")))

@@ -76,6 +76,26 @@ def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "
     )
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str, chunk_seconds: int = CHUNK) -> DataFrame:
+    """Sum of ``value`` over the series up to and with each row, by (ts, tie).
+
+    The total of the earlier chunks comes from one row per chunk; rows are sorted inside a chunk only.
+    """
+    tagged = df.withColumn("_chunk", chunk_number(ts, chunk_seconds))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        tagged.groupBy(*keys, "_chunk")
+        .agg(F.sum(value).alias("_total"))
+        .select(*keys, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_before"))
+    )
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        tagged.join(offsets, [*keys, "_chunk"])
+        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+        .drop("_chunk", "_before")
+    )
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns: dict[str, str], chunk_seconds: int = CHUNK) -> DataFrame:
     """Add the previous row's value of each column (``columns``: source -> new name).
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metriloom.functions.time import add_seconds, seconds_between
 from metriloom.operators.scale import attach_row, join_small, newest_per_key, newest_rows
 
+SHORTEST_INTERVAL, LONGEST_INTERVAL = 5, 3600  # fixed values: allowed collection interval in seconds
 DEPLOYMENT_NAME = r"^[a-z0-9-]+$"  # fixed value: allowed deployment names, 1 to 64 characters
 
 
@@ -137,8 +138,8 @@ def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "s
     """One row per agent: for each field the newest event that sets it, as struct (at, value).
 
     Register events set host and version, the first one also the deployment; heartbeats set the count
-    and, where not empty, the metrics; config events set what is not NULL. Two such tables can be
-    merged again by the same maxima, see :func:`merge_partials`.
+    and, where not empty, the metrics; config events set what is not NULL (an interval out of range is
+    ignored). Two such tables can be merged again by the same maxima, see :func:`merge_partials`.
     """
     at = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("seq"))
     kind = F.col("kind")
@@ -155,7 +156,7 @@ def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "s
         newest("metrics_count", beat),
         newest("metrics", register | (beat & (F.col("metrics") != ""))),
         newest("paused", config & F.col("paused").isNotNull()),
-        newest("collection_interval", config & F.col("collection_interval").isNotNull()),
+        newest("collection_interval", config & F.col("collection_interval").between(SHORTEST_INTERVAL, LONGEST_INTERVAL)),
     )
 
 

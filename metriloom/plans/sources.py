@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from metriloom.functions.names import series_id
 from metriloom.operators import store
 from metriloom.plans.registry import query
+from metriloom.session import new_path
 from metriloom.sources import host, payloads, tables
 
 ISO = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
@@ -162,6 +163,17 @@ def s10(t):
     return out.withColumn("labels", series_id(F.lit(""), "labels"))
 
 
+@query("s11_training_csv", "wide", """
+SELECT timestamp, round(cpu_usage, 6) AS cpu_usage, round(memory_usage, 6) AS memory_usage, round(rps, 6) AS rps, round(latency, 6) AS latency FROM wide""")
+def s11(t):
+    cols = ["cpu_usage", "memory_usage", "rps", "latency"]
+    path = new_path(t.spark, "training-csv")
+    rounded = t.wide.select(F.col("timestamp").cast("timestamp").alias("timestamp"), *[F.round(c, 6).alias(c) for c in cols])
+    tables.write_training_csv(rounded, path)
+    back = tables.read_training_csv(t.spark, path, cols)
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
 @query("s12_loadtest_stats", "", """
 WITH e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE event_type END AS request, CASE WHEN event_id % 3 = 0 THEN 'GET' ELSE 'POST' END AS method FROM events)
 SELECT event_id, 'loadtest_request_count' AS name, event_id * 1000.0 AS value, ts + INTERVAL 1 HOUR AS timestamp, '{method=' || method || ',request=' || request || '}' AS labels FROM e

