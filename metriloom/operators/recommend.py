@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from metriloom.functions.quantities import millicores
 from metriloom.functions.time import MICROS, micros
-from metriloom.operators.scale import chunk_number
+from metriloom.operators.scale import chunk_number, join_small
 
 SCALE_OUT_ABOVE, SCALE_IN_BELOW = 0.85, 0.3
 MAX_REPLICAS, MIN_REPLICAS = 100, 1
@@ -129,10 +129,10 @@ def _chunk_entries(cooldown: int):
     return run
 
 
-def _accepted_times(cooldown: int):
-    """Per chunk: the accepted times, given the last accepted time before it."""
+def _accepted_positions(cooldown: int):
+    """Per chunk: the positions of the accepted times, given the last accepted time before it."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<int>")
     def run(times: pd.Series, entry: pd.Series) -> pd.Series:
         out = []
         for t, last in zip(times, entry):
@@ -140,7 +140,7 @@ def _accepted_times(cooldown: int):
             hop, picked = _hops(t, cooldown), []
             i = 0 if pd.isna(last) else int(np.searchsorted(t, int(last) + cooldown, side="left"))
             while i < len(t):
-                picked.append(int(t[i]))
+                picked.append(i)
                 i = int(hop[i])
             out.append(picked)
         return pd.Series(out)
@@ -164,17 +164,20 @@ def cooldown(
     if cooldown_seconds > chunk_seconds:
         raise ValueError("a chunk must be at least one cooldown long")
     c, size = cooldown_seconds * MICROS, chunk_seconds * MICROS
-    distinct = requests.select(*keys, chunk_number(ts, chunk_seconds).alias("chunk"), micros(ts).alias("us")).distinct()
-    times = distinct.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("us")).alias("times"))  # one chunk long
-    exits = times.select(*keys, "chunk", _chunk_exits(c, size)("chunk", "times").alias("x"))
+    # of requests at the same time only the earliest arrival can win
+    steps = requests.groupBy(*keys, chunk_number(ts, chunk_seconds).alias("chunk"), micros(ts).alias("us")).agg(F.min(tie).alias("tie"))
+    steps = steps.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("us", "tie"))).alias("steps"))  # one chunk long
+    times = F.transform("steps", lambda s: s["us"])
+    exits = steps.select(*keys, "chunk", _chunk_exits(c, size)("chunk", times).alias("x"))
     walk = F.array_sort(F.collect_list(F.struct("chunk", "x.firsts", "x.exits")))  # a few values per chunk
     entries = exits.groupBy(*keys).agg(walk.alias("w")).select(*keys, F.inline(_chunk_entries(c)("w")))
     entry = F.col("entry").cast("double")  # below 2**53, so exact; NULL arrives as NaN
-    won = times.join(entries, [*keys, "chunk"]).select(*keys, F.explode(_accepted_times(c)("times", entry)).alias("_us"))
-    # of requests at one accepted time only the earliest arrival wins
-    placed = requests.withColumn("_us", micros(ts))
-    hits = placed.join(won, [*keys, "_us"], "left_semi").groupBy(*keys, "_us").agg(F.min(tie).alias(tie)).withColumn("_won", F.lit(True))
-    out = placed.join(hits, [*keys, "_us", tie], "left").drop("_us")
+    marked = steps.join(entries, [*keys, "chunk"]).select(*keys, "steps", F.explode(_accepted_positions(c)(times, entry)).alias("at"))
+    won = marked.select(*keys, F.col("steps")[F.col("at")].alias("s")).select(
+        *keys, F.col("s.us").alias("_us"), F.col("s.tie").alias(tie), F.lit(True).alias("_won")
+    )
+    # at most one accepted request per series and cooldown, so usually few enough to broadcast
+    out = join_small(requests.withColumn("_us", micros(ts)), won, [*keys, "_us", tie], "left").drop("_us")
     return out.withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
 
 

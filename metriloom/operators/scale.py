@@ -51,6 +51,18 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: row[c] for c in one_row.columns})
 
 
+def _opened(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows plus one head row per chunk, which holds what the earlier chunks hand over.
+
+    Heads sort first in their chunk (``_row`` 0), so one shuffle and one sort serve both; no join.
+    """
+    return rows.withColumn("_row", F.lit(1)).unionByName(heads.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+
+
+def _inside(keys: Sequence[str], ts: str, tie: str):
+    return Window.partitionBy(*keys, "_chunk").orderBy("_row", ts, tie)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "row_index", chunk_seconds: int = CHUNK) -> DataFrame:
     """1-based position of each row in its series by (ts, tie), plus ``series_rows``.
 
@@ -58,22 +70,20 @@ def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str = "
     """
     tagged = df.withColumn("_chunk", chunk_number(ts, chunk_seconds))
     w = Window.partitionBy(*keys)
-    offsets = (
+    heads = (
         tagged.groupBy(*keys, "_chunk")
         .agg(F.count("*").alias("_n"))
         .select(
             *keys,
             "_chunk",
-            (F.sum("_n").over(w.orderBy("_chunk")) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(w).alias("series_rows"),
+            (F.sum("_n").over(w.orderBy("_chunk")) - F.col("_n")).alias("_step"),
+            F.sum("_n").over(w).alias("_all"),
         )
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
-    return (
-        tagged.join(offsets, [*keys, "_chunk"])
-        .withColumn(out, F.col("_before") + F.row_number().over(inside))
-        .drop("_chunk", "_before")
-    )
+    upto = _inside(keys, ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    step = F.coalesce("_step", F.lit(1).cast("bigint"))
+    placed = _opened(tagged, heads).withColumn(out, F.sum(step).over(upto)).withColumn("series_rows", F.max("_all").over(upto))
+    return placed.where("_row = 1").select(*df.columns, out, "series_rows")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, out: str, chunk_seconds: int = CHUNK) -> DataFrame:
@@ -83,17 +93,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: st
     """
     tagged = df.withColumn("_chunk", chunk_number(ts, chunk_seconds))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    heads = (
         tagged.groupBy(*keys, "_chunk")
         .agg(F.sum(value).alias("_total"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        tagged.join(offsets, [*keys, "_chunk"])
-        .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
-        .drop("_chunk", "_before")
+        .select(*keys, "_chunk", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias(value))
     )
+    upto = _inside(keys, ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    return _opened(tagged, heads).withColumn(out, F.sum(value).over(upto)).where("_row = 1").select(*df.columns, out)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns: dict[str, str], chunk_seconds: int = CHUNK) -> DataFrame:
@@ -104,18 +110,15 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns
     """
     tagged = df.withColumn("_chunk", chunk_number(ts, chunk_seconds))
     tail = F.max_by(F.struct(*columns), F.struct(F.col(ts), F.col(tie)))
-    carried = (
+    heads = (
         tagged.groupBy(*keys, "_chunk")
         .agg(tail.alias("_tail"))
         .select(*keys, "_chunk", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
+        .select(*keys, "_chunk", "_carry.*")
     )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
-    joined = tagged.join(carried, [*keys, "_chunk"]).withColumn("_first", F.row_number().over(inside) == 1)
-    new = {
-        name: F.when(F.col("_first"), F.col(f"_carry.{src}")).otherwise(F.lag(src).over(inside))
-        for src, name in columns.items()
-    }
-    return joined.withColumns(new).drop("_chunk", "_carry", "_first")
+    w = _inside(keys, ts, tie)
+    new = {name: F.lag(src).over(w) for src, name in columns.items()}
+    return _opened(tagged, heads).withColumns(new).where("_row = 1").select(*df.columns, *new)
 
 
 def newest_rows(df: DataFrame, ts: str, tie: str, n: int, bucket_seconds: int = 60) -> DataFrame:
