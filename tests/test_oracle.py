@@ -7,8 +7,8 @@ from compare import check, duck
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# nothing in the smallest table satisfies these
-MAY_BE_EMPTY = {"r08_rule_actions", "t07_stream_zscore"}
+# the smallest table is too sparse for these
+MAY_BE_EMPTY = {"f07_prepare_for_training", "r08_rule_actions", "t07_stream_zscore"}
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con():
 def test_matches_sql(spark, con, name):
     problem = check(con, spark, name, QUERIES[name], SQL[name], FOLDER)
     if problem == "equal but empty":
-        assert name in MAY_BE_EMPTY or "empty" in problem
+        assert name in MAY_BE_EMPTY
     else:
         assert problem is None, problem
 
