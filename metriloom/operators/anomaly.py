@@ -55,6 +55,7 @@ def zscore_anomalies(
 def describe(metric: str | Column, value: str | Column, expected: str | Column, score: str | Column) -> Column:
     """One sentence about an anomaly."""
     v, e, s = col(value), col(expected), col(score)
+    # fixed values: opening words per severity
     urgency = F.element_at(
         F.create_map(
             *[

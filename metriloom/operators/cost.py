@@ -17,6 +17,7 @@ from metriloom.operators.scale import with_previous
 from metriloom.operators.store import cutoff
 from metriloom.schemas import HOURS_PER_DAY, HOURS_PER_MONTH, PLAN_DISCOUNTS, UNIT_PRICES
 
+# fixed values: size classes and weights of the efficiency score
 OVERSIZED, UNDERSIZED = 0.3, 0.85
 CPU_WEIGHT, MEMORY_WEIGHT = 0.6, 0.4
 INFRASTRUCTURE_COST = 200.0  # fixed value: monthly cost the savings are compared with

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from metriloom.operators.scale import attach_row, join_small, numbered
 
+# fixed values: default lags, windows and change periods
 LAGS = (1, 2, 3, 6, 12)
 ROLLING = (3, 6, 12)
 CHANGES = (1, 3, 6)

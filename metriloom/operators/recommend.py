@@ -13,6 +13,7 @@ from metriloom.functions.quantities import millicores
 from metriloom.functions.time import MICROS, micros
 from metriloom.operators.scale import chunk_number, join_small
 
+# fixed values: thresholds and limits of the recommendations
 SCALE_OUT_ABOVE, SCALE_IN_BELOW = 0.85, 0.3
 MAX_REPLICAS, MIN_REPLICAS = 100, 1
 LIMIT_FACTOR = 3

@@ -11,6 +11,7 @@ from metriloom.operators import boosted, features, forecast, seasonal
 from metriloom.operators.scale import newest_per_key
 from metriloom.schemas import TARGET_CANDIDATES
 
+# fixed values: gates of the job
 MIN_POINTS = 100
 MIN_IMPROVEMENT = 0.05
 

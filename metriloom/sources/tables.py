@@ -10,15 +10,16 @@ from metriloom.functions.names import series_id
 from metriloom.schemas import SAMPLE
 
 
-def write_samples(df: DataFrame, path: str, *, mode: str = "append", files_per_day: int = 1) -> None:
-    """Sample table by date. Within a date rows are spread over ``files_per_day`` by series and sorted by
-    (name, time), so row groups can be skipped by name and a hot date is not one task."""
-    spread = F.pmod(F.xxhash64("name", "timestamp"), F.lit(files_per_day)) if files_per_day > 1 else F.lit(0)
-    out = df.withColumn("date", F.to_date("timestamp")).withColumn("_part", spread)
+def write_samples(df: DataFrame, path: str, *, mode: str = "append") -> None:
+    """Sample table by date, sorted by (name, time) inside its files so row groups can be skipped.
+
+    The rebalance lets AQE size the files from the shuffled volume: a busy date is split over many
+    tasks and files, quiet dates share one.
+    """
     (
-        out.repartition("date", "_part")
+        df.withColumn("date", F.to_date("timestamp"))
+        .hint("rebalance", "date")
         .sortWithinPartitions("date", "name", "timestamp")
-        .drop("_part")
         .write.mode(mode)
         .partitionBy("date")
         .parquet(path)

@@ -28,7 +28,7 @@ def sample_frame(spark):
 
 def test_samples_round_trip_and_pruning(spark, tmp_path, capsys):
     path = str(tmp_path / "samples")
-    tables.write_samples(sample_frame(spark), path, files_per_day=2)
+    tables.write_samples(sample_frame(spark), path)
     everything = tables.read_samples(spark, path)
     assert everything.count() == 3 and "series_id" in everything.columns
     part = tables.read_samples(spark, path, start=datetime(2024, 1, 2), end=datetime(2024, 1, 3), names=["mem"])
