@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import packing, tokens
+from metriloom.llm import packing, simhash, tokens
 from metriloom.plans.registry import query
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,3 +28,9 @@ def op1(t):
 def op4(t):
     pieces = packing.pack(t.table("documents"), TOKENIZER)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op7_simhash")
+def op7(t):
+    found = simhash.near_duplicates(t.table("documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
