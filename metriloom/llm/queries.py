@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import packing, simhash, tokens
+from metriloom.llm import packing, simhash, suffix, tokens
 from metriloom.plans.registry import query
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,3 +34,9 @@ def op4(t):
 def op7(t):
     found = simhash.near_duplicates(t.table("documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_suffix_dedup")
+def op9(t):
+    left = suffix.remove_repeats(t.table("documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
