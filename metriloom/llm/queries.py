@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import packing, simhash, suffix, tokens
+from metriloom.llm import packing, simhash, suffix, tokens, toxicity
 from metriloom.plans.registry import query
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,3 +40,10 @@ def op7(t):
 def op9(t):
     left = suffix.remove_repeats(t.table("documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_toxicity")
+def op5(t):
+    docs = t.table("documents").select("doc_id", "text")
+    index = toxicity.fit(docs, t.table("labels").where(~toxicity.held_out()).select("doc_id", "toxic"))
+    return toxicity.score(docs, index).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted", "neighbours")
