@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +48,11 @@ def texts(column: pa.Array) -> list[str]:
 def whole_text(column: str):
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def kept_by_worker(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this Python worker for its later tasks; one object at a time."""
+    store = sys.modules.setdefault("_metriloom_kept", types.ModuleType("_metriloom_kept"))
+    if getattr(store, "key", None) != key:
+        store.key, store.value = key, make()
+    return store.value

@@ -21,6 +21,7 @@ packed as often as they come. Only ``doc_id`` and the text are read, so other co
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 import numpy as np
@@ -28,10 +29,12 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from metriloom.llm.frames import small_batches, texts
-from metriloom.llm.tokens import ChunkCache
+from metriloom.llm.frames import kept_by_worker, small_batches, texts
+from metriloom.llm.tokens import ChunkCache, id_bytes
 
 WINDOW = 1024
+#: the pattern of a byte-level pre-tokenizer
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SENTENCE_PENALTY = 4
 TOKEN_PENALTY = 32
 #: stretches without a boundary that are longer than this get cuts every that many tokens
@@ -129,14 +132,8 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
     small_batches(df.sparkSession)
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(definition)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        cache = ChunkCache(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids)
-        closes = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        for token, i in tokenizer.get_vocab().items():
-            closes[i] = token[-1:] in (".", "!", "?", "Ċ")  # Ċ stands for a line end
+        tokenizer, special, cache, closes = kept_by_worker(f"pack {tokenizer_path}", lambda: _tools(definition))
+        closes = closes.copy()
         closes[end_id] = False
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = (TaskContext.get().partitionId()) << 40
@@ -144,7 +141,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
                 if any(s in t for s in special):  # special tokens may join chunks
-                    ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    ids = id_bytes(tokenizer.encode(t, add_special_tokens=False).ids)
                 else:
                     ids = cache.ids(t)
                 keys.append(key)
@@ -161,6 +158,46 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
     return df.select(doc_id, text).mapInArrow(run, PIECES)
 
 
+def _tools(definition: str):
+    """The tokenizer, its special strings, a cache of chunks, and which ids close a sentence.
+
+    Byte-level merges in the order of their ids are ranks, and ranks are faster on single chunks than a
+    whole tokenizer; any other definition is left to the tokenizer itself.
+    """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(definition)
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    for token, i in vocabulary.items():
+        closes[i] = token[-1:] in (".", "!", "?", "Ċ")  # Ċ stands for a line end
+    ranks = byte_ranks(json.loads(definition))
+    if ranks is None:
+        return tokenizer, special, ChunkCache(lambda chunk: tokenizer.encode(chunk, add_special_tokens=False).ids), closes
+    import tiktoken
+
+    return tokenizer, special, ChunkCache(tiktoken.Encoding("pack", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary), closes
+
+
+def byte_ranks(definition: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id of a plain byte-level definition whose merges are in the order of their ids."""
+    model, cut = definition["model"], definition.get("pre_tokenizer") or {}
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if definition.get("normalizer") or any(cut.get(k) != v for k, v in plain.items()) or model.get("type") != "BPE":
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    letter = {chr(b): b for b in visible}
+    letter |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
+    vocabulary = model["vocab"]
+    made = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if made != sorted(set(made)) or len(made) + 256 != len(vocabulary):
+        return None
+    return {bytes(letter[c] for c in token): i for token, i in vocabulary.items()}
+
+
 def _batch(frame: pd.DataFrame):
     import pyarrow as pa
 

@@ -5,8 +5,8 @@ holds the rank of the pair that starts there; the segment tree keeps the leftmos
 so a merge costs two or three point updates of logarithmic depth and a match of any length is encoded
 in n log n.
 
-Words repeat, so a worker keeps the ids of the chunks it has seen (bounded by ``CACHE_CHUNKS``). A
-chunk is a run of white space with the run of other characters behind it: no match of the pattern
+Words repeat, so a worker keeps the ids of the chunks it has seen, for all its tasks (at most twice
+``CACHE_CHUNKS``: when full, the older half goes). A chunk is a run of white space with the run of other characters behind it: no match of the pattern
 crosses from a character into white space, and its look-ahead sees no further than the chunk.
 
 Null texts are empty, an empty text has no ids, rows are kept one for one (repeated rows too), an empty
@@ -17,19 +17,21 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from metriloom.llm.frames import add_arrow_column, texts
+from metriloom.llm.frames import add_arrow_column, kept_by_worker, texts
 
 #: Unicode white space, as \\s of the pattern means it
 SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACE}]+[^{SPACE}]*|[^{SPACE}]+")
 #: chunks a worker remembers; longer ones than CACHE_CHARS are encoded each time
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 CACHE_CHARS = 64
 NONE = 1 << 62
 
@@ -98,11 +100,15 @@ class ChunkCache(dict):
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        out = np.array(self.encode(chunk), dtype="<u4").tobytes()
+        out = self.older.get(chunk)
+        if out is None:
+            out = id_bytes(self.encode(chunk))
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_CHUNKS:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out
@@ -111,24 +117,20 @@ class ChunkCache(dict):
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
 
 
+def id_bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def chunk_encoder(ranks: dict[bytes, int], pattern: str) -> ChunkCache:
     import regex
 
     find, longest = regex.compile(pattern).findall, max(map(len, ranks))
-    matches: dict[str, list[int]] = {}  # matches repeat even more than chunks
 
     def encode(chunk: str) -> list[int]:
-        out: list[int] = []
-        for word in find(chunk):
-            ids = matches.get(word)
-            if ids is None:
-                ids = encode_match(word.encode(), ranks, longest)
-                if len(word) <= CACHE_CHARS:
-                    if len(matches) >= CACHE_CHUNKS:
-                        matches.clear()
-                    matches[word] = ids
-            out += ids
-        return out
+        return [i for word in find(chunk) for i in encode_match(word.encode(), ranks, longest)]
 
     return ChunkCache(encode)
 
@@ -143,12 +145,11 @@ def id_lists(parts: list[bytes]) -> pa.Array:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append the token ids of every whole text. The vocabulary (below 1 MB) is read by the driver."""
     ranks = read_ranks(ranks_path)
-    kept: list[ChunkCache] = []
+    key = f"tree {ranks_path} {pattern}"
 
     def make(batch):
-        if not kept:
-            kept.append(chunk_encoder(ranks, pattern))
-        return id_lists([kept[0].ids(t) for t in texts(batch.column(text))])
+        cache = kept_by_worker(key, lambda: chunk_encoder(ranks, pattern))
+        return id_lists([cache.ids(t) for t in texts(batch.column(text))])
 
     return add_arrow_column(df, ids, "array<int>", make)
 
