@@ -3,7 +3,8 @@
 Fit. Of the labelled rows, the ``per_class`` with the least hash of their id are taken from each class
 (a bounded sample). Their terms, whole words and word beginnings of ``PREFIXES`` letters, are counted by
 class; those whose chi-square with the label reaches ``CHI_SQUARE`` make the vocabulary. Document
-frequencies of its terms are counted over all documents. The examples become unit TF-IDF vectors, sorted
+frequencies of its terms are counted over all documents. All other words of a text with such terms are
+one more term (``REST``), which every document holds. The examples become unit TF-IDF vectors, sorted
 so that similar ones are neighbours, in blocks of ``BLOCK``; the inverted index keeps, per term, its
 postings and its greatest weight in each block.
 
@@ -33,11 +34,13 @@ from pyspark.sql.types import StructType
 from metriloom.llm.frames import small_batches, texts
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 PER_CLASS = 2_048
-CHI_SQUARE = 40.0
+CHI_SQUARE = 30.0
 VOCABULARY = 4_096
-NEIGHBOURS = 15
+NEIGHBOURS = 25
+#: stands for all words outside the vocabulary, so that a vector shows how dense its terms are
+REST = ""
 BLOCK = 64
 PRIOR = 0.5
 
@@ -74,6 +77,7 @@ class Index:
     def vector(self, counts: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF vector as (terms, weights). ``known`` caches the terms of words."""
         tf: dict[int, int] = {}
+        rest = 0
         for word, n in counts.items():
             found = known.get(word)
             if found is None:
@@ -81,8 +85,11 @@ class Index:
                 if len(known) >= 500_000:
                     known.clear()
                 known[word] = found
+            rest += 0 if found else n
             for t in found:
                 tf[t] = tf.get(t, 0) + n
+        if tf and rest:
+            tf[self.terms[REST]] = rest
         at = np.fromiter(tf, dtype=np.int64, count=len(tf))
         w = (1 + np.log(np.fromiter(tf.values(), dtype=np.float64, count=len(tf)))) * self.idf[at]
         return at, w / np.sqrt((w * w).sum()) if len(w) else w
@@ -196,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (n1 * n0 * (a + b) * (n - a - b) + F.lit(1e-9))
     best = counted.withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(VOCABULARY).select("term")
     names = sorted(r["term"] for r in best.collect()) if n1 and n0 else []
-    terms = {t: i for i, t in enumerate(names)}
+    terms = {t: i for i, t in enumerate([REST, *names] if names else [])}
     df, total = _document_frequencies(docs, text, terms) if terms else (np.zeros(0), 0)
+    df[:1] = total
     idf = np.log((1 + total) / (1 + df)) + 1
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
     stands = {c: sizes.get(c, 0) / max(1, taken[c]) for c in (0, 1)}
