@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import packing, simhash, suffix, tokens, toxicity
+from metriloom.llm import ann, licenses, order_minhash, packing, simhash, suffix, tokens, toxicity, urls, warc
 from metriloom.plans.registry import query
+from metriloom.session import new_path, written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,3 +48,91 @@ def op5(t):
     docs = t.table("documents").select("doc_id", "text")
     index = toxicity.fit(docs, t.table("labels").where(~toxicity.held_out()).select("doc_id", "toxic"))
     return toxicity.score(docs, index).withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted", "neighbours")
+
+
+def _base32_sql(digest: str) -> str:
+    """Upper-case base32 of a 40-digit hexadecimal string, 40 bits at a time."""
+    parts = " || ".join(f"to_base(('0x' || substr({digest}, {at}, 10))::BIGINT, 32, 8)" for at in (1, 11, 21, 31))
+    return f"translate({parts}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest, payload FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_base32_sql("digest")} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op2_warc", "", OP2_SQL)
+def op2(t):
+    path = warc.write_archive(t.table("pages"), new_path(t.spark, "archive"))
+    records = warc.read_archive(t.spark, path).where(F.expr("verified or raise_error('payload bytes do not match their digest') is null"))
+    return records.select(
+        F.col("id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"),
+    )
+
+
+def _rules_sql() -> str:
+    rules = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in urls.RULES)
+    patterns = " OR ".join(f"regexp_matches(host || path, '{p}')" for _, p in urls.PATTERNS)
+    return f"""
+WITH r AS (SELECT * FROM (VALUES {rules}) AS v(verdict, rule_host, rule_path, rule)),
+s AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM s),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, CASE WHEN {patterns} THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN b USING (page_id)"""
+
+
+@query("op6_url_filter", "", _rules_sql())
+def op6(t):
+    return urls.judge(t.table("pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _licenses_sql() -> str:
+    known = licenses.template_bigrams(licenses.TEMPLATES)
+    rows = ", ".join(f"('{n}', {b})" for n, b in known.items())
+    return f"""
+WITH k AS (SELECT * FROM (VALUES {rows}) AS v(license, t)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+s AS (SELECT r, unnest(list_concat(string_split(text, chr(10)), CASE WHEN contains(text, chr(10)) THEN [text] ELSE CAST([] AS VARCHAR[]) END)) AS segment FROM d),
+w AS (SELECT r, regexp_extract_all(lower(segment), '[a-z0-9]+') AS w, row_number() OVER () AS q FROM s),
+b AS (SELECT r, q, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+m AS (SELECT r, q, license, 2.0 * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice FROM b, k),
+g AS (SELECT r, q, max(dice) AS dice, arg_max(license, (dice, -rank)) AS license FROM (SELECT *, dense_rank() OVER (ORDER BY license) AS rank FROM m WHERE dice >= {licenses.THRESHOLD}) GROUP BY r, q),
+h AS (SELECT r, arg_max(license, (dice, -rank)) AS license, max(dice) AS dice, count(*) AS n FROM (SELECT *, dense_rank() OVER (ORDER BY license) AS rank FROM g) GROUP BY r)
+SELECT doc_id, license, coalesce(round(dice, 6), 0.0)::DOUBLE AS dice, coalesce(n, 0)::BIGINT AS n_segments FROM d LEFT JOIN h USING (r)"""
+
+
+@query("op8_license_scan", "", _licenses_sql())
+def op8(t):
+    return licenses.scan(t.table("documents").select("doc_id", "text"))
+
+
+@query("op3_order_minhash")
+def op3(t):
+    found = order_minhash.edited_neighbours(t.table("documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        order_minhash.as_text("signature").alias("fingerprint"),
+        order_minhash.as_text("edited_signature").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op10_hnsw")
+def op10(t):
+    vectors = t.table("embeddings")
+    index = written(ann.build_index(vectors), "graphs")
+    return ann.search(index, vectors.where(F.col("vec_id") % 20 == 0))
