@@ -32,8 +32,8 @@ RULES = [
 #: content patterns for URLs without a host rule: a token, and the expression it must sit in
 PATTERNS = [
     ("spam-farm", r"(^|\.)spam-farm\."),
-    ("casino", r"(^|[./-])casino([./-]|$)"),
-    ("xxx", r"(^|[./-])xxx([./-]|$)"),
+    ("casino", r"(^|[^A-Za-z0-9-])casino([^A-Za-z0-9-]|$)"),
+    ("xxx", r"(^|[^A-Za-z0-9-])xxx([^A-Za-z0-9-]|$)"),
     ("adserver", r"(^|\.)adserver\."),
     ("doubleclick", r"(^|\.)doubleclick\."),
 ]
