@@ -27,6 +27,14 @@ def series_id(name: str | Column, labels: str | Column) -> Column:
     return F.concat(col(name), F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), F.lit("}"))
 
 
+def labels_of(entries: Column) -> Column:
+    """Map of (key, value) entries: NULL keys are dropped, the last of equal keys wins."""
+    given = F.reverse(F.filter(entries, lambda e: e["key"].isNotNull()))
+    keys = F.transform(given, lambda e: e["key"])
+    last = F.filter(given, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.map_from_entries(F.reverse(last))
+
+
 def with_labels(labels: str | Column, extra: Column) -> Column:
     """Labels overridden by ``extra`` (later wins)."""
     base = F.coalesce(col(labels), F.create_map().cast("map<string,string>"))

@@ -14,6 +14,12 @@ GIGABYTES = {"Ki": 1 / (1024.0 * 1024.0), "Mi": 1 / 1024.0, "Gi": 1.0, "Ti": 102
 BYTES = {"Ki": 1024.0, "Mi": 1024.0**2, "Gi": 1024.0**3, "K": 1000.0, "M": 1000.0**2, "G": 1000.0**3}
 
 
+def finite(number: str | Column) -> Column:
+    """The number as double; NaN, infinite and unreadable values are NULL."""
+    n = col(number).try_cast("double")
+    return F.when(F.abs(n) < F.lit(float("inf")), n)  # NaN is above every number
+
+
 def _scaled(text: Column, factors: Mapping[str, float]) -> Column:
     """Number before a known suffix times its factor, or the plain number; NULL for anything else."""
     t = F.trim(text)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metriloom.functions.quantities import finite
 from metriloom.functions.time import col
 from metriloom.operators.scale import attach_row, join_small, numbered
 from metriloom.schemas import SENSITIVITY_SIGMA, SEVERITY_FLOORS
@@ -33,12 +34,13 @@ def zscore_anomalies(
 ) -> DataFrame:
     """Rows whose distance from their series mean exceeds ``sigma`` population deviations.
 
-    Series with fewer than ``min_points`` rows are skipped. The score is rounded before it is
+    Series with fewer than ``min_points`` values are skipped; NaN and infinite values are no values. The score is rounded before it is
     compared, so the same rows are kept whatever order the sums were taken in.
     """
     sigma = SENSITIVITY_SIGMA[sensitivity] if sigma is None else sigma
     if not 1.0 <= sigma <= 5.0:
         raise ValueError("sigma must lie between 1 and 5")
+    df = df.withColumn(value, finite(value))
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.avg(value).alias("expected"), F.stddev_pop(value).alias("_std")
     ).where(F.col("_n") >= min_points).withColumn("_std", F.when(F.col("_std") < 1e-10, 0.001).otherwise(F.col("_std")))
@@ -125,8 +127,10 @@ def holdout_zscore(
 ) -> DataFrame:
     """Score every row against the mean and deviation of the first ``ratio`` of its series.
 
-    A series of ten rows or fewer is scored against mean 0 and deviation 1.
+    A series of ten rows or fewer is scored against mean 0 and deviation 1. NaN and infinite values are
+    no values.
     """
+    df = df.withColumn(value, finite(value))
     placed = numbered(df, keys, ts, tie)
     head = F.col("row_index") <= F.floor(F.col("series_rows") * ratio)
     stats = placed.groupBy(*keys).agg(
@@ -148,7 +152,7 @@ def residual_over_std(
     df: DataFrame, *, keys: Sequence[str], actual: str, predicted: str, out: str = "score"
 ) -> DataFrame:
     """Absolute residual over the deviation of the residuals of its series (1 where that is 0)."""
-    with_residual = df.withColumn("residual", F.abs(F.col(actual) - F.col(predicted)))
+    with_residual = df.withColumn("residual", finite(F.abs(F.col(actual) - F.col(predicted))))
     spread = with_residual.groupBy(*keys).agg(F.stddev_pop("residual").alias("_std"))
     spread = spread.withColumn("_std", F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0))
     return join_small(with_residual, spread, keys).withColumn(out, F.col("residual") / F.col("_std")).drop("_std")

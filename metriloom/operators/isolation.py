@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metriloom.functions.quantities import finite
 from metriloom.operators.scale import exact_percentile, join_small
 from metriloom.session import written
 
@@ -117,16 +118,19 @@ def isolation_forest_fit(
         raise ValueError("no complete rows to fit on")
     center = np.array([stats[f"m_{c}"] for c in features])
     scale = np.array([stats[f"s_{c}"] or 1.0 for c in features])
-    need = trees * sample
+    per_tree = int(min(sample, n))
+    need = trees * per_tree
     copies = max(1, -(-need // n))  # a small table is drawn from again under other hashes
     hashed = clean.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(copies)))).alias("_c"))
     hashed = hashed.withColumn("_h", F.xxhash64(F.col(key), F.col("_c"), F.lit(seed)))
     share = min(1.0, 1.3 * need / (n * copies) + 100.0 / (n * copies))
     drawn = hashed.where(F.pmod("_h", F.lit(1_000_000_007)) < int(share * 1_000_000_007))
-    picked = drawn.orderBy("_h", key, "_c").limit(need)
-    per_tree = int(min(sample, n))
-    ranked = picked.withColumn("rank", F.row_number().over(Window.orderBy("_h", key, "_c")))  # at most trees * sample rows
-    grouped = ranked.withColumn("tree", F.pmod(F.col("rank"), F.lit(trees)))
+    # a copy of the table fills whole trees before the next one starts, so no row comes twice in a tree
+    whole = max(1, n // per_tree) * per_tree if copies > 1 else need
+    picked = drawn.orderBy("_c", "_h", key).limit(need + copies * per_tree) if copies > 1 else drawn.orderBy("_h", key).limit(need)
+    in_copy = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key)) - 1  # at most trees * sample rows in all
+    placed = picked.withColumn("_p", in_copy).where(F.col("_p") < whole).withColumn("rank", (F.col("_c") - 1) * whole + F.col("_p"))
+    grouped = placed.where(F.col("rank") < need).withColumn("tree", F.floor(F.col("rank") / per_tree).cast("int"))
     scaled = grouped.select(
         "tree", "rank", *[((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(features, center, scale)]
     )
@@ -155,6 +159,7 @@ def isolation_score_scaled(
     The value is used for every model input. Without a model the score is the distance from the mean in
     population deviations (0.001 at least).
     """
+    df = df.withColumn(value, finite(value))
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.avg(value).alias("expected"), F.greatest(F.stddev_pop(value), F.lit(0.001)).alias("_std")
     ).where(F.col("_n") >= min_points)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +19,6 @@ DAY = 86_400
 #: length of a time chunk. One small row per (series, chunk) moves between chunks, so a short chunk is
 #: cheap; with 15 minutes a series holding a third of a 30-day table is spread over 2880 groups.
 CHUNK = 900
-#: rows up to which an aggregated side is broadcast; beyond it the join shuffles and AQE splits skew
-BROADCAST_ROWS = 500_000
 
 
 def chunk_number(ts: str | Column, seconds: int) -> Column:
@@ -29,17 +26,13 @@ def chunk_number(ts: str | Column, seconds: int) -> Column:
     return ((us - F.pmod(us, F.lit(seconds * MICROS))) / F.lit(seconds * MICROS)).cast("bigint")
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join an aggregate back to its rows.
 
-    The aggregate is kept (memory and disk) and counted. If the count proves it small it is
-    broadcast, so the big side is not shuffled; otherwise both sides shuffle on ``on`` and AQE
-    splits skewed partitions. ``small`` is computed once either way.
+    Neither side is hinted: Spark broadcasts the aggregate if its bytes are below the session's
+    threshold, at run time too, and otherwise shuffles both sides and splits skewed partitions.
     """
-    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= max_rows:
-        return big.join(F.broadcast(kept), list(on), how)
-    return big.join(kept, list(on), how)
+    return big.join(small, list(on), how)
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -147,26 +140,25 @@ def newest_rows(df: DataFrame, ts: str, tie: str, n: int, bucket_seconds: int =
     return inside.unionByName(rest)
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", spread: int = 32) -> DataFrame:
-    """Top ``n`` rows per key; Catalyst limits each partition to ``n`` per key before the shuffle.
+def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", spread: int = 256) -> DataFrame:
+    """Top ``n`` rows per key, in two steps whatever ``n`` is.
 
-    A large ``n`` is first taken per (key, hash of the row) so that a key present in every partition
-    does not send n rows from each of them to one task; the second step then sees ``spread * n`` rows.
+    Rows are first ranked per (key, input partition modulo ``spread``): each task keeps ``n`` rows of a key
+    before the shuffle, and those of a key present in every task go to ``spread`` groups. The second step
+    ranks at most ``spread * n`` rows of a key. The salt changes where rows are ranked, not the result.
     """
-    rows = df
-    if n >= 256:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys and dict(df.dtypes)[c][:3] != "map"]), F.lit(spread))
-        first = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        rows = df.withColumn("_salt", salt).withColumn("_rk", F.row_number().over(first)).where(F.col("_rk") <= n).drop("_rk", "_salt")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
+    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    few = salted.withColumn("_rk", F.row_number().over(first)).where(F.col("_rk") <= n).drop("_rk", "_salt")
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def exact_percentile(df: DataFrame, column: str, q: float, bins: int = 2_000, finish_rows: int = 50_000) -> float | None:
+def exact_percentile(df: DataFrame, column: str, q: float, bins: int = 2_000) -> float | None:
     """Linear-interpolated percentile of a column of any size.
 
-    Counting passes over equal-width bins narrow the value range around the wanted rank until few
-    distinct values are left; only those are sorted. Memory per task stays at ``bins`` counters.
+    Counting passes over equal-width bins narrow the range around the wanted ranks. As soon as these lie
+    in two bins they are the highest value of the one and the lowest of the other. A pass brings at most
+    ``bins`` counted rows to the driver, and no values. NULL and NaN are left out.
     """
     value = col(column)
     base = df.where(value.isNotNull() & ~F.isnan(value)).select(value.cast("double").alias("v"))
@@ -175,48 +167,31 @@ def exact_percentile(df: DataFrame, column: str, q: float, bins: int = 2_000, fi
     if not n:
         return None
     position = q * (n - 1)
-    return _ranked(base, int(position), lo, hi, bins, finish_rows, n, position - int(position))
-
-
-def _ranked(base, rank, lo, hi, bins, finish_rows, total, fraction):
-    below, inside = 0, total
-    want = rank + (1 if fraction > 0 else 0)
-    while inside > finish_rows and hi > lo:
-        width = (hi - lo) / bins
-        if width == 0 or lo + width == lo:
-            break
-        bin_of = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(lo)) / F.lit(width))).cast("int")
+    rank, fraction = int(position), position - int(position)
+    want, below = rank + (1 if fraction > 0 else 0), 0
+    while lo < hi:
+        width = hi / bins - lo / bins
+        if lo + width > lo:
+            place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(lo)) / F.lit(width)))
+        else:
+            place = F.col("v")  # fewer different numbers than bins lie between
         rows = (
             base.where((F.col("v") >= lo) & (F.col("v") <= hi))
-            .groupBy(bin_of.alias("b"))
+            .groupBy(place.alias("b"))
             .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
+            .orderBy("lo")
             .collect()
         )
-        seen, first, last = below, None, None
-        for r in rows:  # at most `bins` rows
+        first = last = None
+        seen = below
+        for r in rows:
             if first is None and seen + r["n"] > rank:
-                first = (r, seen)
+                first, below = r, seen
             if seen + r["n"] > want:
                 last = r
                 break
             seen += r["n"]
-        last = last or rows[-1]
-        new_lo, new_hi = first[0]["lo"], last["hi"]
-        kept = sum(r["n"] for r in rows if first[0]["b"] <= r["b"] <= last["b"])
-        if kept == inside and (new_lo, new_hi) == (lo, hi):
-            break
-        below, inside, lo, hi = first[1], kept, new_lo, new_hi
-    counts = (
-        base.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v")
-    )
-    picked = []
-    seen = below
-    for r in counts.toLocalIterator():
-        seen += r["n"]
-        while len(picked) < 2 and seen > (rank if not picked else want):
-            picked.append(r["v"])
-        if len(picked) == 2:
-            break
-    a, b = picked[0], picked[-1]
-    return a + (b - a) * fraction
+        if first is not last:
+            return first["hi"] + (last["lo"] - first["hi"]) * fraction
+        lo, hi = first["lo"], first["hi"]
+    return lo

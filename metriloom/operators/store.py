@@ -38,12 +38,12 @@ def get_metrics(
     df: DataFrame, name: str, *, deployment: str | None = None, hours: float = 24, limit: int = 100,
     as_of=None, ts: str = "timestamp", tie: str = "seq",
 ) -> DataFrame:
-    """The newest ``limit`` samples of a metric in the last ``hours``."""
+    """The newest ``limit`` samples of a metric in the last ``hours``, oldest first."""
     since = cutoff(df, ts, as_of, int(hours * 3600))
     rows = df.where((F.col("name") == name) & (F.col(ts) > since))
     if deployment is not None:
         rows = rows.where(F.col("deployment") == deployment)
-    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
+    return rows.orderBy(F.desc(ts), F.desc(tie)).limit(limit).orderBy(ts, tie)
 
 
 def get_latest(df: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq") -> DataFrame:
@@ -143,6 +143,7 @@ def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "s
     """
     at = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("seq"))
     kind = F.col("kind")
+    some = F.size("metrics") > 0 if dict(events.dtypes)["metrics"].startswith("array") else F.col("metrics") != ""
     register, beat, config = kind == "register", kind == "heartbeat", kind == "config"
 
     def newest(name: str, when: Column) -> Column:
@@ -154,7 +155,7 @@ def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "s
         newest("hostname", register),
         newest("agent_version", register),
         newest("metrics_count", beat),
-        newest("metrics", register | (beat & (F.col("metrics") != ""))),
+        newest("metrics", register | (beat & some)),
         newest("paused", config & F.col("paused").isNotNull()),
         newest("collection_interval", config & F.col("collection_interval").between(SHORTEST_INTERVAL, LONGEST_INTERVAL)),
     )

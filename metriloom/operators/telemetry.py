@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metriloom.functions.quantities import finite
 from metriloom.functions.time import MICROS, add_seconds, floor_to, micros, seconds_between
 from metriloom.operators.align import with_increase
 from metriloom.operators.scale import attach_row
@@ -136,7 +137,8 @@ def alert_eval(
     """State of each rule at each evaluation: inactive, pending, or firing once true for its time.
 
     ``df`` holds one row per (keys, expression, evaluation time). Rules are (alert, expression,
-    operator, threshold, minutes, severity); they become literals, so no rule table is shuffled.
+    operator, threshold, minutes, severity); they become literals, so no rule table is shuffled. A NULL,
+    NaN or infinite value holds for no rule.
     """
     per_rule = []
     for alert, expr, op, threshold, minutes, sev in rules:
@@ -147,7 +149,7 @@ def alert_eval(
                     F.lit(alert).alias("alert"),
                     F.lit(sev).alias("severity"),
                     F.lit(int(minutes) * 60).alias("for_seconds"),
-                    F.coalesce(condition(F.col(value), op, threshold), F.lit(False)).alias("holds"),
+                    F.coalesce(condition(finite(value), op, threshold), F.lit(False)).alias("holds"),
                 ),
             )
         )

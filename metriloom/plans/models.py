@@ -11,7 +11,6 @@ from metriloom.plans.registry import query
 from metriloom.session import new_path
 from metriloom.sources import tables
 
-TREES = 20  # trees per registered query; the operators default to 100
 INPUTS = ["memory_usage", "rps", "latency"]
 
 
@@ -22,13 +21,13 @@ def ratios(t):
 
 @query("p12_boosted_forecaster_train")
 def p12(t):
-    return boosted.boosted_forecaster_train(ratios(t), keys=NAME, trees=TREES).evaluation
+    return boosted.boosted_forecaster_train(ratios(t), keys=NAME).evaluation
 
 
 @query("p13_recursive_forecast")
 def p13(t):
-    fitted = boosted.boosted_forecaster_train(ratios(t), keys=NAME, trees=TREES)
-    return boosted.recursive_forecast(ratios(t), fitted, 12, keys=NAME)
+    fitted = boosted.boosted_forecaster_train(ratios(t), keys=NAME)
+    return boosted.recursive_forecast(ratios(t), fitted, 12, keys=NAME, target_lead=2)
 
 
 def keyed_wide(t):
@@ -38,7 +37,7 @@ def keyed_wide(t):
 
 @query("n06_residual_detector_fit")
 def n06(t):
-    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key", trees=TREES)
+    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
     scored = boosted.residual_detector_score(keyed_wide(t), fitted)
     return scored.agg(
         F.lit(fitted.threshold).alias("threshold"), F.count("*").alias("rows"), F.count_if("flag").alias("anomalies")
@@ -47,7 +46,7 @@ def n06(t):
 
 @query("n07_residual_detector_score")
 def n07(t):
-    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key", trees=TREES)
+    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
     scored = boosted.residual_detector_score(keyed_wide(t), fitted).select("timestamp", "cpu_usage", "prediction", "score", "flag")
     top = boosted.feature_importance(fitted, t.spark, 1).first()
     return scored.withColumn("top_feature", F.lit(top["feature"]))
@@ -56,13 +55,13 @@ def n07(t):
 @query("n10_isolation_forest")
 def n10(t):
     cols = ["cpu_usage", "memory_usage"]
-    forest = isolation.isolation_forest_fit(keyed_wide(t), cols, key="key", trees=TREES)
+    forest = isolation.isolation_forest_fit(keyed_wide(t), cols, key="key")
     return isolation.isolation_forest_score(keyed_wide(t), forest).select("timestamp", *cols, "score_sample", "decision", "flag")
 
 
 @query("n11_isolation_score_scaled")
 def n11(t):
-    forest = isolation.isolation_forest_fit(keyed_wide(t), ["cpu_usage", "memory_usage"], key="key", trees=TREES)
+    forest = isolation.isolation_forest_fit(keyed_wide(t), ["cpu_usage", "memory_usage"], key="key")
     # the scaled decision of a forest stays below 2.5 by construction, so the cut is set on its own scale
     return isolation.isolation_score_scaled(t.samples, forest, sigma=0.5).select("name", "seq", "value", "score")
 
@@ -98,7 +97,7 @@ def j01(t):
 @query("j02_train_all")
 def j02(t):
     frame = t.wide.withColumn("shop", F.lit("all"))
-    rows, failed = retrain.train_all(frame, keys=["shop"], trees=TREES)
+    rows, failed = retrain.train_all(frame, keys=["shop"])
     return rows.select("shop", "model", F.explode("metrics").alias("metric", "value")).withColumn("failed_models", F.lit(len(failed)))
 
 

@@ -2,7 +2,8 @@
 
 Every function takes a frame with one payload text per row (batch or stream) and returns samples
 ``(name, value, timestamp, type, labels, source)`` next to the columns named in ``keep``. Payloads are
-read with a fixed schema, so nothing is inferred and a bad field becomes NULL instead of an error.
+read with a fixed schema, so nothing is inferred and a bad field becomes NULL instead of an error. Values
+that are NaN or infinite are no values; of labels given twice the later counts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metriloom.functions.names import literal_map, query_name, snake_case, with_labels
+from metriloom.functions.names import labels_of, literal_map, query_name, snake_case, with_labels
+from metriloom.functions.quantities import finite
 from metriloom.schemas import ENVELOPE
 
 EMPTY = "map<string,string>"
@@ -49,8 +51,18 @@ def _samples(df: DataFrame, name: Column, value: Column, time: Column, labels: C
     )
 
 
+#: seconds of the years 1 to 9999; other times are unreadable
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def _epoch(seconds: Column) -> Column:
-    return F.timestamp_micros(F.round(seconds.try_cast("double") * 1000000).cast("bigint"))
+    given = finite(seconds)
+    return F.timestamp_micros(F.round(F.when(given.between(FIRST_SECOND, LAST_SECOND), given) * 1000000).try_cast("bigint"))
+
+
+def _read_labels(labels: str | Column) -> Column:
+    """Labels as parsed, which may hold a key twice."""
+    return labels_of(F.map_entries(F.coalesce(F.col(labels) if isinstance(labels, str) else labels, F.create_map().cast(EMPTY))))
 
 
 def _present(value: Column) -> Column:
@@ -70,7 +82,7 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
     no_list = F.col("_e.metrics").isNull()
     opened = parsed.select(  # no row where there is no list
         *keep, received, F.col("_e.agent_version").alias("agent_version"), F.explode("_e.metrics").alias("m"))
-    number = F.col("m.value").try_cast("double")
+    number = finite("m.value")
     bad = F.col("m.value").isNotNull() & number.isNull()
     samples = opened.where(~bad).select(
         *keep,
@@ -78,7 +90,7 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
         F.coalesce(number, F.lit(0.0)).alias("value"),
         F.coalesce(F.col("m.timestamp").try_cast("timestamp"), F.col(received).cast("timestamp")).alias("timestamp"),
         F.coalesce("m.type", F.lit("gauge")).alias("type"),
-        F.coalesce("m.labels", F.create_map().cast(EMPTY)).alias("labels"),
+        _read_labels("m.labels").alias("labels"),
         F.coalesce("m.source", F.lit(source)).alias("source"),
     )
     rejects = parsed.where(no_list).select(*keep, F.lit("metrics is not a list").alias("reason"), F.col(body).alias("content")).unionByName(
@@ -96,8 +108,8 @@ def envelopes(df: DataFrame, *, body: str = "body") -> DataFrame:
 def _prometheus(df: DataFrame, body: str, query: str, keep: Sequence[str], point) -> DataFrame:
     rows = df.select(*keep, F.col(query).alias("_q"), F.explode(F.from_json(body, PROMETHEUS)["data"]["result"]).alias("r"))
     rows = rows.withColumn("_p", point(F.col("r"))).where("_p IS NOT NULL")
-    labels = F.coalesce("r.metric", F.create_map().cast(EMPTY))
-    number = F.try_element_at("_p", F.lit(2)).try_cast("double")
+    labels = _read_labels("r.metric")
+    number = finite(F.try_element_at("_p", F.lit(2)))
     time = _epoch(F.try_element_at("_p", F.lit(1)))
     name = F.coalesce(F.try_element_at(labels, F.lit("__name__")), query_name("_q"))
     rest = F.map_filter(labels, lambda k, _: k != "__name__")
@@ -124,11 +136,12 @@ def normalize_cloudwatch(
     metric = F.regexp_extract(head, r"^(.+)/([^/]+)$", 2)
     points = F.transform(
         F.from_json(body, CLOUDWATCH)["Datapoints"],
-        lambda d: F.struct(d["Timestamp"].try_cast("timestamp").alias("at"), F.coalesce(d["Average"], F.lit(0.0)).alias("v")),
+        lambda d: F.struct(d["Timestamp"].try_cast("timestamp").alias("at"), finite(F.coalesce(d["Average"], F.lit(0.0))).alias("v")),
     )
-    newest = F.array_max(F.filter(points, lambda p: p["at"].isNotNull()))
+    newest = F.array_max(F.filter(points, lambda p: p["at"].isNotNull() & p["v"].isNotNull()))
     rows = df.select("*", cut.alias("_ns"), metric.alias("_metric")).where("_ns <> ''").select("*", F.explode(_present(newest)).alias("_p"))
-    given = F.map_filter(F.str_to_map(dims, F.lit(","), F.lit("=")), lambda k, v: v.isNotNull())
+    pairs = F.filter(F.split(dims, ","), lambda p: F.contains(p, F.lit("=")))
+    given = labels_of(F.transform(pairs, lambda p: F.struct(F.split(p, "=", 2)[0].alias("key"), F.split(p, "=", 2)[1].alias("value"))))
     labels = with_labels(given, literal_map(dimensions)) if dimensions else given
     labels = with_labels(labels, F.create_map(F.lit("namespace"), F.col("_ns")))
     short = F.replace(F.regexp_replace(F.lower("_ns"), "^aws/", ""), F.lit("/"), F.lit("_"))
@@ -145,13 +158,12 @@ def normalize_cloud_monitoring(
     def point(p):
         v = p["value"]
         number = F.coalesce(v["doubleValue"], v["int64Value"].try_cast("double"), v["boolValue"].cast("double"), v["distributionValue"]["mean"], F.lit(0.0))
-        return F.struct(p["interval"]["endTime"].try_cast("timestamp").alias("at"), number.alias("v"))
+        return F.struct(p["interval"]["endTime"].try_cast("timestamp").alias("at"), finite(number).alias("v"))
 
-    points = F.filter(F.transform("s.points", point), lambda p: p["at"].isNotNull())
+    points = F.filter(F.transform("s.points", point), lambda p: p["at"].isNotNull() & p["v"].isNotNull())
     rows = rows.withColumn("_p", F.explode(_present(F.array_max(points)) if newest_only else points))
-    empty = F.create_map().cast(EMPTY)
-    prefixed = F.transform_keys(F.coalesce("s.resource.labels", empty), lambda k, _: F.concat(F.lit("resource_"), k))
-    labels = with_labels(F.coalesce("s.metric.labels", empty), prefixed)
+    prefixed = F.transform_keys(_read_labels("s.resource.labels"), lambda k, _: F.concat(F.lit("resource_"), k))
+    labels = with_labels(_read_labels("s.metric.labels"), prefixed)
     labels = with_labels(labels, F.create_map(F.lit("resource_type"), F.coalesce("s.resource.type", F.lit(""))))
     if static_labels:
         labels = with_labels(labels, literal_map(static_labels))
@@ -163,10 +175,10 @@ def normalize_azure_monitor(df: DataFrame, *, body: str = "body", keep: Sequence
     """The newest non-null average of each time series; metadata values become labels."""
     metrics = df.select(*keep, F.explode(F.from_json(body, AZURE)["value"]).alias("m"))
     rows = metrics.select(*keep, F.col("m.name.value").alias("_name"), F.explode("m.timeseries").alias("t"))
-    points = F.transform("t.data", lambda d: F.struct(d["timeStamp"].try_cast("timestamp").alias("at"), d["average"].alias("v")))
+    points = F.transform("t.data", lambda d: F.struct(d["timeStamp"].try_cast("timestamp").alias("at"), finite(d["average"]).alias("v")))
     newest = F.array_max(F.filter(points, lambda p: p["v"].isNotNull() & p["at"].isNotNull()))
     rows = rows.withColumn("_p", F.explode(_present(newest)))
-    labels = F.map_from_entries(F.transform("t.metadatavalues", lambda v: F.struct(v["name"]["value"], v["value"])))
+    labels = labels_of(F.transform("t.metadatavalues", lambda v: F.struct(v["name"]["value"].alias("key"), v["value"].alias("value"))))
     words = F.replace(F.replace(snake_case("_name", every_capital), F.lit(" "), F.lit("_")), F.lit("%"), F.lit("pct"))
     return _samples(rows, words, F.col("_p.v"), F.col("_p.at"), labels, "azure_monitor", keep)
 
@@ -175,12 +187,13 @@ def normalize_datadog(df: DataFrame, *, body: str = "body", query: str = "query"
     """The last point of each series; a null value is 0; the scope text becomes labels."""
     rows = df.select(*keep, F.col(query).alias("_q"), F.explode(F.from_json(body, DATADOG)["series"]).alias("s")).where(F.size("s.pointlist") > 0)
     point = F.element_at("s.pointlist", -1)
-    time = F.timestamp_millis(point[0].cast("bigint"))
+    time = _epoch(F.floor(F.get(point, 0)) / 1000)
+    number = F.when(F.get(point, 1).isNull(), 0.0).otherwise(finite(F.get(point, 1)))
     pairs = F.filter(F.split(F.coalesce("s.scope", F.lit("")), ","), lambda p: F.contains(p, F.lit(":")))
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.split(p, ":", 2)[0]).alias("key"), F.trim(F.split(p, ":", 2)[1]).alias("value")))
     metric = F.coalesce("s.metric", F.col("_q"))
     name = F.replace(F.regexp_replace(metric, r"^(system|aws|azure|gcp)\.", ""), F.lit("."), F.lit("_"))
-    return _samples(rows, name, F.coalesce(point[1], F.lit(0.0)), time, F.map_from_entries(entries), "datadog", keep)
+    return _samples(rows.where(number.isNotNull() & time.isNotNull()), name, number, time, labels_of(entries), "datadog", keep)
 
 
 GAUGES = {"loadtest_request_count": "count", "loadtest_request_failures": "failures", "loadtest_request_rps": "rps", "loadtest_request_avg_ms": "avg_ms"}

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from metriloom.functions.quantities import finite
 from metriloom.streaming.jobs import use_state_store, with_event_time
 
 LONG = T.LongType()
@@ -168,14 +169,13 @@ class HistoryProcessor(_Processor):
         super().__init__(keys, ts, tie)
         self.value, self.size, self.window = value, size, window
 
-    def init(self, handle) -> None:
-        self.values = handle.getListState("values", _schema(v=T.DoubleType()))
+    state_schema = _schema(values=T.ArrayType(T.DoubleType()))  # one value, so a batch reads and writes it once
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _in_order(rows, self.ts, self.tie)
-        kept = [v for (v,) in self.values.get()] if self.values.exists() else []
+        kept = list(self.state.get()[0]) if self.state.exists() else []
         kept = [*kept, *(float(v) for v in pdf[self.value])][-self.size :]
-        self.values.put([(v,) for v in kept])
+        self.state.update((kept,))
         now, before = np.array(kept[-self.window :]), np.array(kept[-2 * self.window : -self.window])
         facts = {
             "n": [len(kept)],
@@ -222,6 +222,11 @@ def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, outpu
     )
 
 
+def _valued(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value: NULL, NaN and infinite ones would stay in a running mean for ever."""
+    return df.withColumn(value, finite(value)).dropna(subset=[value])
+
+
 def _output(df: DataFrame, keys: Sequence[str], *copied: str, **fields: T.DataType) -> T.StructType:
     return T.StructType([*[df.schema[k] for k in (*keys, *copied)], *_schema(**fields).fields])
 
@@ -251,7 +256,7 @@ def stream_alerts(
     values: DataFrame, *, keys: Sequence[str], op: str, threshold: float, for_seconds: int, ts: str = "timestamp", tie: str = "seq", value: str = "value"
 ) -> DataFrame:
     """State of one alert rule per series and evaluation."""
-    df = _plain(values, ts, *keys, ts, tie, value)
+    df = _plain(values, ts, *keys, ts, tie, value).withColumn(value, finite(value))
     processor = AlertProcessor(keys, ts, tie, value, op, threshold, for_seconds * 1_000_000)
     return _run(df, keys, processor, _output(df, keys, tie, ts, state=T.StringType()))
 
@@ -260,7 +265,7 @@ def stream_history(
     samples: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq", value: str = "value", size: int = 1000, window: int = 12
 ) -> DataFrame:
     """Per series and batch the facts for :func:`metriloom.operators.forecast.online_values`."""
-    df = _plain(samples, ts, *keys, ts, tie, value)
+    df = _valued(_plain(samples, ts, *keys, ts, tie, value), value)
     double = T.DoubleType()
     output = _output(df, keys, n=T.LongType(), last=double, ma=double, prev=double, std=double, until=T.TimestampType())
     return _run(df, keys, HistoryProcessor(keys, ts, tie, value, size, window), output)
@@ -271,7 +276,7 @@ def stream_zscore(
     min_points: int = 12, digits: int = 6,
 ) -> DataFrame:
     """Points whose distance from the running mean exceeds ``sigma`` running deviations."""
-    df = _plain(samples, ts, *keys, ts, tie, value)
+    df = _valued(_plain(samples, ts, *keys, ts, tie, value), value)
     double = T.DoubleType()
     processor = ZScoreProcessor(keys, ts, tie, value, sigma, min_points, digits)
     return _run(df, keys, processor, _output(df, keys, tie, ts, **{value: double}, expected=double, score=double))

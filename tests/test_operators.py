@@ -381,3 +381,22 @@ def test_names(spark):
     assert got == [("cpu_utilization", "c_p_u_utilization", "sum"), ("target_response_time", "target_response_time", "up")]
     one = spark.range(1).select(series_id(F.lit("m"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1"))))
     assert one.first()[0] == "m{a=1,b=2}"
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_values_that_are_none_hide_nothing(spark, bad):
+    points = [float(10 + i % 3) for i in range(30)] + [bad, 1000.0]
+    df = spark.createDataFrame([("a", i, datetime(2024, 1, 1) + timedelta(minutes=i), v) for i, v in enumerate(points)], "name string, seq long, timestamp timestamp, value double")
+    assert [r["seq"] for r in anomaly.zscore_anomalies(df).collect()] == [31]
+    assert [r["seq"] for r in anomaly.holdout_zscore(df).collect()] == [31]
+    rules = [("high", "e", ">", 100.0, 0, "warning")]
+    states = telemetry.alert_eval(df.withColumn("expression", F.lit("e")), rules, keys=["name"]).collect()
+    assert [r["value"] for r in states if r["state"] != "inactive"] == [1000.0]
+
+
+def test_agent_registry_takes_metric_lists(spark):
+    rows = [("a", datetime(2024, 1, 1), 1, "register", ["cpu"]), ("a", datetime(2024, 1, 2), 2, "heartbeat", []), ("a", datetime(2024, 1, 3), 3, "heartbeat", ["cpu", "mem"])]
+    df = spark.createDataFrame(rows, "agent_id string, timestamp timestamp, seq long, kind string, metrics array<string>")
+    for name, kind in (("hostname", "string"), ("agent_version", "string"), ("deployment_id", "string"), ("metrics_count", "long"), ("paused", "boolean"), ("collection_interval", "int")):
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    assert store.agent_registry(df).first()["metrics"] == ["cpu", "mem"]

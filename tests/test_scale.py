@@ -79,7 +79,7 @@ def test_exact_percentile(spark, q, bins):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(0, 1, 500), np.full(200, 0.25), rng.normal(1e6, 1, 5)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = scale.exact_percentile(df, "v", q, bins=bins, finish_rows=20)
+    got = scale.exact_percentile(df, "v", q, bins=bins)
     assert got == pytest.approx(np.percentile(values, q * 100), abs=1e-9)
 
 
@@ -87,13 +87,16 @@ def test_percentile_of_nothing(spark):
     assert scale.exact_percentile(spark.createDataFrame([], "v double"), "v", 0.5) is None
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_join_small_both_ways(spark, limit):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_join_small_both_ways(spark, threshold):
     rows, df = skewed(spark)
     counts = df.groupBy("key").count()
-    joined = scale.join_small(df, counts, ["key"], max_rows=limit)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    joined = scale.join_small(df, counts, ["key"])
     assert joined.count() == len(rows)
     assert {(r["key"], r["count"]) for r in joined.collect()} == {(k, sum(1 for r in rows if r[0] == k)) for k in {r[0] for r in rows}}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 @pytest.mark.parametrize("gap,chunk", [(60, 60), (300, 600), (300, 7200), (1777, 2000), (3600, 86400)])

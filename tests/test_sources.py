@@ -97,7 +97,7 @@ def test_prometheus(spark):
     ]}}
     rows = payloads.normalize_promql_vector(bodies(spark, vector, query="My Rate(x)"), query="query").collect()
     got = [(r["name"], r["labels"].get("job"), str(r["value"])) for r in rows]
-    assert got == [("up", "a", "1.0"), ("my_rate", "b", "nan"), ("my_rate", "c", "0.0")]
+    assert got == [("up", "a", "1.0"), ("my_rate", "c", "0.0")]
     assert rows[0]["timestamp"] == datetime(2024, 1, 1, 0, 0, 0, 500000)
     matrix = {"data": {"resultType": "matrix", "result": [{"metric": {"a": "b"}, "values": [[1, "2"], [2, "3"]]}, {"metric": {}, "values": []}]}}
     rows = payloads.normalize_promql_matrix(bodies(spark, matrix, query="q"), query="query").collect()
@@ -170,3 +170,22 @@ def test_union_skips_failed_sources(spark):
     out = host.union_sources([None, host.merge_static_labels(sample_frame(spark), {"host": "fixed"})])
     assert {r["labels"]["host"] for r in out.collect()} == {"fixed"}
     assert date(2024, 1, 1) == out.select(F.to_date(F.min("timestamp"))).first()[0]
+
+
+def test_repeated_missing_and_huge_fields_do_not_stop_a_job(spark):
+    datadog = {"series": [{"metric": "m", "scope": "role:web,role:db", "pointlist": [[1704067200000.0, 2.0]]}, {"metric": "n", "pointlist": [[]]}, {"metric": "o", "pointlist": [[1e300, 1.0]]}]}
+    got = payloads.normalize_datadog(bodies(spark, datadog, query="q"), query="query").collect()
+    assert [(r["name"], r["labels"]) for r in got] == [("m", {"role": "db"})]
+    cloudwatch = {"Datapoints": [{"Timestamp": "2024-01-02T03:04:05Z", "Average": 1.5}, {"Timestamp": "2024-01-03T03:04:05Z", "Average": float("nan")}]}
+    r = payloads.normalize_cloudwatch(bodies(spark, cloudwatch, spec="AWS/EC2/CPU:A=1,A=2,B"), spec="spec").first()
+    assert (r["labels"], r["value"]) == ({"A": "2", "namespace": "AWS/EC2"}, 1.5)
+    meta = [{"name": {"value": "k"}, "value": "1"}, {"name": {"value": "k"}, "value": "2"}, {"value": "3"}]
+    azure = {"value": [{"name": {"value": "Cpu"}, "timeseries": [{"metadatavalues": meta, "data": [{"timeStamp": "2024-01-02T03:04:05Z", "average": 4.0}]}]}]}
+    assert payloads.normalize_azure_monitor(bodies(spark, azure)).first()["labels"] == {"k": "2"}
+    vector = {"data": {"result": [{"metric": {}, "value": [1e300, "1"]}, {"metric": {}, "value": [5, "Infinity"]}, {"metric": {"a": "b"}, "value": [5, "7"]}]}}
+    assert [r["value"] for r in payloads.normalize_promql_vector(bodies(spark, vector, query="q"), query="query").collect()] == [7.0]
+    points = [{"interval": {"endTime": "2024-01-02T03:04:05Z"}, "value": {"doubleValue": float("nan")}}, {"interval": {"endTime": "2024-01-01T03:04:05Z"}, "value": {"int64Value": "3"}}]
+    series = {"timeSeries": [{"metric": {"type": "a/b", "labels": {}}, "resource": {"type": "t", "labels": {"x": "1"}}, "points": points}]}
+    assert [r["value"] for r in payloads.normalize_cloud_monitoring(bodies(spark, series)).collect()] == [3.0]
+    samples, rejects = payloads.ingest_payload(bodies(spark, {"metrics": [{"name": "x", "value": "NaN"}, {"name": "y", "value": "-Infinity"}, {"name": "z", "value": 1}]}))
+    assert [r["name"] for r in samples.collect()] == ["z"] and rejects.count() == 2
