@@ -61,6 +61,7 @@ def boosted_forecaster_train(
     evaluation = _predicted(model, split).agg(
         F.avg(F.when(train, error)).alias("train_mse"),
         F.avg(F.when(~train, error)).alias("test_mse"),
+        F.var_pop(F.when(train, F.col("target"))).alias("train_variance"),
         F.count_if(train).alias("train_samples"),
         F.count_if(~train).alias("test_samples"),
     )
@@ -138,7 +139,7 @@ def residual_detector_fit(
 
     Rows with a NULL are left out. One row in five (by ``split_key``) is held out of the fit.
     """
-    clean = df.dropna(subset=[*features, target])
+    clean = written(df.dropna(subset=[*features, target]), "clean")  # read by the fit and by the errors
     model = _pipeline(features, target, trees, depth, rate, seed).fit(random_split(clean, split_key).where("is_train").drop("is_train"))
     errors = written(_predicted(model, clean).select(F.abs(F.col(target) - F.col("prediction")).alias("e")), "errors")
     stats = errors.agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).first()

@@ -109,7 +109,7 @@ def isolation_forest_fit(
     the only thing brought to the driver.
     """
     features = list(features)
-    clean = df.dropna(subset=features).select(key, *features)
+    clean = written(df.dropna(subset=features).select(key, *features), "complete")  # read three times
     stats = clean.agg(
         F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]
     ).first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metriloom.operators import boosted, features, forecast, seasonal
 from metriloom.operators.scale import newest_per_key
 from metriloom.schemas import TARGET_CANDIDATES
+from metriloom.session import written
 
 # fixed values: gates of the job
 MIN_POINTS = 100
@@ -50,7 +51,7 @@ def train_all(
     """
     target = target or choose_target(df.drop(*keys))
     passed = gates(df, keys=keys, min_points=min_points).where("status = 'ready'").select(*keys)
-    frame = df.join(passed, list(keys), "left_semi")
+    frame = written(df.join(passed, list(keys), "left_semi"), "training")  # read by every model
     series = frame.select(*keys, ts, F.col(target).alias("value"))
 
     def metrics(*names: str):
@@ -65,7 +66,7 @@ def train_all(
         return scored.select(*keys, metrics("rmse", "mae", "mape", "coverage").alias("metrics"))
 
     def detector() -> DataFrame:
-        wide = features.transform(frame, keys=keys, ts=ts).withColumn("_key", F.xxhash64(*keys, ts))
+        wide = written(features.transform(frame, keys=keys, ts=ts).withColumn("_key", F.xxhash64(*keys, ts)), "wide")
         inputs = features.numeric_columns(wide, exclude=[*keys, target, "_key"])
         fitted = boosted.residual_detector_fit(wide, target, inputs, split_key="_key", trees=trees)
         scored = boosted.residual_detector_score(wide, fitted).groupBy(*keys).agg(
@@ -77,7 +78,8 @@ def train_all(
     done, failed = None, {}
     for name, fit in models.items():
         try:
-            part = fit().withColumn("model", F.lit(name)).select(*keys, "model", "metrics")
+            # written here, as a lazy failure would show only later and take the other models with it
+            part = written(fit().withColumn("model", F.lit(name)).select(*keys, "model", "metrics"), "trained")
         except Exception as error:  # the other models still train
             failed[name] = str(error).splitlines()[0] if str(error) else type(error).__name__
             continue

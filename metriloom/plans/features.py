@@ -78,11 +78,11 @@ def f06(t):
     return rounded(features.transform(t.wide_by_dep, keys=KEYS))
 
 
-@query("f07_prepare_for_training", "wide", f"""WITH wide_by_dep AS (SELECT 'all' AS deployment, timestamp, cpu_usage, memory_usage FROM wide), {FILLED}, x AS ({TRANSFORM})
+@query("f07_prepare_for_training", "wide", f"""WITH wide_by_dep AS (SELECT concat('day', isodow(timestamp)) AS deployment, timestamp, cpu_usage, memory_usage FROM wide), {FILLED}, x AS ({TRANSFORM})
 SELECT * EXCLUDE (timestamp) FROM x WHERE {" AND ".join(f"{c} IS NOT NULL" for c in EVERY)}""")
 def f07(t):
-    whole = t.wide.select(F.lit("all").alias("deployment"), "timestamp", *COLS)
-    frame = features.transform(whole, keys=KEYS)
+    by_day = F.concat(F.lit("day"), F.weekday("timestamp") + 1)  # one series per day of the week
+    frame = features.transform(t.wide.select(by_day.alias("deployment"), "timestamp", *COLS), keys=KEYS)
     return rounded(features.prepare_for_training(frame, "cpu_usage", keep=KEYS))
 
 
@@ -119,14 +119,13 @@ def f10(t):
     return rounded(features.standard_scale(t.wide_by_dep, COLS, keys=KEYS), 5)
 
 
-@query("f11_domain_features", "wide", """
-SELECT timestamp, CAST(hour(timestamp) BETWEEN 18 AND 23 AS INT) AS is_peak_hour,
-  round(avg(rps) OVER (ORDER BY timestamp RANGE BETWEEN INTERVAL 3599 SECOND PRECEDING AND CURRENT ROW), 7) AS rps_rolling_1h,
-  round(avg(rps) OVER (ORDER BY timestamp RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW), 7) AS rps_rolling_24h,
-  round(memory_usage / greatest(latency, 1), 7) AS queue_pressure, round(1 - cpu_usage, 7) AS headroom FROM wide""")
+@query("f11_domain_features", "wide_all", """
+SELECT deployment, timestamp, CAST(hour(timestamp) BETWEEN 18 AND 23 AS INT) AS is_peak_hour,
+  round(avg(rps) OVER (PARTITION BY deployment ORDER BY timestamp RANGE BETWEEN INTERVAL 3599 SECOND PRECEDING AND CURRENT ROW), 7) AS rps_rolling_1h,
+  round(avg(rps) OVER (PARTITION BY deployment ORDER BY timestamp RANGE BETWEEN INTERVAL 86399 SECOND PRECEDING AND CURRENT ROW), 7) AS rps_rolling_24h,
+  round(memory_usage / greatest(latency, 1), 7) AS queue_pressure, round(1 - cpu_usage, 7) AS headroom, round(joined, 7) AS joined FROM wide_all""")
 def f11(t):
-    frame = t.wide.withColumn("shop", F.lit("all"))
     out = features.domain_features(
-        frame, keys=["shop"], users="rps", waiting="memory_usage", running="latency", utilization="cpu_usage"
+        t.wide_all, keys=KEYS, users="rps", waiting="memory_usage", running="latency", utilization="cpu_usage"
     )
-    return rounded(out.select("timestamp", "is_peak_hour", "rps_rolling_1h", "rps_rolling_24h", "queue_pressure", "headroom"), 7)
+    return rounded(out.select("deployment", "timestamp", "is_peak_hour", "rps_rolling_1h", "rps_rolling_24h", "queue_pressure", "headroom", "joined"), 7)

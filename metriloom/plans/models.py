@@ -19,15 +19,26 @@ def ratios(t):
     return t.hourly.withColumn("value", F.least(F.lit(1.0), F.col("value") / 150))
 
 
-@query("p12_boosted_forecaster_train")
+# A fitted model's digits are its own; the SQL states the rows, counts and relations that must hold.
+@query("p12_boosted_forecaster_train", "hourly", """
+WITH n AS (SELECT count(*) - 13 AS n FROM hourly GROUP BY name HAVING count(*) > 13)
+SELECT CAST(sum(floor(n * 0.8)) AS BIGINT) AS train_samples, CAST(sum(n - floor(n * 0.8)) AS BIGINT) AS test_samples,
+  true AS learns, true AS tested FROM n""")
 def p12(t):
-    return boosted.boosted_forecaster_train(ratios(t), keys=NAME).evaluation
+    e = boosted.boosted_forecaster_train(ratios(t), keys=NAME).evaluation
+    learns = (F.col("train_mse") < F.col("train_variance")).alias("learns")
+    return e.select("train_samples", "test_samples", learns, (F.col("test_mse") >= 0).alias("tested"))
 
 
-@query("p13_recursive_forecast")
+@query("p13_recursive_forecast", "hourly", """
+SELECT name, CAST(unnest(range(1, 13)) AS INT) AS step, true AS inside FROM (SELECT DISTINCT name FROM hourly)""")
 def p13(t):
     fitted = boosted.boosted_forecaster_train(ratios(t), keys=NAME)
-    return boosted.recursive_forecast(ratios(t), fitted, 12, keys=NAME, target_lead=2)
+    out = boosted.recursive_forecast(ratios(t), fitted, 12, keys=NAME, target_lead=2)
+    return out.select("name", F.col("step").cast("int").alias("step"), F.col("value").between(0, 1).alias("inside"))
+
+
+COMPLETE = "cpu_usage IS NOT NULL AND memory_usage IS NOT NULL AND rps IS NOT NULL AND latency IS NOT NULL"
 
 
 def keyed_wide(t):
@@ -35,35 +46,63 @@ def keyed_wide(t):
     return t.wide.withColumn("key", hours.cast("bigint"))
 
 
-@query("n06_residual_detector_fit")
+@query("n06_residual_detector_fit", "wide", f"""
+SELECT count(*) AS rows, true AS some_flagged, true AS few_flagged, true AS positive FROM wide WHERE {COMPLETE}""")
 def n06(t):
     fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
     scored = boosted.residual_detector_score(keyed_wide(t), fitted)
+    flagged, rows = F.count_if("flag"), F.count("*")
     return scored.agg(
-        F.lit(fitted.threshold).alias("threshold"), F.count("*").alias("rows"), F.count_if("flag").alias("anomalies")
+        rows.alias("rows"), (flagged > 0).alias("some_flagged"), (flagged <= F.ceil(rows * 0.05)).alias("few_flagged"),
+        F.lit(fitted.threshold > 0).alias("positive"),
     )
 
 
-@query("n07_residual_detector_score")
+@query("n07_residual_detector_score", "wide", f"""
+SELECT timestamp, round(cpu_usage, 6) AS cpu_usage, true AS is_residual, true AS is_flagged_above, true AS known_feature FROM wide WHERE {COMPLETE}""")
 def n07(t):
     fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
-    scored = boosted.residual_detector_score(keyed_wide(t), fitted).select("timestamp", "cpu_usage", "prediction", "score", "flag")
+    scored = boosted.residual_detector_score(keyed_wide(t), fitted)
     top = boosted.feature_importance(fitted, t.spark, 1).first()
-    return scored.withColumn("top_feature", F.lit(top["feature"]))
+    return scored.select(
+        "timestamp",
+        r("cpu_usage"),
+        (F.col("score") == F.abs(F.col("cpu_usage") - F.col("prediction"))).alias("is_residual"),
+        (F.col("flag") == (F.col("score") > fitted.threshold)).alias("is_flagged_above"),
+        F.lit(top["feature"] in INPUTS and top["importance"] > 0).alias("known_feature"),
+    )
 
 
-@query("n10_isolation_forest")
+@query("n10_isolation_forest", "wide", """
+WITH c AS (SELECT timestamp, cpu_usage, memory_usage FROM wide WHERE cpu_usage IS NOT NULL AND memory_usage IS NOT NULL)
+SELECT timestamp, round(cpu_usage, 6) AS cpu_usage, round(memory_usage, 6) AS memory_usage, true AS in_range, true AS is_flagged_below, true AS share_holds FROM c""")
 def n10(t):
     cols = ["cpu_usage", "memory_usage"]
     forest = isolation.isolation_forest_fit(keyed_wide(t), cols, key="key")
-    return isolation.isolation_forest_score(keyed_wide(t), forest).select("timestamp", *cols, "score_sample", "decision", "flag")
+    scored = isolation.isolation_forest_score(keyed_wide(t), forest)
+    # flagged are those below the 5 % point: at most that share, and one row of interpolation less
+    share = scored.agg((F.abs(F.count_if("flag") - F.count("*") * 0.05) <= 1).alias("ok")).scalar()
+    return scored.select(
+        "timestamp",
+        *[r(c) for c in cols],
+        F.col("score_sample").between(-1, 0).alias("in_range"),
+        (F.col("flag") == (F.col("decision") < 0)).alias("is_flagged_below"),
+        share.alias("share_holds"),
+    )
 
 
-@query("n11_isolation_score_scaled")
+@query("n11_isolation_score_scaled", "samples", """
+SELECT true AS above, true AS bounded, true AS of_samples""")
 def n11(t):
     forest = isolation.isolation_forest_fit(keyed_wide(t), ["cpu_usage", "memory_usage"], key="key")
     # the scaled decision of a forest stays below 2.5 by construction, so the cut is set on its own scale
-    return isolation.isolation_score_scaled(t.samples, forest, sigma=0.5).select("name", "seq", "value", "score")
+    out = isolation.isolation_score_scaled(t.samples, forest, sigma=0.5)
+    found = out.join(t.samples.select("seq", F.col("value").alias("_v")), "seq", "left")
+    return found.agg(
+        F.coalesce(F.bool_and(F.col("score") > 0.5), F.lit(True)).alias("above"),
+        F.coalesce(F.max("score") <= 5, F.lit(True)).alias("bounded"),
+        F.coalesce(F.bool_and(F.col("value") == F.col("_v")), F.lit(True)).alias("of_samples"),
+    )
 
 
 @query("n11_zscore_fallback", "samples", """
@@ -94,11 +133,15 @@ def j01(t):
     return retrain.gates(frame, keys=["name", "deployment"], min_points=310)
 
 
-@query("j02_train_all")
+@query("j02_train_all", "hourly", """
+WITH ready AS (SELECT name FROM hourly GROUP BY 1 HAVING count(*) >= 100),
+m(model, metric) AS (VALUES ('baseline', 'rmse'), ('baseline', 'mae'), ('baseline', 'mape'), ('baseline', 'skill_score'), ('seasonal', 'rmse'), ('seasonal', 'mae'),
+  ('seasonal', 'mape'), ('seasonal', 'coverage'), ('residual_detector', 'threshold'), ('residual_detector', 'anomalies'), ('residual_detector', 'anomaly_rate'))
+SELECT name, model, metric, true AS measured, 0 AS failed_models FROM ready, m""")
 def j02(t):
-    frame = t.wide.withColumn("shop", F.lit("all"))
-    rows, failed = retrain.train_all(frame, keys=["shop"])
-    return rows.select("shop", "model", F.explode("metrics").alias("metric", "value")).withColumn("failed_models", F.lit(len(failed)))
+    rows, failed = retrain.train_all(t.hourly, keys=NAME, target="value")
+    out = rows.select("name", "model", F.explode("metrics").alias("metric", "value"))
+    return out.select("name", "model", "metric", F.col("value").isNotNull().alias("measured"), F.lit(len(failed)).alias("failed_models"))
 
 
 @query("j03_champion_challenger", "hourly", f"""WITH {HOLDOUT}, {seasonal_sql("past")},

@@ -105,24 +105,25 @@ def r07(t):
     )
 
 
-@query("r08_rule_actions", "wide", """
-WITH f AS (SELECT timestamp, round(cpu_usage / 100, 8) AS cpu, round(memory_usage / 60, 8) AS mem, round(lead(cpu_usage) OVER w / 90, 8) AS pc, 0.85 AS conf, rps, lag(rps) OVER w AS base,
-  round(abs(latency - (SELECT avg(latency) FROM wide)) / (SELECT stddev_pop(latency) FROM wide), 6) AS z,
-  max(round(cpu_usage / 100, 8)) OVER (ORDER BY timestamp RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hi FROM wide WINDOW w AS (ORDER BY timestamp))
-SELECT timestamp, 'SCALE_UP' AS action FROM f WHERE pc > 0.8 AND conf > 0.8
-UNION ALL SELECT timestamp, 'SCALE_DOWN' FROM f WHERE hi < 0.2
-UNION ALL SELECT timestamp, 'INCREASE_MEMORY_LIMIT' FROM f WHERE mem > 0.85
-UNION ALL SELECT timestamp, 'PREEMPTIVE_SCALE' FROM f WHERE rps > 2 * base
-UNION ALL SELECT timestamp, 'ALERT_CRITICAL' FROM f WHERE z >= 4
-UNION ALL SELECT timestamp, 'ALERT_WARNING' FROM f WHERE z >= 2.5 AND z < 4""")
+@query("r08_rule_actions", "wide_all", """
+WITH m AS (SELECT deployment, avg(latency) AS mean, stddev_pop(latency) AS std FROM wide_all GROUP BY 1),
+f AS (SELECT deployment, timestamp, round(cpu_usage / 100, 8) AS cpu, round(memory_usage / 60, 8) AS mem, round(lead(cpu_usage) OVER w / 90, 8) AS pc, 0.85 AS conf, rps, lag(rps) OVER w AS base,
+  round(abs(latency - mean) / std, 6) AS z,
+  max(round(cpu_usage / 100, 8)) OVER (PARTITION BY deployment ORDER BY timestamp RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS hi
+  FROM wide_all JOIN m USING (deployment) WINDOW w AS (PARTITION BY deployment ORDER BY timestamp))
+SELECT deployment, timestamp, 'SCALE_UP' AS action FROM f WHERE pc > 0.8 AND conf > 0.8
+UNION ALL SELECT deployment, timestamp, 'SCALE_DOWN' FROM f WHERE hi < 0.2
+UNION ALL SELECT deployment, timestamp, 'INCREASE_MEMORY_LIMIT' FROM f WHERE mem > 0.85
+UNION ALL SELECT deployment, timestamp, 'PREEMPTIVE_SCALE' FROM f WHERE rps > 2 * base
+UNION ALL SELECT deployment, timestamp, 'ALERT_CRITICAL' FROM f WHERE z >= 4
+UNION ALL SELECT deployment, timestamp, 'ALERT_WARNING' FROM f WHERE z >= 2.5 AND z < 4""")
 def r08(t):
     from pyspark.sql import Window
 
-    frame = t.wide.withColumn("shop", F.lit("all"))
-    w = Window.partitionBy("shop").orderBy("timestamp")
-    stats = frame.groupBy("shop").agg(F.avg("latency").alias("m"), F.stddev_pop("latency").alias("s"))
-    rows = frame.join(stats, "shop").select(
-        "shop",
+    w = Window.partitionBy("deployment").orderBy("timestamp")
+    stats = t.wide_all.groupBy("deployment").agg(F.avg("latency").alias("m"), F.stddev_pop("latency").alias("s"))
+    rows = t.wide_all.join(stats, "deployment").select(
+        "deployment",
         "timestamp",
         F.round(F.col("cpu_usage") / 100, 8).alias("cpu_utilization"),
         F.round(F.col("memory_usage") / 60, 8).alias("memory_utilization"),
@@ -132,4 +133,4 @@ def r08(t):
         F.lag("rps").over(w).alias("baseline_traffic"),
         anomaly.severity(F.round(F.abs(F.col("latency") - F.col("m")) / F.col("s"), 6)).alias("severity"),
     )
-    return recommend.rule_actions(rows, keys=["shop"], severity="severity").drop("shop")
+    return recommend.rule_actions(rows, keys=["deployment"], severity="severity")

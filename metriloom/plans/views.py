@@ -67,6 +67,14 @@ class Tables:
             F.concat(F.lit("dep"), F.col("user_id") % 5).alias("deployment"), hour_of_ts().alias("timestamp")
         ).agg(*[F.avg(F.when(F.col("event_type") == e, F.col("value"))).alias(c) for c, e in picks.items()])
 
+    @cached_property
+    def wide_all(self) -> DataFrame:
+        """All five event types, by deployment and hour."""
+        picks = {"cpu_usage": "view", "memory_usage": "click", "rps": "purchase", "latency": "error", "joined": "signup"}
+        return self.events.groupBy(
+            F.concat(F.lit("dep"), F.col("user_id") % 5).alias("deployment"), hour_of_ts().alias("timestamp")
+        ).agg(*[F.avg(F.when(F.col("event_type") == e, F.col("value"))).alias(c) for c, e in picks.items()])
+
     @cached_property
     def workloads(self) -> DataFrame:
         supplier, nation = self.table("supplier"), self.table("nation")
@@ -176,6 +184,13 @@ _PLAIN = {
        avg(CASE WHEN event_type = 'view' THEN value END) AS cpu_usage,
        avg(CASE WHEN event_type = 'click' THEN value END) AS memory_usage
        FROM events GROUP BY 1, 2""",
+    "wide_all": """SELECT concat('dep', user_id % 5) AS deployment, date_trunc('hour', ts) AS timestamp,
+       avg(CASE WHEN event_type = 'view' THEN value END) AS cpu_usage,
+       avg(CASE WHEN event_type = 'click' THEN value END) AS memory_usage,
+       avg(CASE WHEN event_type = 'purchase' THEN value END) AS rps,
+       avg(CASE WHEN event_type = 'error' THEN value END) AS latency,
+       avg(CASE WHEN event_type = 'signup' THEN value END) AS joined
+       FROM events GROUP BY 1, 2""",
     "workloads": """SELECT s_name AS workload, n_name AS namespace, CAST(1 + count(*) % 8 AS INT) AS replicas,
        sum(l_quantity) / 1000 AS cpu_requested,
        sum(l_quantity * l_discount) * (1 + s_suppkey % 10) / 500 AS cpu_used,
