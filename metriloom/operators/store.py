@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from metriloom.functions.time import add_seconds, seconds_between
 from metriloom.operators.scale import attach_row, join_small, newest_per_key, newest_rows
+from metriloom.session import written
 
 SHORTEST_INTERVAL, LONGEST_INTERVAL = 5, 3600  # fixed values: allowed collection interval in seconds
 DEPLOYMENT_NAME = r"^[a-z0-9-]+$"  # fixed value: allowed deployment names, 1 to 64 characters
@@ -227,49 +228,60 @@ def registry_from_ingest(payloads: DataFrame, agents: DataFrame | None = None) -
 def deployment_registry(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq") -> DataFrame:
     """Fold create, update and delete events into current deployments; names are unique and checked.
 
-    An id created again without a delete keeps its first row. Of several live deployments claiming a
-    name, the earliest claim keeps it; a later create is dropped, a later rename keeps the old name.
+    A claim of a name is judged when it is made: a create or an update whose name another deployment holds
+    at that moment is refused as a whole, and a name is free again once its holder leaves or renames. An id
+    created again without a delete keeps its row; an update that sets nothing leaves ``updated_at``.
+
+    Only ids that ever claim a common name depend on each other. They are grouped by that, and each group
+    is folded in event order in one task; all other ids are groups of their own.
     """
     valid_name = F.col("name").rlike(DEPLOYMENT_NAME) & F.length("name").between(1, 64)
     usable = events.where((F.col("kind") == "delete") | F.col("name").isNull() | valid_name)
-    live = after_last_delete(usable, ["id"], ts, tie)
-    at = F.struct(F.col(ts), F.col(tie))
-    create, update = F.col("kind") == "create", F.col("kind") == "update"
-
-    def newest(name: str) -> Column:
-        given = update & F.col(name).isNotNull()
-        return F.max_by(F.when(given, F.struct(at.alias("at"), F.col(name).alias("v"))), F.when(given, at)).alias(f"_{name}")
-
-    first = {c: F.min_by(F.when(create, F.col(c)), F.when(create, at)).alias(f"_first_{c}") for c in ("name", "description", "environment")}
-    folded = live.groupBy("id").agg(
-        F.min(F.when(create, at)).alias("_created"), *first.values(), newest("name"), newest("description"), newest("environment"),
-        F.max(F.when(update, at)).alias("_updated"),
-    ).where(F.col("_created").isNotNull())
-
-    def current(name: str, default=None) -> Column:
-        renamed = F.when(F.col(f"_{name}.at") > F.col("_created"), F.col(f"_{name}.v"))
-        value = F.coalesce(renamed, F.col(f"_first_{name}"))
-        return value if default is None else F.coalesce(value, F.lit(default))
-
-    touched = F.when(F.col("_updated") > F.col("_created"), F.col(f"_updated.{ts}"))
-    rows = folded.select(
-        "id",
-        current("name").alias("name"),
-        F.col("_first_name").alias("_old"),
-        F.when(F.col("_name.at") > F.col("_created"), F.col("_name.at")).otherwise(F.col("_created")).alias("_claimed"),
-        current("description", "").alias("description"),
-        current("environment", "development").alias("environment"),
-        F.col(f"_created.{ts}").alias("created_at"),
-        F.coalesce(touched, F.col(f"_created.{ts}")).alias("updated_at"),
-    )
-    owners = rows.groupBy("name").agg(F.min_by("id", F.struct("_claimed", "id")).alias("_owner"))
-    owned = rows.join(owners, "name")
-    loses = F.col("id") != F.col("_owner")
-    return (
-        owned.where(~loses | (F.col("_old") != F.col("name")))
-        .withColumn("name", F.when(loses, F.col("_old")).otherwise(F.col("name")))
-        .drop("_old", "_claimed", "_owner")
-    )
+    groups = _name_groups(usable.where(F.col("name").isNotNull() & (F.col("kind") != "delete")).select("id", "name").distinct())
+    grouped = usable.join(groups, "id", "left").withColumn("_group", F.coalesce("_group", "id"))
+    kinds = dict(events.dtypes)
+    schema = f"id {kinds['id']}, name string, description string, environment string, created_at {kinds[ts]}, updated_at {kinds[ts]}"
+    columns = grouped.select("_group", "id", "kind", "name", "description", "environment", F.col(ts).alias("at"), F.col(tie).alias("tie"))
+    return columns.groupBy("_group").applyInPandas(_fold_names, schema)
+
+
+def _name_groups(claims: DataFrame) -> DataFrame:
+    """``id, _group`` of ids that share a name with others, directly or through others: the smallest id reachable."""
+    shared = claims.join(claims.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1"), "name", "left_semi")
+    links = written(shared.select("id", "name"), "claims")
+    groups = written(links.select("id", F.col("id").alias("_group")).distinct(), "groups")
+    while True:
+        by_name = links.join(groups, "id").groupBy("name").agg(F.min("_group").alias("_low"))
+        lower = written(links.join(by_name, "name").groupBy("id").agg(F.min("_low").alias("_group")), "groups")
+        changed = lower.join(groups.withColumnRenamed("_group", "_old"), "id").where(F.col("_group") != F.col("_old")).limit(1).count()
+        groups = lower
+        if not changed:
+            return groups
+
+
+def _fold_names(events):
+    """Apply the events of one group in order (an ordered state machine, so a small loop per event)."""
+    import pandas as pd
+
+    live, holder = {}, {}
+    for e in events.sort_values(["at", "tie"]).itertuples(index=False):
+        key, row = e.id, live.get(e.id)
+        name, *rest = (None if pd.isna(v) else v for v in (e.name, e.description, e.environment))
+        given = dict(zip(("description", "environment"), rest))
+        taken = name is not None and holder.get(name, key) != key
+        if e.kind == "delete" and row:
+            del holder[live.pop(key)["name"]]
+        elif e.kind == "create" and not row and name is not None and not taken:
+            live[key] = {"name": name, "description": given["description"] or "", "environment": given["environment"] or "development", "created_at": e.at, "updated_at": e.at}
+            holder[name] = key
+        elif e.kind == "update" and row and not taken:
+            new = {c: v for c, v in {"name": name, **given}.items() if v is not None}
+            if new:
+                del holder[row["name"]]
+                row.update(new, updated_at=e.at)
+                holder[row["name"]] = key
+    columns = ["id", "name", "description", "environment", "created_at", "updated_at"]
+    return pd.DataFrame([{"id": k, **v} for k, v in live.items()], columns=columns)
 
 
 def cascade_delete(agents: DataFrame, deployments: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metriloom.operators import boosted, isolation, retrain
+from metriloom.operators import boosted, isolation, retrain, store
 from metriloom.operators import forecast as fc
 from metriloom.operators import seasonal
 from metriloom.plans.align import r
@@ -200,19 +200,20 @@ CHANGES = """changes AS (SELECT concat('d', o_custkey % 40) AS id, o_orderdate A
   CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> '5-LOW' THEN 'production' END AS environment FROM orders)"""
 
 
-@query("q12_deployment_registry", "", f"""WITH {CHANGES},
+DEPLOYMENTS = f"""{CHANGES},
 live AS (SELECT c.*, (timestamp, seq) AS k FROM changes c LEFT JOIN (SELECT id AS did, max((timestamp, seq)) AS gone FROM changes WHERE kind = 'delete' GROUP BY 1) ON did = id
   WHERE gone IS NULL OR (timestamp, seq) > gone),
 made AS (SELECT id AS mid, min(k) AS first FROM live WHERE kind = 'create' GROUP BY 1),
-e AS (SELECT live.* FROM live JOIN made ON mid = id WHERE k >= first)
-SELECT id, arg_min(name, k) FILTER (kind = 'create') AS name,
+e AS (SELECT live.* FROM live JOIN made ON mid = id WHERE k >= first),
+registry AS (SELECT id, arg_min(name, k) FILTER (kind = 'create') AS name,
   coalesce(arg_max(description, k) FILTER (kind = 'update' AND description IS NOT NULL), arg_min(coalesce(description, ''), k) FILTER (kind = 'create'), '') AS description,
   coalesce(arg_max(environment, k) FILTER (kind = 'update' AND environment IS NOT NULL), arg_min(coalesce(environment, 'development'), k) FILTER (kind = 'create'), 'development') AS environment,
-  min(timestamp) FILTER (kind = 'create') AS created_at, coalesce(max(timestamp) FILTER (kind = 'update'), min(timestamp) FILTER (kind = 'create')) AS updated_at
-FROM e GROUP BY id""")
-def q12(t):
-    from metriloom.operators import store
+  min(timestamp) FILTER (kind = 'create') AS created_at,
+  coalesce(max(timestamp) FILTER (kind = 'update' AND (description IS NOT NULL OR environment IS NOT NULL)), min(timestamp) FILTER (kind = 'create')) AS updated_at
+  FROM e GROUP BY id)"""
+
 
+def deployments(t):
     changes = t.table("orders").selectExpr(
         "concat('d', o_custkey % 40) AS id", "o_orderdate AS timestamp", "o_orderkey AS seq",
         "CASE o_orderpriority WHEN '1-URGENT' THEN 'create' WHEN '5-LOW' THEN 'delete' ELSE 'update' END AS kind",
@@ -221,3 +222,15 @@ def q12(t):
         "CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority <> '5-LOW' THEN 'production' END AS environment",
     )
     return store.deployment_registry(changes)
+
+
+@query("q12_deployment_registry", "", f"WITH {DEPLOYMENTS} SELECT * FROM registry")
+def q12(t):
+    return deployments(t)
+
+
+@query("q12_cascade", "agents", f"""WITH {DEPLOYMENTS}
+SELECT agent_id, concat('d', agent_id % 40) AS deployment_id, metrics_count FROM agents WHERE concat('d', agent_id % 40) IN (SELECT id FROM registry)""")
+def q12_cascade(t):
+    agents = t.agents.select("agent_id", F.concat(F.lit("d"), F.col("agent_id") % 40).alias("deployment_id"), "metrics_count")
+    return store.cascade_delete(agents, deployments(t)).select("agent_id", "deployment_id", "metrics_count")

@@ -1,5 +1,7 @@
 """Source queries. Payload texts are derived from the event rows, good and faulty ones mixed."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from metriloom.functions.names import series_id
@@ -26,13 +28,17 @@ def flat(samples):
 
 
 @query("s01_read_samples", "samples", """
-SELECT name, value, timestamp, 'gauge' AS type, name || '{deployment=' || deployment || ',host=' || host || '}' AS series_id, 'events' AS source FROM samples""")
+SELECT name, value, timestamp, 'gauge' AS type, name || '{deployment=' || deployment || ',host=' || host || '}' AS series_id, 'events' AS source FROM samples
+WHERE timestamp BETWEEN TIMESTAMP '2024-01-05 12:00:00' AND TIMESTAMP '2024-01-20' AND name IN ('view', 'click', 'error')""")
 def s01(t):
     rows = t.samples.select(
         "name", "value", "timestamp", F.lit("gauge").alias("type"),
         F.create_map(F.lit("host"), F.col("host"), F.lit("deployment"), F.col("deployment")).alias("labels"), F.lit("events").alias("source"),
     )
-    return rows.withColumn("series_id", series_id("name", "labels")).drop("labels")
+    path = new_path(t.spark, "samples")
+    tables.write_samples(rows, path)
+    back = tables.read_samples(t.spark, path, start=datetime(2024, 1, 5, 12), end=datetime(2024, 1, 20), names=["view", "click", "error"])
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).drop("labels")
 
 
 ENVELOPE_BODY = f"""CASE WHEN event_id % 10 = 7 THEN '{{"metrics": 5}}' ELSE to_json(named_struct(
@@ -204,3 +210,15 @@ def q11(t):
     return out.select(
         "event_id", "deployment_id", "hostname", "agent_id", "received", ordered.alias("metrics"), "agent_version"
     )
+
+
+@query("q11_control", "agents", """
+SELECT event_id, 'node-num-dep' || user_id % 5 AS agent_id, a.paused AS paused FROM events LEFT JOIN
+  (SELECT 'node-num-dep' || agent_id % 5 AS id, bool_or(paused) AS paused FROM agents WHERE agent_id % 5 <> 3 GROUP BY 1) a ON id = 'node-num-dep' || user_id % 5
+WHERE event_id % 10 <> 7 AND event_id % 6 <> 0""")
+def q11_control(t):
+    """The answer to an ingest carries the agent's paused flag; unknown agents have none."""
+    named = F.concat(F.lit("node-num-dep"), F.col("agent_id") % 5).alias("agent_id")
+    agents = t.agents.where("agent_id % 5 <> 3").groupBy(named).agg(F.bool_or("paused").alias("paused"), F.lit(15).alias("collection_interval"))
+    out = store.registry_from_ingest(payloads.envelopes(texts(t, ENVELOPE_BODY)), agents)
+    return out.where("agent_id IS NOT NULL").select("event_id", "agent_id", "paused")

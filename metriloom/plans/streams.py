@@ -37,6 +37,13 @@ def t01(t):
     return flat(jobs.replay(samples.withColumn("date", F.to_date("timestamp")), "ingest", ["date"]))
 
 
+@query("t01_stream_rejects", "", SQL["s02_ingest_rejects"])
+def t01_rejects(t):
+    rows = streamed(t).events.select("event_id", F.expr(ENVELOPE_BODY).alias("body"), F.expr("ts + INTERVAL 1 HOUR").alias("received_at"))
+    _, rejects = jobs.stream_ingest(rows, keep=["event_id"])
+    return jobs.replay(rejects, "rejects").select("event_id", "reason")
+
+
 @query("t02_stream_align", "samples", """
 SELECT name, time_bucket(INTERVAL 5 MINUTE, timestamp) AS timestamp, round(avg(value), 6) AS mean, round(sum(value), 4) AS total, count(value) AS samples
 FROM samples GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE <= (SELECT max(timestamp) FROM samples) - INTERVAL 10 MINUTE""")

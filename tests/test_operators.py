@@ -344,7 +344,7 @@ def test_deployment_names_stay_unique(spark):
     ]
     df = spark.createDataFrame([(i, START + timedelta(minutes=s), s, k, n, d, None) for i, s, k, n, d in ev], "id string, timestamp timestamp, seq long, kind string, name string, description string, environment string")
     got = {r["id"]: (r["name"], r["description"], r["environment"]) for r in store.deployment_registry(df).collect()}
-    assert got == {"a": ("web", "", "development"), "d": ("api", "kept", "development")}
+    assert got == {"a": ("web", "", "development"), "d": ("api", "", "development")}
     agents = spark.createDataFrame([("x", "a"), ("y", "e")], "agent_id string, deployment_id string")
     assert [r["agent_id"] for r in store.cascade_delete(agents, store.deployment_registry(df)).collect()] == ["x"]
 
@@ -400,3 +400,16 @@ def test_agent_registry_takes_metric_lists(spark):
     for name, kind in (("hostname", "string"), ("agent_version", "string"), ("deployment_id", "string"), ("metrics_count", "long"), ("paused", "boolean"), ("collection_interval", "int")):
         df = df.withColumn(name, F.lit(None).cast(kind))
     assert store.agent_registry(df).first()["metrics"] == ["cpu", "mem"]
+
+
+def names_after(spark, *events):
+    rows = [(i, START + timedelta(minutes=n), n, k, name, None, None) for n, (i, k, name) in enumerate(events)]
+    df = spark.createDataFrame(rows, "id string, timestamp timestamp, seq long, kind string, name string, description string, environment string")
+    return {r["id"]: r["name"] for r in store.deployment_registry(df.repartition(3)).collect()}
+
+
+def test_a_name_is_judged_when_it_is_claimed(spark):
+    assert names_after(spark, ("a", "create", "x"), ("b", "create", "x"), ("a", "update", "y")) == {"a": "y"}
+    assert names_after(spark, ("a", "create", "x"), ("b", "create", "z"), ("b", "update", "x"), ("a", "delete", None)) == {"b": "z"}
+    assert names_after(spark, ("a", "create", "x"), ("a", "delete", None), ("b", "create", "x"), ("c", "create", "y"), ("b", "update", "w"), ("c", "update", "x")) == {"b": "w", "c": "x"}
+    assert names_after(spark, ("a", "create", "x"), ("b", "create", "y"), ("a", "update", "x"), ("a", "create", "q")) == {"a": "x", "b": "y"}
