@@ -95,10 +95,13 @@ def _chunk_exits(cooldown: int, chunk: int):
 
     def one(number: int, times: np.ndarray) -> tuple[list, list]:
         n, hop = len(times), _hops(times, cooldown)
-        exits = times.copy()
-        for i in range(n - 1, -1, -1):
-            if hop[i] < n:
-                exits[i] = exits[hop[i]]
+        end = np.where(hop < n, hop, np.arange(n))
+        while True:  # every step doubles how far each time has followed its hops
+            further = end[end]
+            if np.array_equal(further, end):
+                break
+            end = further
+        exits = times[end]
         # an earlier chunk can block at most the first cooldown of this one
         firsts = min(n, int(np.searchsorted(times, number * chunk + cooldown, side="left")) + 1)
         picked = np.flatnonzero(np.append(exits[1:firsts] != exits[: firsts - 1], True))
