@@ -68,25 +68,29 @@ def encode_match(word: bytes, ranks: dict[bytes, int], longest: int) -> list[int
         at %= size
         gone = after[at]
         after[at] = end = after[gone]
-        changed = [(gone + size, NONE)]
+        tree[gone + size] = NONE
+        rank = None
         if end < n:
             before[end] = at
-            rank = get(word[at : after[end]]) if after[end] - at <= longest else None
-            changed.append((at + size, NONE if rank is None else rank * size + at))
-        else:
-            changed.append((at + size, NONE))
+            if after[end] - at <= longest:
+                rank = get(word[at : after[end]])
+        tree[at + size] = NONE if rank is None else rank * size + at
         left = before[at]
         if left >= 0:
             rank = get(word[left:end]) if end - left <= longest else None
-            changed.append((left + size, NONE if rank is None else rank * size + left))
-        for i, value in changed:
-            while tree[i] != value:  # an unchanged minimum ends the climb
-                tree[i] = value
-                i >>= 1
-                if not i:
-                    break
-                a, b = tree[2 * i], tree[2 * i + 1]
-                value = a if a < b else b
+            tree[left + size] = NONE if rank is None else rank * size + left
+        # the three leaves are near each other, so their ways to the root soon join
+        i, j, k = (gone + size) >> 1, (at + size) >> 1, (max(left, 0) + size) >> 1
+        while i:
+            a, b = tree[2 * i], tree[2 * i + 1]
+            tree[i] = a if a < b else b
+            if j != i:
+                a, b = tree[2 * j], tree[2 * j + 1]
+                tree[j] = a if a < b else b
+            if k != j:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                tree[k] = a if a < b else b
+            i, j, k = i >> 1, j >> 1, k >> 1
     ids, at = [], 0
     while at < n:
         ids.append(ranks[word[at : after[at]]])
