@@ -16,7 +16,7 @@
 
 Matches never cross documents. A null text is empty; texts shorter than ``length`` keep every byte;
 equal rows repeat each other; an empty table gives an empty table. Columns named like the results or
-like the helpers (``_k1``, ``_k2``, ``_runs``) are replaced.
+like the helpers (``HELPERS``) are replaced.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ GRAM = 128  # a power of two
 #: bytes of a text that are hashed at once
 TEXT_BLOCK = 4 << 20
 #: bytes of a suffix array, and different segments of an anchor that one shard holds
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SPLIT_SEGMENTS = 20_000
+HELPERS = ("n_bytes", "n_removed", "n_spans", "kept", "_k1", "_k2", "_runs", "_pieces")
 MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(1, 40)]
 
 
@@ -226,13 +227,16 @@ def anchored(docs: DataFrame, text: str, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, shuffled: DataFrame, text: str, length: int, split: int) -> DataFrame:
     """``_k1, _k2, first, last``: runs of repeated window starts. ``shuffled`` are the rows of ``docs`` by key."""
     found = written(anchored(docs, text, length), "anchors")
+    # written, so that the join shuffles anew and Spark can split the rows of a frequent anchor
     twice = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("mark") != F.max("mark")).alias("mixed")).where("n > 1")
+    twice = written(twice, "twice")
     shared = written(found.join(twice.select("anchor", "mixed"), "anchor"), "shared")
     equal = shared.where("not mixed")
     mixed = shared.where("mixed")
     kinds = mixed.groupBy("anchor", "mark").agg(F.count("*").alias("n"), F.min(F.struct("_k1", "_k2", "first", "last")).alias("one"))
+    kinds = written(kinds, "kinds")
     copies = mixed.join(kinds.where("n > 1").select("anchor", "mark"), ["anchor", "mark"], "left_semi")
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > split)
+    hot = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > split), "hot")
     single = kinds.join(hot.select("anchor", F.ceil(F.col("kinds") / split).alias("shards")), "anchor", "left").select(
         "one._k1", "one._k2", F.struct("anchor", F.coalesce("shards", F.lit(1).cast("long")).alias("shards"), (F.col("n") > 1).alias("known"), "one.first", "one.last").alias("piece")
     )
@@ -386,7 +390,7 @@ def remove_repeats(
     ``whole_characters`` leaves a character in place unless all its bytes repeat, so ``kept`` is UTF-8.
     """
     small_batches(df.sparkSession)
-    base = df.drop("n_bytes", "n_removed", "n_spans", "kept", "_k1", "_k2", "_runs", "_pieces")
+    base = df.drop(*HELPERS)
     docs = keyed(base, text, doc_id)
     shuffled = docs.repartition("_k1", "_k2")
     runs = repeated_runs(docs, shuffled, text, length, split)
