@@ -207,12 +207,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     roots = connected(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     tied = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return (
-        marked.withColumnRenamed("simhash", "fp")
-        .join(tied.select("fp", "root"), "fp")
-        .join(named, "root")
-        .select("doc_id", F.col("fp").alias("simhash"), "component_id")
-    )
+    # written, so that the last join shuffles both sides anew and Spark can split a fingerprint of many copies
+    names = written(tied.join(named, "root").select("fp", "component_id"), "components")
+    return marked.withColumnRenamed("simhash", "fp").join(names, "fp").select("doc_id", F.col("fp").alias("simhash"), "component_id")
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
