@@ -1,8 +1,8 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over ``host + path`` with the literal tokens (runs of letters, digits and
-hyphens, whole between other characters) that every match contains. Of these, the one that fewest URLs
-hold is the rule's key. A URL fetches the rules of its own tokens, and only those run their expression.
+A rule is a regular expression over ``host + path`` with the literal tokens (runs of letters and digits,
+whole between other characters; hyphens part tokens too) that every match contains. Of these, the one that
+fewest URLs hold is the rule's key. A URL fetches the rules of its own tokens, and only those run their expression.
 Host rules (``host/path``: the host with all subdomains, and paths that start with ``/path``) are pattern
 rules too. Among fitting host rules the longest decides, then block; a URL without one is blocked if any
 content pattern fits, and else allowed.
@@ -32,8 +32,8 @@ RULES = [
 #: content patterns for URLs without a host rule: a token, and the expression it must sit in
 PATTERNS = [
     ("spam-farm", r"(^|\.)spam-farm\."),
-    ("casino", r"(^|[^A-Za-z0-9-])casino([^A-Za-z0-9-]|$)"),
-    ("xxx", r"(^|[^A-Za-z0-9-])xxx([^A-Za-z0-9-]|$)"),
+    ("casino", r"(^|[./-])casino([./-]|$)"),
+    ("xxx", r"(^|[./-])xxx([./-]|$)"),
     ("adserver", r"(^|\.)adserver\."),
     ("doubleclick", r"(^|\.)doubleclick\."),
 ]
@@ -52,7 +52,7 @@ class Rule:
 def host_rule(verdict: str, text: str) -> Rule:
     """The pattern of ``host/path``. A token at the end of the path may go on in the URL, so it is none."""
     host, _, path = text.partition("/")
-    whole = re.findall(r"(?<![A-Za-z0-9-])[A-Za-z0-9-]+(?=[^A-Za-z0-9-])", f"{host}/{path}")
+    whole = re.findall(r"(?<![A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])", f"{host}/{path}")
     return Rule(text, verdict, rf"^([^/]*\.)?{_literal(host)}/{_literal(path)}", tuple(dict.fromkeys(whole)))
 
 
@@ -77,17 +77,17 @@ def split_url(url: str | Column) -> tuple[Column, Column]:
 
 def tokens(subject: Column) -> Column:
     """Different tokens of ``host + path``. Letters of the path keep their case, as rules compare it."""
-    return F.array_distinct(F.filter(F.split(subject, r"[^A-Za-z0-9-]+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(subject, "[^A-Za-z0-9]+"), lambda t: t != ""))
 
 
 def index_rules(urls: DataFrame, rules: Sequence[Rule], subject: str = "_subject") -> DataFrame:
     """``token, name, verdict, pattern``: each rule under its token that fewest URLs hold (ties: first)."""
     spark = urls.sparkSession
-    given = list(dict.fromkeys(rules))
-    if any(not r.tokens for r in given):
+    given = {r: [part for t in r.tokens for part in t.split("-") if part] for r in rules}
+    if not all(given.values()):
         raise ValueError("a rule needs a literal token")
     schema = "name string, verdict string, pattern string, tokens array<string>"
-    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens)) for r in given], schema)
+    table = spark.createDataFrame([(r.name, r.verdict, r.pattern, parts) for r, parts in given.items()], schema)
     wanted = table.select(F.explode("tokens").alias("token")).distinct()
     held = urls.select(F.explode(tokens(F.col(subject))).alias("token"))
     counts = held.join(_few(wanted, len(given)), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))

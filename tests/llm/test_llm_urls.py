@@ -58,3 +58,25 @@ def test_rules_without_token_and_empty_table(spark):
     with pytest.raises(ValueError):
         urls.judge(spark.createDataFrame([(1, "x")], SCHEMA), [urls.Rule("", "block", ".", ())]).collect()
     assert urls.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hyphenated_uses_of_content_patterns(spark):
+    # written out apart from the module
+    pattern = re.compile(r"(^|\.)(spam-farm|adserver|doubleclick)\.|(^|[./-])(casino|xxx)([./-]|$)")
+    given = [
+        "http://a.casino-win.example.net/x", "http://best-casino.net/", "http://casino-win.net", "http://x.net/free-xxx-clips/1", "http://x.net/my-casino",
+        "http://casinos-win.net/", "http://x.net/xxxl-shirts", "http://a.spam-farm.net/", "http://spam-farm-x.net/", "http://a-spam-farm.net/", "http://x.net/spam/farm", "http://my-adserver.net/",
+    ]
+    df = spark.createDataFrame(list(enumerate(given)), SCHEMA)
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()}
+    assert got == {i: "block" if pattern.search(u[7:]) else "allow" for i, u in enumerate(given)}
+    assert [got[i] for i in range(6)] == ["block"] * 5 + ["allow"]
+
+
+def test_keys_of_hyphenated_rules(spark):
+    rules = [urls.host_rule("block", "my-shop.example/a-b"), *urls.default_rules()]
+    assert rules[0].tokens == ("my", "shop", "example", "a")
+    df = spark.createDataFrame([("spam.net/",), ("x.spam-farm.net/",)], "_subject string")
+    assert {r["token"] for r in urls.index_rules(df, rules).collect() if "spam" in r["pattern"]} == {"farm"}
+    df = spark.createDataFrame([(1, "http://www.my-shop.example/a-bc"), (2, "http://not-my-shop.example/a-b")], SCHEMA)
+    assert sorted((r["page_id"], r["verdict"]) for r in urls.judge(df, rules).collect()) == [(1, "block"), (2, "allow")]
