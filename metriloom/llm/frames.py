@@ -50,6 +50,26 @@ def whole_text(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: order of the rows of a group: by id, null ids last, then by text and by the other columns
+ROW_KEY = ("_no_id", "_id", "_text_hash", "_row_hash")
+
+
+def keyed(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``_row`` with all columns, and the columns of ``ROW_KEY``, which only equal rows share (maps are not compared)."""
+    plain = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return df.select(
+        F.struct(*df.columns).alias("_row"), F.col(doc_id).isNull().alias("_no_id"), F.col(doc_id).alias("_id"),
+        F.md5(whole_text(text)).alias("_text_hash"), F.xxhash64(*plain).alias("_row_hash"),
+    )
+
+
+def picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The ``keyed`` rows whose key is among ``chosen``, equal rows once."""
+    to = chosen.select(F.col("_id").alias("_to_id"), F.col("_text_hash").alias("_to_text"), F.col("_row_hash").alias("_to_row"))
+    same = F.col("_id").eqNullSafe(F.col("_to_id")) & (F.col("_text_hash") == F.col("_to_text")) & (F.col("_row_hash") == F.col("_to_row"))
+    return rows.join(to, same, "left_semi").dropDuplicates(["_id", "_text_hash", "_row_hash"])
+
+
 def kept_by_worker(key: str, make: Callable[[], Any]) -> Any:
     """What ``make`` gives, kept by this Python worker for its later tasks; one object at a time."""
     store = sys.modules.setdefault("_metriloom_kept", types.ModuleType("_metriloom_kept"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metriloom.llm.components import connected
-from metriloom.llm.frames import add_arrow_column, small_batches, texts
+from metriloom.llm.frames import ROW_KEY, add_arrow_column, keyed, picked, small_batches, texts
 from metriloom.session import written
 
 RADIUS = 3
@@ -200,12 +200,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return rows.repartition(*shards).sortWithinPartitions(*shards).mapInArrow(run, "a long, b long")
 
 
+def _tied(distinct: DataFrame, radius: int) -> DataFrame:
+    """Fingerprints ``fp`` with the ``root`` of their component."""
+    roots = connected(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """``doc_id, simhash, component_id`` of every row; components follow links of at most ``radius`` bits."""
     marked = written(fingerprints(df.select(doc_id, text), text).select(F.col(doc_id).alias("doc_id"), "simhash"), "simhash")
     distinct = written(marked.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = connected(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    tied = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tied = _tied(distinct, radius)
     named = tied.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # written, so that the last join shuffles both sides anew and Spark can split a fingerprint of many copies
     names = written(tied.join(named, "root").select("fp", "component_id"), "components")
@@ -213,7 +218,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", r
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows that name their component: one per group of near-duplicates, all columns as they were."""
-    found = near_duplicates(df, text, doc_id, radius)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id])
+    """One row of each component, all columns as they were: that of the smallest id, null ids last, then by content."""
+    rows = keyed(df, text, doc_id)
+    marked = fingerprints(rows.select(*ROW_KEY, F.col("_row")[text].alias("text"))).select(*ROW_KEY, F.col("simhash").alias("fp"))
+    distinct = written(marked.groupBy("fp").agg(F.min(F.struct(*ROW_KEY)).alias("least")), "fingerprints")
+    chosen = _tied(distinct, radius).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    return picked(rows, written(chosen, "survivors")).select("_row.*")

@@ -114,3 +114,18 @@ def test_null_ids_and_empty_table(spark):
     assert got == [(0, 0), (0, 0), (0, 5), (5, 5)]
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    texts = prose(6, seed=40, low=40, high=60)
+    rows = [
+        (None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (None, texts[2], 3), (4, texts[2], 4),
+        (7, texts[3], 5), (7, texts[4], 6), (7, texts[4], 6), (9, texts[4], 7), (8, texts[5], 9), (8, texts[5], 8), (None, None, 1),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA + ", mark int")
+    want = {(None, texts[0], 1), (None, texts[1], 2), (4, texts[2], 4), (7, texts[3], 5), (7, texts[4], 6), (None, None, 1)}
+    runs = [simhash.keep_one(df.repartition(n)).collect() for n in (1, 5)]
+    for run in runs:
+        got = {tuple(r) for r in run}
+        assert {r for r in got if r[0] != 8} == want and len(run) == len(want) + 1
+    assert {tuple(r) for r in runs[0]} == {tuple(r) for r in runs[1]}
