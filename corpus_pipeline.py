@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metriloom.llm import near_copies, packing, suffix, toxicity
+from metriloom.llm import packing, simhash, suffix, toxicity
 from metriloom.session import written
 
 
@@ -19,13 +19,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops the documents that are scored as toxic, by examples that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out()).select("doc_id", "toxic")
     index = toxicity.fit(docs, labels)
-    scored = docs.select("*", F.struct(*docs.columns).alias("_row"))
-    return toxicity.score(scored, index).where("predicted = 0").select("_row.*")
+    scored = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("_whole"))
+    return toxicity.score(scored, index).where("predicted = 0").select("_whole.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of near copies: Jaccard of five-word shingles of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """Keeps the first row of each component of SimHash links: three-word shingles, at most three bits apart."""
+    return simhash.keep_one(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
