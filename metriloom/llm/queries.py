@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import ann, licenses, order_minhash, packing, simhash, suffix, tokens, toxicity, urls, warc
+from metriloom.llm import ann, licenses, order_minhash, packing, prefix_trie, simhash, suffix, tokens, toxicity, urls, warc
 from metriloom.plans.registry import query
 from metriloom.session import new_path, written
 
@@ -136,3 +136,41 @@ def op10(t):
     vectors = t.table("embeddings")
     index = written(ann.build_index(vectors), "graphs")
     return ann.search(index, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+#: the CRC-32 table by its rule (fixed polynomial 0xEDB88320), and CRC-32 of an ASCII string
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_table"
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII SQL string, where ``crc_table`` is in scope."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(({text})[i]) AS BIGINT))"
+    step = "lambda c, b: xor(c // 256, crc_table[xor(c % 256, b) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {step.replace('xor(c % 256, b)', 'xor(c, b) % 256')}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH crc AS ({CRC_TABLE_SQL}),
+t AS (SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, said, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, said) - 1 AS pos FROM t),
+cv AS (SELECT c, c - c % 20 AS base, {crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM o), crc),
+sz AS (SELECT c AS base, count(*) AS n_base FROM o GROUP BY c),
+r AS (SELECT cv.c, pos, said, words FROM cv JOIN o ON o.c = base WHERE pos < h
+  UNION ALL SELECT c, pos - h + least(h, coalesce(n_base, 0)), said, words FROM cv JOIN o USING (c) LEFT JOIN sz USING (base) WHERE pos >= h),
+q AS (SELECT c, coalesce(list(said ORDER BY pos) FILTER (said IS NOT NULL), CAST([] AS VARCHAR[])) AS saids, list(words ORDER BY pos) AS words FROM cv LEFT JOIN r USING (c) GROUP BY c),
+p AS (SELECT c, d, len(saids) AS size, md5(array_to_string(saids[1:d], '')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(saids[1:d - 1], '')) END AS above,
+  CASE WHEN d > 0 THEN words[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(len(saids) + 1)) AS d FROM q)),
+n AS (SELECT node, d, any_value(above) AS above, min(c) AS conv, count(*) AS n, any_value(w) AS w,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '')) AS ends FROM p GROUP BY node, d),
+k AS (SELECT above AS node, count(*) AS children FROM n WHERE d > 0 GROUP BY above),
+f AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (node)),
+s AS (SELECT p.node, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum((f.n - 1) * f.w) AS saved FROM f JOIN p ON p.c = f.conv AND p.d <= f.d GROUP BY p.node)
+SELECT f.conv AS conv_id, CAST(f.d AS BIGINT) AS depth, u.conv AS parent_conv_id, f.n AS n_convs, CAST(f.children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s USING (node) LEFT JOIN n u ON f.above = u.node"""
+
+
+@query("op11_prefix_trie", "", OP11_SQL)
+def op11(t):
+    return prefix_trie.nodes(prefix_trie.with_shared_starts(prefix_trie.turns_of(t.table("conversations")))).drop("k1", "k2")
