@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import ann, licenses, order_minhash, packing, prefix_trie, simhash, suffix, tokens, toxicity, urls, warc
+from metriloom.llm import ann, licenses, order_minhash, packing, prefix_trie, repair, simhash, suffix, tokens, toxicity, urls, warc
 from metriloom.plans.registry import query
 from metriloom.session import new_path, written
 
@@ -174,3 +174,41 @@ FROM f JOIN s USING (node) LEFT JOIN n u ON f.above = u.node"""
 @query("op11_prefix_trie", "", OP11_SQL)
 def op11(t):
     return prefix_trie.nodes(prefix_trie.with_shared_starts(prefix_trie.turns_of(t.table("conversations")))).drop("k1", "k2")
+
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE_SQL}),
+g AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS own_role, coalesce(text, ' ') AS own_text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+d AS (SELECT g.*, {crc32_sql("k")} % 20 AS kind FROM g, crc),
+e AS (SELECT c, turn, own_role, md5(own_text) AS own_md5, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy, CASE WHEN kind = 4 THEN 'user' ELSE own_role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(own_text, '[.!?]', '', 'g') ELSE own_text END AS text FROM d WHERE kind <> 0),
+o AS (SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, own_role, own_md5, copy) AS i FROM e),
+m AS (SELECT *, substr(role, 1, 1) AS initial, lead(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS next_initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail,
+  row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again FROM o),
+r AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM m),
+ins AS (SELECT * FROM (VALUES (0, 0, '', CAST([] AS VARCHAR[]), 0), (0, 2, 'I', ['user:'], 3), (0, 3, 'II', ['user:', 'assistant:'], 6), (1, 1, '', [], 0), (1, 2, 'I', ['user:'], 3),
+  (1, 3, 'II', ['user:', 'assistant:'], 6), (2, 2, '', [], 0), (2, 3, 'I', ['assistant:'], 3), (3, 3, '', [], 0), (3, 2, 'I', ['user:'], 3)) AS v(was, s, letters, lines, cost)),
+ed AS (SELECT * FROM (VALUES ('D', 0, 0, NULL, 4, NULL), ('D', 1, 1, NULL, 4, NULL), ('D', 2, 2, NULL, 4, NULL), ('D', 3, 3, NULL, 4, NULL),
+  ('K', 0, 1, 's', 0, NULL), ('K', 0, 2, 'u', 0, NULL), ('K', 1, 2, 'u', 0, NULL), ('K', 3, 2, 'u', 0, NULL), ('K', 2, 3, 'a', 0, NULL),
+  ('R', 0, 2, NULL, 3, 'user'), ('R', 1, 2, NULL, 3, 'user'), ('R', 3, 2, NULL, 3, 'user'), ('R', 2, 3, NULL, 3, 'assistant')) AS v(letter, s, t, need, cost, name)),
+best AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM r
+  UNION ALL
+  SELECT c, i, s, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines FROM (
+    SELECT b.c, r.i, ed.t AS s, b.cost + ins.cost + ed.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END AS cost, b.audit || ins.letters || ed.letter AS audit,
+      list_concat(b.lines, ins.lines, CASE WHEN letter = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(ed.name, r.role) || ':' || r.text] END) AS lines
+    FROM best b JOIN r ON r.c IS NOT DISTINCT FROM b.c AND r.i = b.i + 1 JOIN ins ON ins.was = b.s JOIN ed ON ed.s = ins.s
+    WHERE (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (need IS NULL OR need = initial)) AS x GROUP BY c, i, s),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (next_initial IS NOT NULL AND initial || next_initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+z AS (SELECT b.c, min(b.cost + ins.cost) AS cost, arg_min(audit || letters, (b.cost + ins.cost, audit || letters)) AS audit,
+  arg_min(list_concat(b.lines, ins.lines), (b.cost + ins.cost, audit || letters)) AS lines
+  FROM best b JOIN n ON n.c IS NOT DISTINCT FROM b.c AND n.n = b.i JOIN ins ON ins.was = b.s WHERE ins.s IN (0, 3) GROUP BY b.c)
+SELECT a.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id AS c FROM conversations) a LEFT JOIN n ON n.c IS NOT DISTINCT FROM a.c LEFT JOIN z ON z.c IS NOT DISTINCT FROM a.c"""
+
+
+@query("op13_conversation_repair", "", OP13_SQL)
+def op13(t):
+    return repair.repair(t.table("conversations"))
