@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from metriloom.llm import ann, licenses, order_minhash, packing, prefix_trie, repair, simhash, suffix, tokens, toxicity, urls, warc
+from metriloom.llm import ann, licenses, order_minhash, packing, prefix_trie, quality, repair, simhash, suffix, tokens, toxicity, urls, warc
 from metriloom.plans.registry import query
 from metriloom.session import new_path, written
 
@@ -212,3 +212,10 @@ FROM (SELECT DISTINCT conv_id AS c FROM conversations) a LEFT JOIN n ON n.c IS N
 @query("op13_conversation_repair", "", OP13_SQL)
 def op13(t):
     return repair.repair(t.table("conversations"))
+
+
+@query("op12_quality")
+def op12(t):
+    rows = written(quality.featured(t.table("documents").select("doc_id", "text")).drop("text"), "features")
+    model = quality.fit(rows, t.table("labels").where(~quality.held_out()).select("doc_id", "quality"))
+    return quality.score(rows, model).withColumn("held_out", quality.held_out()).select("doc_id", "held_out", "score", "predicted")
