@@ -1,5 +1,7 @@
 """Streaming queries: the event table is replayed as a stream and the written table is compared."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from metriloom.operators import forecast, store
@@ -22,10 +24,37 @@ class StreamTables(Tables):
         return jobs.read_table_stream(self.spark, f"{self.folder}/events.parquet", schema, files_per_trigger=256)
 
 
+class ShuffledTables(Tables):
+    """The same, with the events dealt over files at random and read in ``BATCHES`` micro-batches.
+
+    Every batch holds times of the whole span; the watermark's delay covers it.
+    """
+
+    BATCHES = 3
+
+    @cached_property
+    def events(self):
+        source = self.table("events")
+        files = max(2 * self.BATCHES, source.rdd.getNumPartitions())  # as many as the scan has splits
+        path = new_path(self.spark, "shuffled")
+        source.repartition(files, "event_id").write.parquet(path)
+        return jobs.read_table_stream(self.spark, path, source.schema, files_per_trigger=-(-files // self.BATCHES))
+
+
 def streamed(t):
     return StreamTables(t.spark, t.folder)
 
 
+#: waits longer than the events span, and slots in which rows wait
+ANY_ORDER = {"delay": "100 days", "slot_seconds": 6 * 3600}
+
+
+def from_shuffled(t, label, make):
+    """Rows of an ordered stream over shuffled samples; ``make`` builds it."""
+    stream, close = jobs.closed_by(ShuffledTables(t.spark, t.folder).samples, "timestamp", new_path(t.spark, "end"))
+    return jobs.replay(make(stream), label, close=close).where("NOT late")
+
+
 def naive(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -77,8 +106,8 @@ def t03(t):
 
 @query("t04_stream_cooldown", "", f"SELECT name, deployment, seq, timestamp, accepted FROM ({SQL['r06_cooldown']})")
 def t04(t):
-    out = stateful.stream_cooldown(streamed(t).samples, keys=SERIES, cooldown_seconds=6 * 3600)
-    return naive(jobs.replay(out, "cooldown"), "timestamp").select(*SERIES, "seq", "timestamp", "accepted")
+    out = from_shuffled(t, "cooldown", lambda s: stateful.stream_cooldown(s, keys=SERIES, cooldown_seconds=6 * 3600, **ANY_ORDER))
+    return naive(out, "timestamp").select(*SERIES, "seq", "timestamp", "accepted")
 
 
 @query("t05_stream_alerts", "samples", """
@@ -87,14 +116,14 @@ g AS (SELECT *, count(*) FILTER (NOT holds) OVER (PARTITION BY name, deployment
 s AS (SELECT *, min(timestamp) FILTER (holds) OVER (PARTITION BY name, deployment, grp) AS since FROM g)
 SELECT name, deployment, seq, timestamp, CASE WHEN NOT holds THEN 'inactive' WHEN timestamp - since >= INTERVAL 2 HOUR THEN 'firing' ELSE 'pending' END AS state FROM s""")
 def t05(t):
-    out = stateful.stream_alerts(streamed(t).samples, keys=SERIES, op=">", threshold=30.0, for_seconds=7200)
-    return naive(jobs.replay(out, "alerts"), "timestamp").select(*SERIES, "seq", "timestamp", "state")
+    out = from_shuffled(t, "alerts", lambda s: stateful.stream_alerts(s, keys=SERIES, op=">", threshold=30.0, for_seconds=7200, **ANY_ORDER))
+    return naive(out, "timestamp").select(*SERIES, "seq", "timestamp", "state")
 
 
 @query("t06_stream_history", "", SQL["p05_online_baseline"])
 def t06(t):
     keys = ["name", "host"]
-    facts = jobs.replay(stateful.stream_history(streamed(t).samples, keys=keys), "history")
+    facts = from_shuffled(t, "history", lambda s: stateful.stream_history(s, keys=keys, **ANY_ORDER))
     newest = store.get_latest(facts, keys=keys, ts="until", tie="n")
     return forecast.online_values(newest, 12, keys=keys).select(*keys, "step", r("value"))
 
@@ -104,7 +133,7 @@ WITH w AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS mean, greatest(s
   WINDOW p AS (PARTITION BY name, deployment ORDER BY timestamp, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT name, deployment, seq, timestamp, value, round(mean, 8) AS expected, round(abs(value - mean) / std, 5) AS score FROM w WHERE n >= 12 AND round(abs(value - mean) / std, 5) > 2.5""")
 def t07(t):
-    out = jobs.replay(stateful.stream_zscore(streamed(t).samples, keys=SERIES, digits=5), "zscore")
+    out = from_shuffled(t, "zscore", lambda s: stateful.stream_zscore(s, keys=SERIES, digits=5, **ANY_ORDER))
     return naive(out, "timestamp").select(*SERIES, "seq", "timestamp", "value", r("expected", 8), r("score", 5))
 
 

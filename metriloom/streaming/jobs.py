@@ -44,12 +44,50 @@ def start(df: DataFrame, path: str, checkpoint: str, *, available_now: bool = Fa
     return writer.start()
 
 
-def replay(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Run a stream over everything available and read the table it wrote."""
+def start_split(df: DataFrame, path: str, late_path: str, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
+    """Append the rows of an ordered stream to one table and its late rows to another.
+
+    A batch writes its own folder of either table, so a repeated batch replaces what it wrote.
+    """
+
+    def write(frame: DataFrame, batch: int) -> None:
+        frame.persist()
+        for rows, at in (("NOT late", path), ("late", late_path)):
+            frame.where(rows).drop("late").write.mode("overwrite").parquet(f"{at}/batch={batch}")
+        frame.unpersist()
+
+    writer = df.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def closed_by(stream: DataFrame, ts: str, path: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with an end: calling the second value moves the watermark beyond all times of the stream.
+
+    The end is one row without key and value at the last day that timestamps know, in a file below ``path``, a
+    shared folder that the returned stream reads as well. It is never applied itself.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    columns = [(F.lit("9999-12-30") if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+    end = spark.range(1).select(*columns)
+    end.limit(0).write.parquet(path)
+    rows = spark.readStream.schema(schema).parquet(path)
+    return stream.unionByName(rows), lambda: end.write.mode("append").parquet(path)
+
+
+def replay(df: DataFrame, label: str, partition_by: Sequence[str] = (), close: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over everything available and read the table it wrote.
+
+    With ``close`` (see ``closed_by``) the stream goes on after its end is set, so that rows waiting for the
+    watermark are released.
+    """
     spark = df.sparkSession
     out = new_path(spark, label)
-    query = start(df, f"{out}/table", f"{out}/checkpoint", available_now=True, partition_by=partition_by)
-    query.awaitTermination()
+    for finish in (None, close) if close else (None,):
+        if finish:
+            finish()
+        start(df, f"{out}/table", f"{out}/checkpoint", available_now=True, partition_by=partition_by).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/table")
 
 

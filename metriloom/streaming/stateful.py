@@ -1,8 +1,8 @@
 """Stateful stream operators: liveness, cooldown, alerts, history and running z-score.
 
-Each processor keeps a few numbers per series (the history keeps its trimmed list). Rows of a series
-that arrive in one micro-batch are put in time order before they are applied; the size of that group is
-bounded by the trigger's input limit.
+Each processor keeps a few numbers per series (the history keeps its trimmed list). Cooldown, alerts, history
+and z-score do not depend on the order of arrival: rows wait in state, by time slot, until the watermark has
+passed, and are then applied in event-time order; rows behind it are handed out as late.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -19,6 +20,8 @@ from metriloom.functions.quantities import finite
 from metriloom.streaming.jobs import use_state_store, with_event_time
 
 LONG = T.LongType()
+#: event time in microseconds; a name that begins with a letter, as rows are handed to processors as named tuples
+TIME = "event_us"
 
 
 def _schema(**fields: T.DataType) -> T.StructType:
@@ -113,106 +116,213 @@ class LivenessProcessor(_Processor):
         yield from self._emit(key, out)
 
 
-class CooldownProcessor(_Processor):
+class OrderedProcessor(_Processor):
+    """Applies the rows of a series in event-time order, however they arrive.
+
+    A row waits in a map state under its time slot until the watermark has passed the slot's end; no row of the
+    slot can then be accepted any more. A timer at the end of the earliest waiting slot releases all slots that
+    are complete, in order, and each slot's rows by (time, tie). A row whose slot is complete already, or that
+    has no time, is late: it changes nothing and goes out with ``late`` set and no result.
+
+    Arriving rows are only written (one entry per slot and Arrow batch, never read again before their release),
+    so a call holds one Arrow batch or one slot of one series, however many rows the series has.
+    """
+
+    def __init__(self, keys, ts, tie, value: str | None, slot_seconds: int):
+        super().__init__(keys, ts, tie)
+        self.value, self.slot_ms = value, slot_seconds * 1_000
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        lists = _schema(at=T.ArrayType(LONG), tie=T.ArrayType(LONG), value=T.ArrayType(T.DoubleType()))
+        self.pending = handle.getMapState("pending", _schema(slot=LONG, part=LONG), lists)
+        self.plan = handle.getValueState("plan", _schema(parts=LONG, timer=LONG))  # entries written, time of the timer
+
+    def fold(self, carry: tuple | None, at: np.ndarray, tie: np.ndarray, value: np.ndarray) -> tuple[tuple | None, dict | None]:
+        """New carried state and output columns for rows in order."""
+        raise NotImplementedError
+
+    def released(self, carry: tuple | None, until: int | None) -> dict | None:
+        """Output columns after all complete slots have been applied; ``until`` is the time of the last row."""
+        return None
+
+    def late_rows(self, at: pd.Series, tie: pd.Series, value: pd.Series | None) -> dict:
+        return {self.tie: tie, self.ts: at}
+
+    def _out(self, key, columns: dict, late: bool) -> pd.DataFrame:
+        return self.keyed(key, pd.DataFrame(columns).assign(late=late))
+
+    def _set_timer(self, parts: int, old: int, new: int) -> None:
+        if new != old:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            if new >= 0:
+                self.handle.registerTimer(new)
+        self.plan.update((parts, new))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        parts, timer = self.plan.get() if self.plan.exists() else (0, -1)
+        earliest = timer
+        for pdf in rows:
+            if self.value is not None:
+                pdf = self.judged(pdf)
+            timed = pdf[TIME].notna().to_numpy()
+            at = pdf[TIME].fillna(0).to_numpy("int64")
+            end = (at // 1_000 // self.slot_ms + 1) * self.slot_ms
+            late = ~timed | ((end <= mark) & (mark > 0))
+            if late.any():
+                value = pdf[self.value][late] if self.value is not None else None
+                yield self._out(key, self.late_rows(_times(at[late]).where(timed[late]), pdf[self.tie][late].reset_index(drop=True), value), True)
+            chosen = np.flatnonzero(~late)
+            order = chosen[np.argsort(end[chosen], kind="stable")]
+            tie = pdf[self.tie].fillna(-1).to_numpy("int64")
+            values = pdf[self.value].to_numpy("float64") if self.value is not None else np.empty(0)
+            for one in np.split(order, np.flatnonzero(np.diff(end[order])) + 1):
+                if len(one):
+                    slot = int(end[one[0]])
+                    self.pending.updateValue((slot, parts), (at[one].tolist(), tie[one].tolist(), values[one].tolist() if len(values) else []))
+                    parts += 1
+                    earliest = slot if earliest < 0 else min(earliest, slot)
+        self._set_timer(parts, timer, earliest)
+
+    def judged(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows that take part: those with a value, as one without would stay in a running mean for ever."""
+        return pdf[np.isfinite(pdf[self.value].to_numpy("float64"))]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        parts, _ = self.plan.get()
+        waiting: dict[int, list[int]] = {}
+        for slot, part in self.pending.keys():
+            waiting.setdefault(slot, []).append(part)
+        carry, until = (self.state.get() if self.state.exists() else None), None
+        ready = sorted(s for s in waiting if s <= mark)
+        for slot in ready:
+            lists = [self.pending.getValue((slot, part)) for part in waiting.pop(slot)]
+            at, tie = (np.concatenate([np.asarray(x[i], "int64") for x in lists]) for i in (0, 1))
+            value = np.concatenate([np.asarray(x[2], "float64") for x in lists])
+            order = np.lexsort((tie, at))
+            carry, out = self.fold(carry, at[order], tie[order], value[order] if len(value) else value)
+            until = int(at[order[-1]])
+            if out is not None:
+                yield self._out(key, out, False)
+        for slot, part in [k for k in self.pending.keys() if k[0] <= mark]:
+            self.pending.removeKey((slot, part))
+        if carry is not None:
+            self.state.update(carry)
+        elif self.state.exists():
+            self.state.clear()
+        if (out := self.released(carry, until)) is not None:
+            yield self._out(key, out, False)
+        self._set_timer(parts if waiting else 0, -1, min(waiting, default=-1))
+
+
+class CooldownProcessor(OrderedProcessor):
     """Accept a request when the last accepted one is at least a cooldown ago."""
 
     state_schema = _schema(last=LONG)
 
-    def __init__(self, keys, ts, tie, cooldown_us: int):
-        super().__init__(keys, ts, tie)
+    def __init__(self, keys, ts, tie, slot_seconds, cooldown_us: int):
+        super().__init__(keys, ts, tie, None, slot_seconds)
         self.cooldown = cooldown_us
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.ts, self.tie)
-        times, accepted = _micros(pdf[self.ts]), np.zeros(len(pdf), dtype=bool)
-        last = self.state.get()[0] if self.state.exists() else None
-        i = 0 if last is None else int(np.searchsorted(times, last + self.cooldown, side="left"))
-        while i < len(times):
-            accepted[i], last = True, int(times[i])
-            i = int(np.searchsorted(times, last + self.cooldown, side="left"))
-        self.state.update((last,))
-        yield self.keyed(key, pd.DataFrame({self.tie: pdf[self.tie], self.ts: pdf[self.ts], "accepted": accepted}))
+    def fold(self, carry, at, tie, value):
+        accepted = np.zeros(len(at), dtype=bool)
+        last = carry[0] if carry else None
+        i = 0 if last is None else int(np.searchsorted(at, last + self.cooldown, side="left"))
+        while i < len(at):
+            accepted[i], last = True, int(at[i])
+            i = int(np.searchsorted(at, last + self.cooldown, side="left"))
+        return (last,), {self.tie: tie, self.ts: _times(at), "accepted": accepted}
 
+    def late_rows(self, at, tie, value):
+        return {self.tie: tie, self.ts: at, "accepted": None}
 
-class AlertProcessor(_Processor):
+
+class AlertProcessor(OrderedProcessor):
     """State of one alert per evaluation: inactive, pending, firing after holding for its time."""
 
     state_schema = _schema(since=LONG)
 
-    def __init__(self, keys, ts, tie, value: str, op: str, threshold: float, for_us: int):
-        super().__init__(keys, ts, tie)
-        self.value, self.op, self.threshold, self.wait = value, op, threshold, for_us
+    def __init__(self, keys, ts, tie, slot_seconds, value: str, op: str, threshold: float, for_us: int):
+        super().__init__(keys, ts, tie, value, slot_seconds)
+        self.op, self.threshold, self.wait = op, threshold, for_us
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.ts, self.tie)
+    def judged(self, pdf):
+        return pdf  # an evaluation without a value is one at which the condition does not hold
+
+    def fold(self, carry, at, tie, value):
         compare = {">": np.greater, "<": np.less, "==": np.equal, ">=": np.greater_equal, "<=": np.less_equal}[self.op]
-        holds, times = compare(pdf[self.value].to_numpy(dtype=float), self.threshold), _micros(pdf[self.ts])
+        holds = compare(value, self.threshold) & np.isfinite(value)
         started = np.append(True, ~holds[:-1]) & holds
-        carried = self.state.get()[0] if self.state.exists() else None
-        since = pd.Series(np.where(started, times, np.nan))
-        if holds[0] and carried is not None:
-            since.iloc[0] = carried
+        since = pd.Series(np.where(started, at, np.nan))
+        if holds[0] and carry is not None:
+            since.iloc[0] = carry[0]
         since = since.ffill().where(holds)
-        if holds[-1]:
-            self.state.update((int(since.iloc[-1]),))
-        elif self.state.exists():
-            self.state.clear()
-        fires = times - since.fillna(0).to_numpy() >= self.wait
+        fires = at - since.fillna(0).to_numpy() >= self.wait
         state = np.where(~holds, "inactive", np.where(fires, "firing", "pending"))
-        yield self.keyed(key, pd.DataFrame({self.tie: pdf[self.tie], self.ts: pdf[self.ts], "state": state}))
+        return (int(since.iloc[-1]),) if holds[-1] else None, {self.tie: tie, self.ts: _times(at), "state": state}
 
+    def late_rows(self, at, tie, value):
+        return {self.tie: tie, self.ts: at, "state": None}
 
-class HistoryProcessor(_Processor):
-    """The last ``size`` values of a series; after each batch the facts an online forecast needs."""
 
-    def __init__(self, keys, ts, tie, value: str, size: int, window: int):
-        super().__init__(keys, ts, tie)
-        self.value, self.size, self.window = value, size, window
+class HistoryProcessor(OrderedProcessor):
+    """The last ``size`` values of a series; after each release the facts an online forecast needs."""
 
-    state_schema = _schema(values=T.ArrayType(T.DoubleType()))  # one value, so a batch reads and writes it once
+    def __init__(self, keys, ts, tie, slot_seconds, value: str, size: int, window: int):
+        super().__init__(keys, ts, tie, value, slot_seconds)
+        self.size, self.window = size, window
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.ts, self.tie)
-        kept = list(self.state.get()[0]) if self.state.exists() else []
-        kept = [*kept, *(float(v) for v in pdf[self.value])][-self.size :]
-        self.state.update((kept,))
+    state_schema = _schema(values=T.ArrayType(T.DoubleType()))  # one value, so a release reads and writes it once
+
+    def fold(self, carry, at, tie, value):
+        return ([*(carry[0] if carry else []), *value.tolist()][-self.size :],), None
+
+    def released(self, carry, until):
+        if until is None:
+            return None
+        kept = carry[0]
         now, before = np.array(kept[-self.window :]), np.array(kept[-2 * self.window : -self.window])
-        facts = {
+        return {
             "n": [len(kept)],
             "last": [kept[-1]],
             "ma": [float(now.mean())],
             "prev": [float(before.mean()) if len(before) else None],
             "std": [float(now.std())],
-            "until": _times([_micros(pdf[self.ts])[-1]]),
+            "until": _times([until]),
         }
-        yield self.keyed(key, pd.DataFrame(facts))
+
+    def late_rows(self, at, tie, value):
+        return {"n": None, "last": value.reset_index(drop=True), "ma": None, "prev": None, "std": None, "until": at}
 
 
-class ZScoreProcessor(_Processor):
+class ZScoreProcessor(OrderedProcessor):
     """Score each point against the mean and deviation of the points before it."""
 
     state_schema = _schema(n=LONG, mean=T.DoubleType(), m2=T.DoubleType())
 
-    def __init__(self, keys, ts, tie, value: str, sigma: float, min_points: int, digits: int):
-        super().__init__(keys, ts, tie)
-        self.value, self.sigma, self.min_points, self.digits = value, sigma, min_points, digits
+    def __init__(self, keys, ts, tie, slot_seconds, value: str, sigma: float, min_points: int, digits: int):
+        super().__init__(keys, ts, tie, value, slot_seconds)
+        self.sigma, self.min_points, self.digits = sigma, min_points, digits
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _in_order(rows, self.ts, self.tie)
-        v = pdf[self.value].to_numpy(dtype=float)
-        n0, mean0, m20 = self.state.get() if self.state.exists() else (0, float(v[0]), 0.0)
+    def fold(self, carry, at, tie, v):
+        n0, mean0, m20 = carry or (0, float(v[0]), 0.0)
         d = v - mean0  # sums are taken around the mean so far, where they lose no digits
         s1, s2 = np.append(0.0, np.cumsum(d)), np.append(m20, m20 + np.cumsum(d * d))
         n = n0 + np.arange(len(v) + 1)
         shift = s1 / np.maximum(n, 1)
         spread = np.maximum(s2 - s1 * shift, 0.0)
-        self.state.update((int(n[-1]), float(mean0 + shift[-1]), float(spread[-1])))
+        carry = (int(n[-1]), float(mean0 + shift[-1]), float(spread[-1]))
         mean, std = (mean0 + shift)[:-1], np.maximum(np.sqrt(spread[:-1] / np.maximum(n[:-1], 1)), 0.001)
         score = np.round(np.abs(v - mean) / std, self.digits)
         hit = (n[:-1] >= self.min_points) & (score > self.sigma)
-        if hit.any():
-            out = {self.tie: pdf[self.tie][hit], self.ts: pdf[self.ts][hit], self.value: v[hit], "expected": mean[hit], "score": score[hit]}
-            yield self.keyed(key, pd.DataFrame(out))
+        out = {self.tie: tie[hit], self.ts: _times(at[hit]), self.value: v[hit], "expected": mean[hit], "score": score[hit]}
+        return carry, out if hit.any() else None
+
+    def late_rows(self, at, tie, value):
+        return {self.tie: tie, self.ts: at, self.value: value.reset_index(drop=True), "expected": None, "score": None}
 
 
 def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, output: T.StructType, time_mode: str = "none") -> DataFrame:
@@ -222,11 +332,6 @@ def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, outpu
     )
 
 
-def _valued(df: DataFrame, value: str) -> DataFrame:
-    """Rows with a value: NULL, NaN and infinite ones would stay in a running mean for ever."""
-    return df.withColumn(value, finite(value)).dropna(subset=[value])
-
-
 def _output(df: DataFrame, keys: Sequence[str], *copied: str, **fields: T.DataType) -> T.StructType:
     return T.StructType([*[df.schema[k] for k in (*keys, *copied)], *_schema(**fields).fields])
 
@@ -241,42 +346,55 @@ def stream_liveness(
     return _run(df, keys, processor, _output(df, keys, status=T.StringType(), at=T.TimestampType()), "eventtime")
 
 
-def _plain(df: DataFrame, ts: str, *columns: str) -> DataFrame:
-    out = df.select(*columns)
-    return out.withColumn(ts, out[ts].cast("timestamp"))
+def _ordered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str | None, delay: str) -> DataFrame:
+    """Rows for an ``OrderedProcessor``. Their time goes in as a plain number, so that Spark, which drops late rows
+    of a watermarked column without trace, hands them over."""
+    marked = with_event_time(df.select(*keys, ts, tie, *([value] if value else [])), ts, delay)
+    if value:
+        marked = marked.withColumn(value, finite(value))
+    return marked.withColumn(TIME, F.unix_micros(ts)).drop(ts)
 
 
-def stream_cooldown(requests: DataFrame, *, keys: Sequence[str] = ("namespace", "workload"), ts: str = "timestamp", tie: str = "seq", cooldown_seconds: int = 300) -> DataFrame:
-    """Requests marked accepted or not."""
-    df = _plain(requests, ts, *keys, ts, tie)
-    return _run(df, keys, CooldownProcessor(keys, ts, tie, cooldown_seconds * 1_000_000), _output(df, keys, tie, ts, accepted=T.BooleanType()))
+def stream_cooldown(
+    requests: DataFrame, *, keys: Sequence[str] = ("namespace", "workload"), ts: str = "timestamp", tie: str = "seq", cooldown_seconds: int = 300,
+    delay: str = "10 minutes", slot_seconds: int = 60,
+) -> DataFrame:
+    """Requests marked accepted or not, as if they had come in event-time order; late ones are marked ``late``."""
+    df = _ordered(requests, keys, ts, tie, None, delay)
+    processor = CooldownProcessor(keys, ts, tie, slot_seconds, cooldown_seconds * 1_000_000)
+    return _run(df, keys, processor, _output(df, keys, tie, **{ts: T.TimestampType()}, accepted=T.BooleanType(), late=T.BooleanType()), "eventtime")
 
 
 def stream_alerts(
-    values: DataFrame, *, keys: Sequence[str], op: str, threshold: float, for_seconds: int, ts: str = "timestamp", tie: str = "seq", value: str = "value"
+    values: DataFrame, *, keys: Sequence[str], op: str, threshold: float, for_seconds: int, ts: str = "timestamp", tie: str = "seq", value: str = "value",
+    delay: str = "10 minutes", slot_seconds: int = 60,
 ) -> DataFrame:
-    """State of one alert rule per series and evaluation."""
-    df = _plain(values, ts, *keys, ts, tie, value).withColumn(value, finite(value))
-    processor = AlertProcessor(keys, ts, tie, value, op, threshold, for_seconds * 1_000_000)
-    return _run(df, keys, processor, _output(df, keys, tie, ts, state=T.StringType()))
+    """State of one alert rule per series and evaluation, in event-time order; late ones are marked ``late``."""
+    df = _ordered(values, keys, ts, tie, value, delay)
+    processor = AlertProcessor(keys, ts, tie, slot_seconds, value, op, threshold, for_seconds * 1_000_000)
+    return _run(df, keys, processor, _output(df, keys, tie, **{ts: T.TimestampType()}, state=T.StringType(), late=T.BooleanType()), "eventtime")
 
 
 def stream_history(
-    samples: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq", value: str = "value", size: int = 1000, window: int = 12
+    samples: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq", value: str = "value", size: int = 1000, window: int = 12,
+    delay: str = "10 minutes", slot_seconds: int = 60,
 ) -> DataFrame:
-    """Per series and batch the facts for :func:`metriloom.operators.forecast.online_values`."""
-    df = _valued(_plain(samples, ts, *keys, ts, tie, value), value)
+    """Per series and release the facts for :func:`metriloom.operators.forecast.online_values`.
+
+    A late sample is a row with ``late`` set, its value in ``last`` and its time in ``until``.
+    """
+    df = _ordered(samples, keys, ts, tie, value, delay)
     double = T.DoubleType()
-    output = _output(df, keys, n=T.LongType(), last=double, ma=double, prev=double, std=double, until=T.TimestampType())
-    return _run(df, keys, HistoryProcessor(keys, ts, tie, value, size, window), output)
+    output = _output(df, keys, n=T.LongType(), last=double, ma=double, prev=double, std=double, until=T.TimestampType(), late=T.BooleanType())
+    return _run(df, keys, HistoryProcessor(keys, ts, tie, slot_seconds, value, size, window), output, "eventtime")
 
 
 def stream_zscore(
     samples: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq", value: str = "value", sigma: float = 2.5,
-    min_points: int = 12, digits: int = 6,
+    min_points: int = 12, digits: int = 6, delay: str = "10 minutes", slot_seconds: int = 60,
 ) -> DataFrame:
-    """Points whose distance from the running mean exceeds ``sigma`` running deviations."""
-    df = _valued(_plain(samples, ts, *keys, ts, tie, value), value)
+    """Points whose distance from the running mean exceeds ``sigma`` running deviations, and late points."""
+    df = _ordered(samples, keys, ts, tie, value, delay)
     double = T.DoubleType()
-    processor = ZScoreProcessor(keys, ts, tie, value, sigma, min_points, digits)
-    return _run(df, keys, processor, _output(df, keys, tie, ts, **{value: double}, expected=double, score=double))
+    processor = ZScoreProcessor(keys, ts, tie, slot_seconds, value, sigma, min_points, digits)
+    return _run(df, keys, processor, _output(df, keys, tie, **{ts: T.TimestampType(), value: double}, expected=double, score=double, late=T.BooleanType()), "eventtime")
