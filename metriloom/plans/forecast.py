@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metriloom.operators import anomaly, forecast, seasonal
+from metriloom.operators import anomaly, changepoint, forecast, seasonal
 from metriloom.plans.align import r
 from metriloom.plans.features import rounded
 from metriloom.plans.registry import query
@@ -157,6 +157,46 @@ def p11(t):
     return out.withColumn("seasonalities", F.concat_ws(",", "seasonalities"))
 
 
+# the design of the trend with changepoints as SQL: columns x[1..42], value last
+BENT_DESIGN = f"""e AS (SELECT *, epoch_us(timestamp) AS us FROM hourly WHERE value IS NOT NULL),
+g AS (SELECT name, min(us) AS a, max(us) - min(us) AS span, max(abs(value)) AS top FROM e GROUP BY 1 HAVING count(*) >= 2),
+d AS (SELECT name, (us - a) / span AS t, 2 * pi() * (us % {changepoint.DAY}) / {changepoint.DAY} AS p, 2 * pi() * (us % {changepoint.WEEK}) / {changepoint.WEEK} AS q, value / top AS y FROM e JOIN g USING (name)),
+x AS (SELECT name, list_concat([1.0, t], list_transform(range(1, {changepoint.CANDIDATES + 1}), lambda k: greatest(0.0, t - {changepoint.COVERED} * k / {changepoint.CANDIDATES})),
+  list_transform(range(1, 5), lambda k: sin(k * p)), list_transform(range(1, 5), lambda k: cos(k * p)), list_transform(range(1, 4), lambda k: sin(k * q)), list_transform(range(1, 4), lambda k: cos(k * q)), [y]) AS x FROM d)"""
+
+
+@query("p08_trend_gram", "hourly", f"""WITH {BENT_DESIGN}, n AS (SELECT unnest(range(1, {changepoint.TERMS + 2})) AS i), pairs AS (SELECT a.i, b.i AS j FROM n a JOIN n b ON a.i <= b.i)
+SELECT name, CAST(i AS INT) AS row, CAST(j AS INT) AS column, round(sum(x[i] * x[j]), 4) AS product FROM x, pairs GROUP BY 1, 2, 3""")
+def p08_gram(t):
+    rows = changepoint.design_rows(t.hourly, keys=NAME)
+    sums = changepoint.gram_sums(rows, NAME).select("name", F.posexplode("gram").alias("_at", "_sum"))
+    place = F.array(*[F.struct(F.lit(int(i) + 1).alias("row"), F.lit(int(j) + 1).alias("column")) for i, j in zip(*changepoint.UPPER)])
+    return sums.select("name", place[F.col("_at")].alias("_place"), r("_sum", 4).alias("product")).select("name", "_place.row", "_place.column", "product")
+
+
+def bent(t):
+    return changepoint.changepoint_fit(t.hourly, keys=NAME)
+
+
+@query("p08_changepoint_forecast")
+def p08_bent(t):
+    out = changepoint.changepoint_forecast(bent(t), 48, step_seconds=3600)
+    cols = ["trend", "daily_component", "weekly_component", "predicted", "lower_bound", "upper_bound"]
+    return out.select("name", "step", "timestamp", *[r(c, 5) for c in cols])
+
+
+@query("p09_changepoint_evaluate")
+def p09_bent(t):
+    out = changepoint.changepoint_evaluate(t.hourly, keys=NAME)
+    return out.select("name", "train_size", "test_size", r("mae", 5), r("mse", 4), r("rmse", 5), r("mape", 4), r("coverage", 5))
+
+
+@query("p11_changepoint_components")
+def p11_bent(t):
+    out = changepoint.changepoint_components(bent(t), keys=NAME)
+    return out.select("name", "mode", "n_candidates", "n_changepoints", F.concat_ws(",", "seasonalities").alias("seasonalities"))
+
+
 @query("p14_fixed_margin_band", "samples", """
 SELECT seq, greatest(0, value / 400 - 0.1) AS lower_bound, least(1, value / 400 + 0.1) AS upper_bound, round(value / 400 * 0.9, 8) AS seasonal_lower, round(value / 400 * 1.1, 8) AS seasonal_upper FROM samples""")
 def p14(t):
