@@ -46,8 +46,7 @@ def train_all(
     """Baseline, seasonal forecaster and residual detector on one frame.
 
     Returns rows (keys, model, metrics) and, per failed model, its error; one failing model does not
-    stop the others. The baseline and seasonal scores are per series; the detector is one model over
-    all series and is reported under every series that passed the gate.
+    stop the others. All three are fitted and scored per series.
     """
     target = target or choose_target(df.drop(*keys))
     passed = gates(df, keys=keys, min_points=min_points).where("status = 'ready'").select(*keys)
@@ -68,11 +67,12 @@ def train_all(
     def detector() -> DataFrame:
         wide = written(features.transform(frame, keys=keys, ts=ts).withColumn("_key", F.xxhash64(*keys, ts)), "wide")
         inputs = features.numeric_columns(wide, exclude=[*keys, target, "_key"])
-        fitted = boosted.residual_detector_fit(wide, target, inputs, split_key="_key", trees=trees)
-        scored = boosted.residual_detector_score(wide, fitted).groupBy(*keys).agg(
-            F.count_if("flag").alias("anomalies"), F.avg(F.col("flag").cast("double")).alias("anomaly_rate"), F.lit(fitted.threshold).alias("threshold")
+        fitted = boosted.residual_detectors_fit(wide, target, inputs, keys=keys, split_key="_key", trees=trees)
+        scored = boosted.residual_detectors_score(wide, fitted, keys=keys).groupBy(*keys).agg(
+            F.count_if("flag").alias("anomalies"), F.avg(F.col("flag").cast("double")).alias("anomaly_rate"), F.avg("score").alias("mean_error")
         )
-        return scored.select(*keys, metrics("threshold", "anomalies", "anomaly_rate").alias("metrics"))
+        out = scored.join(fitted.models.select(*keys, "threshold"), list(keys))
+        return out.select(*keys, metrics("threshold", "mean_error", "anomalies", "anomaly_rate").alias("metrics"))
 
     models: dict[str, Callable[[], DataFrame]] = {"baseline": baseline, "seasonal": seasonal_model, "residual_detector": detector}
     done, failed = None, {}

@@ -11,8 +11,6 @@ from metriloom.plans.registry import query
 from metriloom.session import new_path
 from metriloom.sources import tables
 
-INPUTS = ["memory_usage", "rps", "latency"]
-
 
 def ratios(t):
     """Hourly series scaled into [0, 1], as the recursive forecast expects."""
@@ -21,58 +19,88 @@ def ratios(t):
 
 # A fitted model's digits are its own; the SQL states the rows, counts and relations that must hold.
 @query("p12_boosted_forecaster_train", "hourly", """
-WITH n AS (SELECT count(*) - 13 AS n FROM hourly GROUP BY name HAVING count(*) > 13)
-SELECT CAST(sum(floor(n * 0.8)) AS BIGINT) AS train_samples, CAST(sum(n - floor(n * 0.8)) AS BIGINT) AS test_samples,
-  true AS learns, true AS tested FROM n""")
+WITH n AS (SELECT name, count(*) - 13 AS n FROM hourly GROUP BY name HAVING count(*) > 13), x AS (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS k FROM n),
+s AS (SELECT name, least(1, value / 150) AS y, row_number() OVER (PARTITION BY name ORDER BY timestamp) AS i FROM hourly),
+v AS (SELECT s.name, round(var_pop(y), 8) AS train_variance FROM s JOIN x USING (name) WHERE i > 13 AND i <= 13 + k GROUP BY 1)
+SELECT name, k AS train_samples, n - k AS test_samples, train_variance, true AS learns FROM x JOIN v USING (name)""")
 def p12(t):
-    e = boosted.boosted_forecaster_train(ratios(t), keys=NAME).evaluation
-    learns = (F.col("train_mse") < F.col("train_variance")).alias("learns")
-    return e.select("train_samples", "test_samples", learns, (F.col("test_mse") >= 0).alias("tested"))
+    e = boosted.boosted_forecasters_train(ratios(t), keys=NAME).evaluation.where("train_samples > 0")
+    return e.select("name", "train_samples", "test_samples", r("train_variance", 8), (F.col("train_mse") < 0.5 * F.col("train_variance")).alias("learns"))
 
 
 @query("p13_recursive_forecast", "hourly", """
-SELECT name, CAST(unnest(range(1, 13)) AS INT) AS step, true AS inside FROM (SELECT DISTINCT name FROM hourly)""")
+WITH s AS (SELECT name, count(*) AS n, least(1, arg_max(value, timestamp) / 150) AS last FROM hourly GROUP BY 1)
+SELECT name, CAST(unnest(range(1, 13)) AS INT) AS step, n >= 14 AS has_model, CASE WHEN n < 14 THEN round(last, 8) END AS flat_value, true AS first_step_is_prediction FROM s""")
 def p13(t):
-    fitted = boosted.boosted_forecaster_train(ratios(t), keys=NAME)
-    out = boosted.recursive_forecast(ratios(t), fitted, 12, keys=NAME, target_lead=2)
-    return out.select("name", F.col("step").cast("int").alias("step"), F.col("value").between(0, 1).alias("inside"))
+    frame = ratios(t)
+    fitted = boosted.boosted_forecasters_train(frame, keys=NAME)
+    out = boosted.recursive_forecast(frame, fitted, 12, keys=NAME)
+    # the first step once more, from the features of the newest rows and the stored trees
+    again = boosted.next_values(frame, fitted, keys=NAME)
+    joined = out.join(again, "name", "left")
+    same = F.when((F.col("step") == 1) & F.col("next").isNotNull(), F.abs(F.col("value") - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("next")))) < 1e-9).otherwise(True)
+    return joined.select(
+        "name", F.col("step").cast("int").alias("step"), F.col("next").isNotNull().alias("has_model"),
+        F.when(F.col("next").isNull(), F.round("value", 8)).alias("flat_value"), same.alias("first_step_is_prediction"),
+    )
 
 
-COMPLETE = "cpu_usage IS NOT NULL AND memory_usage IS NOT NULL AND rps IS NOT NULL AND latency IS NOT NULL"
+DETECTED = ["memory_usage", "rps", "latency", "joined"]
+DEPLOYMENT = ["deployment"]
 
 
-def keyed_wide(t):
+def detected(t):
     hours = F.unix_seconds(F.col("timestamp").cast("timestamp")) / 3600
-    return t.wide.withColumn("key", hours.cast("bigint"))
+    frame = t.wide_all.withColumn("key", hours.cast("bigint")).fillna(0.0, DETECTED)  # an hour without a sample of an input
+    return frame, boosted.residual_detectors_fit(frame, "cpu_usage", DETECTED, keys=DEPLOYMENT, split_key="key")
 
 
-@query("n06_residual_detector_fit", "wide", f"""
-SELECT count(*) AS rows, true AS some_flagged, true AS few_flagged, true AS positive FROM wide WHERE {COMPLETE}""")
+# few rows can hold no outlier beyond the threshold, so how many are flagged is bounded from above only
+@query("n06_residual_detector_fit", "wide_all", """
+WITH c AS (SELECT deployment, count(*) AS rows, count(*) FILTER (CAST(epoch(timestamp) AS BIGINT) // 3600 % 5 <> 0) AS fitted_on FROM wide_all WHERE cpu_usage IS NOT NULL GROUP BY 1)
+SELECT deployment, rows, true AS few_flagged, true AS threshold_is_the_higher FROM c WHERE fitted_on > 0""")
 def n06(t):
-    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
-    scored = boosted.residual_detector_score(keyed_wide(t), fitted)
-    flagged, rows = F.count_if("flag"), F.count("*")
-    return scored.agg(
-        rows.alias("rows"), (flagged > 0).alias("some_flagged"), (flagged <= F.ceil(rows * 0.05)).alias("few_flagged"),
-        F.lit(fitted.threshold > 0).alias("positive"),
+    frame, fitted = detected(t)
+    scored = boosted.residual_detectors_score(frame, fitted, keys=DEPLOYMENT)
+    spread = scored.groupBy("deployment").agg(
+        F.count("*").alias("rows"), F.count_if("flag").alias("flagged"), (F.avg("score") + 2.5 * F.stddev_pop("score")).alias("far"), F.percentile("score", 0.95).alias("top")
+    )
+    out = spread.join(fitted.models.select("deployment", "threshold"), "deployment")
+    return out.select(
+        "deployment", "rows", (F.col("flagged") <= F.ceil(F.col("rows") * 0.05)).alias("few_flagged"),
+        (F.abs(F.col("threshold") - F.greatest("far", "top")) < 1e-9).alias("threshold_is_the_higher"),
     )
 
 
-@query("n07_residual_detector_score", "wide", f"""
-SELECT timestamp, round(cpu_usage, 6) AS cpu_usage, true AS is_residual, true AS is_flagged_above, true AS known_feature FROM wide WHERE {COMPLETE}""")
+@query("n07_residual_detector_score", "wide_all", """
+WITH c AS (SELECT *, CAST(epoch(timestamp) AS BIGINT) // 3600 % 5 <> 0 AS fitted_on FROM wide_all WHERE cpu_usage IS NOT NULL),
+k AS (SELECT deployment FROM c GROUP BY 1 HAVING bool_or(fitted_on))
+SELECT deployment, timestamp, round(cpu_usage, 6) AS cpu_usage, true AS is_residual, true AS is_flagged_above, 4 AS ranked_features FROM c JOIN k USING (deployment)""")
 def n07(t):
-    fitted = boosted.residual_detector_fit(keyed_wide(t), "cpu_usage", INPUTS, split_key="key")
-    scored = boosted.residual_detector_score(keyed_wide(t), fitted)
-    top = boosted.feature_importance(fitted, t.spark, 1).first()
-    return scored.select(
+    frame, fitted = detected(t)
+    scored = boosted.residual_detectors_score(frame, fitted, keys=DEPLOYMENT)
+    shares = boosted.series_importance(fitted, keys=DEPLOYMENT).groupBy("deployment").agg(
+        F.count("*").cast("int").alias("ranked_features"), F.sum("importance").alias("whole")
+    )
+    out = scored.join(fitted.models.select("deployment", "threshold"), "deployment").join(shares, "deployment")
+    return out.select(
+        "deployment",
         "timestamp",
         r("cpu_usage"),
-        (F.col("score") == F.abs(F.col("cpu_usage") - F.col("prediction"))).alias("is_residual"),
-        (F.col("flag") == (F.col("score") > fitted.threshold)).alias("is_flagged_above"),
-        F.lit(top["feature"] in INPUTS and top["importance"] > 0).alias("known_feature"),
+        (F.abs(F.col("score") - F.abs(F.col("cpu_usage") - F.col("prediction"))) < 1e-12).alias("is_residual"),
+        (F.col("flag") == (F.col("score") > F.col("threshold"))).alias("is_flagged_above"),
+        F.when(F.abs(F.col("whole") - 1) < 1e-9, F.col("ranked_features")).alias("ranked_features"),
     )
 
 
+COMPLETE = "cpu_usage IS NOT NULL AND memory_usage IS NOT NULL AND rps IS NOT NULL AND latency IS NOT NULL"
+
+
+def keyed_wide(t):
+    hours = F.unix_seconds(F.col("timestamp").cast("timestamp")) / 3600
+    return t.wide.withColumn("key", hours.cast("bigint"))
+
+
 @query("n10_isolation_forest", "wide", """
 WITH c AS (SELECT timestamp, cpu_usage, memory_usage FROM wide WHERE cpu_usage IS NOT NULL AND memory_usage IS NOT NULL)
 SELECT timestamp, round(cpu_usage, 6) AS cpu_usage, round(memory_usage, 6) AS memory_usage, true AS in_range, true AS is_flagged_below, true AS share_holds FROM c""")
@@ -92,16 +120,25 @@ def n10(t):
 
 
 @query("n11_isolation_score_scaled", "samples", """
-SELECT true AS above, true AS bounded, true AS of_samples""")
+WITH m AS (SELECT name FROM samples GROUP BY 1 HAVING count(value) >= 5),
+x AS (SELECT name, min(value) AS lowest, max(value) AS highest FROM samples JOIN m USING (name) GROUP BY 1)
+SELECT name, round(lowest, 6) AS lowest, round(highest, 6) AS highest, true AS ends_score_most, true AS cut_holds, true AS of_samples FROM x""")
 def n11(t):
     forest = isolation.isolation_forest_fit(keyed_wide(t), ["cpu_usage", "memory_usage"], key="key")
-    # the scaled decision of a forest stays below 2.5 by construction, so the cut is set on its own scale
-    out = isolation.isolation_score_scaled(t.samples, forest, sigma=0.5)
-    found = out.join(t.samples.select("seq", F.col("value").alias("_v")), "seq", "left")
-    return found.agg(
-        F.coalesce(F.bool_and(F.col("score") > 0.5), F.lit(True)).alias("above"),
-        F.coalesce(F.max("score") <= 5, F.lit(True)).alias("bounded"),
-        F.coalesce(F.bool_and(F.col("value") == F.col("_v")), F.lit(True)).alias("of_samples"),
+    # the scaled decision of a forest stays below 2.5 by construction, so all rows are scored and the cut is set on them
+    scored = isolation.isolation_score_scaled(t.samples, forest, sigma=-1.0)
+    flagged = isolation.isolation_score_scaled(t.samples, forest, sigma=0.5)
+    own = t.samples.select("seq", F.col("value").alias("_v"))
+    hits = flagged.join(own, "seq", "left").groupBy("name").agg(F.count("*").alias("_hits"), F.bool_and((F.col("value") == F.col("_v")) & (F.col("score") > 0.5)).alias("of_samples"))
+    ends = scored.groupBy("name").agg(
+        F.min("value").alias("lowest"), F.max("value").alias("highest"), F.max("score").alias("_most"),
+        F.greatest(F.max_by("score", "value"), F.min_by("score", "value")).alias("_end"), F.count_if(F.col("score") > 0.5).alias("_over"),
+    )
+    # nothing is more isolated than the farther end of the values, and the rows returned are those over the cut
+    out = ends.join(hits, "name", "left")
+    return out.select(
+        "name", r("lowest"), r("highest"), (F.col("_end") >= F.col("_most") - 1e-9).alias("ends_score_most"),
+        (F.coalesce("_hits", F.lit(0)) == F.col("_over")).alias("cut_holds"), F.coalesce("of_samples", F.col("_over") == 0).alias("of_samples"),
     )
 
 
@@ -136,7 +173,7 @@ def j01(t):
 @query("j02_train_all", "hourly", """
 WITH ready AS (SELECT name FROM hourly GROUP BY 1 HAVING count(*) >= 100),
 m(model, metric) AS (VALUES ('baseline', 'rmse'), ('baseline', 'mae'), ('baseline', 'mape'), ('baseline', 'skill_score'), ('seasonal', 'rmse'), ('seasonal', 'mae'),
-  ('seasonal', 'mape'), ('seasonal', 'coverage'), ('residual_detector', 'threshold'), ('residual_detector', 'anomalies'), ('residual_detector', 'anomaly_rate'))
+  ('seasonal', 'mape'), ('seasonal', 'coverage'), ('residual_detector', 'threshold'), ('residual_detector', 'mean_error'), ('residual_detector', 'anomalies'), ('residual_detector', 'anomaly_rate'))
 SELECT name, model, metric, true AS measured, 0 AS failed_models FROM ready, m""")
 def j02(t):
     rows, failed = retrain.train_all(t.hourly, keys=NAME, target="value")

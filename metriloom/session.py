@@ -68,3 +68,10 @@ def written(df, label: str):
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Bound the bytes of Arrow batches, for rows that carry whole models, unless the session names a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(megabytes << 20))
