@@ -1,14 +1,16 @@
 """Queries that fit models, and the retraining job."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from metriloom.operators import boosted, isolation, retrain, store
+from metriloom.operators import boosted, isolation, model_store, retrain, store
 from metriloom.operators import forecast as fc
 from metriloom.operators import seasonal
 from metriloom.plans.align import r
 from metriloom.plans.forecast import CUT, HOLDOUT, NAME, holdout, seasonal_sql
 from metriloom.plans.registry import query
-from metriloom.session import new_path
+from metriloom.session import new_path, written
 from metriloom.sources import tables
 
 
@@ -160,6 +162,51 @@ def s13(t):
     )
 
 
+STORED_AT = datetime(2024, 2, 1)  # the evaluation time of the stored versions and runs
+
+
+@query("s13_model_store", "wide_all", """
+WITH c AS (SELECT *, CAST(epoch(timestamp) AS BIGINT) // 3600 % 5 <> 0 AS fitted_on FROM wide_all WHERE cpu_usage IS NOT NULL),
+k AS (SELECT deployment FROM c GROUP BY 1 HAVING bool_or(fitted_on))
+SELECT deployment, timestamp, round(cpu_usage, 6) AS cpu_usage, true AS same_score, true AS same_flag FROM c JOIN k USING (deployment)""")
+def s13_store(t):
+    """Detectors stored, read in another session and scoring as they did."""
+    frame, fitted = detected(t)
+    root = new_path(t.spark, "store")
+    model_store.save_version(t.spark, root, 1, {"detector": fitted}, keys=DEPLOYMENT, committed_at=STORED_AT)
+    back = model_store.load(t.spark.newSession(), root, "detector")
+    back = boosted.SeriesDetectors(t.spark.read.schema(back.models.schema).parquet(*back.models.inputFiles()), back.features, back.target)
+    now = boosted.residual_detectors_score(frame, fitted, keys=DEPLOYMENT)
+    then = boosted.residual_detectors_score(frame, back, keys=DEPLOYMENT).select(*DEPLOYMENT, "timestamp", F.col("score").alias("_score"), F.col("flag").alias("_flag"))
+    both = now.join(then, [*DEPLOYMENT, "timestamp"])
+    return both.select(*DEPLOYMENT, "timestamp", r("cpu_usage"), (F.col("score") == F.col("_score")).alias("same_score"), (F.col("flag") == F.col("_flag")).alias("same_flag"))
+
+
+@query("j05_store_registry", "hourly", """
+WITH n AS (SELECT name, count(*) AS n FROM hourly GROUP BY 1)
+SELECT 'baseline' AS model, CAST(2 AS BIGINT) AS version, 'table' AS kind, count(*) AS n_series FROM n
+UNION ALL SELECT 'forecaster', 1, 'series_forecasters', count(*) FILTER (n >= 15) FROM n""")
+def j05_store(t):
+    root = new_path(t.spark, "store")
+    forecaster = boosted.boosted_forecasters_train(ratios(t), keys=NAME, trees=10)
+    params = fc.baseline_fit(t.hourly, keys=NAME)
+    model_store.save_version(t.spark, root, 1, {"baseline": params, "forecaster": forecaster}, committed_at=STORED_AT)
+    model_store.save_version(t.spark, root, 2, {"baseline": params}, committed_at=STORED_AT)
+    return model_store.registry(t.spark, root).select("model", "version", "kind", "n_series")
+
+
+@query("j01_run_log", "hourly", """
+SELECT name AS series, 'first' AS run_id, count(*) AS data_points, CASE WHEN count(*) >= 100 THEN 'completed' ELSE 'skipped' END AS status, count(*) >= 100 AS deployed,
+  CASE WHEN count(*) < 100 THEN 'Insufficient data: got ' || count(*) || ', need 100' END AS error, count(*) >= 100 AS measured FROM hourly GROUP BY 1""")
+def j01_log(t):
+    root = new_path(t.spark, "job")
+    run = {"keys": NAME, "store": f"{root}/store", "log": f"{root}/log", "run_id": "first", "version": 1, "started_at": STORED_AT, "target": "value"}
+    rows = written(retrain.retrain_job(t.hourly, trees=20, **run), "run")
+    model_store.append_runs(rows, run["log"], run["run_id"])  # a repeated write replaces the run
+    logged = model_store.read_runs(t.spark, run["log"])
+    return logged.select("series", "run_id", "data_points", "status", "deployed", "error", (F.size("metrics") > 0).alias("measured"))
+
+
 @query("j01_gates", "samples", """
 WITH h AS (SELECT name, deployment, count(DISTINCT date_trunc('hour', timestamp)) AS data_points FROM samples GROUP BY 1, 2)
 SELECT name, deployment, data_points, CASE WHEN data_points >= 310 THEN 'ready' ELSE 'skipped' END AS status,
