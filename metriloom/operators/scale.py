@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metriloom.functions.time import MICROS, col, micros
+from metriloom.functions.time import MICROS, col, from_micros, micros
 
 DAY = 86_400
 #: length of a time chunk. One small row per (series, chunk) moves between chunks, so a short chunk is
@@ -114,30 +114,57 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, tie: str, columns
     return _opened(tagged, heads).withColumns(new).where("_row = 1").select(*df.columns, *new)
 
 
-def newest_rows(df: DataFrame, ts: str, tie: str, n: int, bucket_seconds: int = 60) -> DataFrame:
-    """The newest ``n`` rows overall, whole and exact, without a single-task top-n.
+def nth_largest(df: DataFrame, value: Column, n: int, bins: int = 2_000) -> tuple[int, int] | None:
+    """The ``n``-th largest of integers and how many are larger; None if there are fewer than ``n``.
 
-    Rows per time bucket are counted; buckets newer than the boundary bucket are kept by a filter
-    and only the boundary bucket is ranked.
+    Counting passes over ever finer bins narrow the range around the wanted rank until it is one number, so no
+    rows are sorted or ranked, whatever number of them is equal. A pass brings at most ``bins`` counts to the driver.
     """
-    tagged = df.withColumn("_bucket", chunk_number(ts, bucket_seconds))
-    newest_first = Window.orderBy(F.desc("_bucket"))  # one row per bucket: bounded by the time span
-    counts = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    running = counts.withColumn("_upto", F.sum("_n").over(newest_first))
-    boundary = running.agg(
-        F.max(F.when(F.col("_upto") >= n, F.col("_bucket"))).alias("_edge"),
-        F.max(F.when(F.col("_upto") < n, F.col("_upto"))).alias("_newer"),
-    )
-    placed = attach_row(tagged, boundary)
-    inside = placed.where(F.col("_edge").isNull() | (F.col("_bucket") > F.col("_edge"))).drop("_bucket", "_edge", "_newer")
-    edge = Window.partitionBy("_bucket").orderBy(F.desc(ts), F.desc(tie))
-    rest = (
-        placed.where(F.col("_bucket") == F.col("_edge"))
-        .withColumn("_rn", F.row_number().over(edge))
-        .where(F.col("_rn") <= n - F.coalesce("_newer", F.lit(0)))
-        .drop("_bucket", "_edge", "_newer", "_rn")
-    )
-    return inside.unionByName(rest)
+    base = df.select(value.cast("bigint").alias("v")).where("v IS NOT NULL")
+    stats = base.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if stats["n"] < n:
+        return None
+    lo, hi, above = stats["lo"], stats["hi"], 0
+    while lo < hi:
+        width = (hi - lo) // bins + 1
+        # the distance is taken as a decimal: the ends of the type are further apart than it reaches
+        place = F.floor((F.col("v").cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("bigint")
+        counts = base.where(F.col("v").between(lo, hi)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in counts.orderBy(F.desc("b")).collect():
+            if above + r["n"] >= n:
+                lo, hi = r["lo"], r["hi"]
+                break
+            above += r["n"]
+    return lo, above
+
+
+def newest_rows(df: DataFrame, ts: str, tie: str, n: int, bins: int = 2_000) -> DataFrame:
+    """The newest ``n`` rows overall by (time, tie), whole and exact.
+
+    The boundary is found by counting: first the time of the n-th newest row, and if rows of that one time are
+    more than are wanted, the tie that cuts them. The rows are then taken by comparisons with literals, so no task
+    ranks anything, even if all rows have one time. Rows equal in both are alike for this order; as many as
+    are wanted are taken. A table of fewer rows is returned as it is, rows without a time or tie included.
+    """
+    if n <= 0:
+        return df.limit(0)
+    found = nth_largest(df, micros(ts), n, bins)
+    if found is None:
+        return df
+    moment, above = found
+    at = from_micros(F.lit(moment)).cast(df.schema[ts].dataType)
+    newer, same = df.where(F.col(ts) > at), df.where(F.col(ts) == at)
+    wanted = n - above
+    if same.count() == wanted:
+        return df.where(F.col(ts) >= at)
+    cut = nth_largest(same, F.col(tie), wanted, bins)
+    if cut is None:  # some ties are null; they come last
+        untied = wanted - same.where(F.col(tie).isNotNull()).count()
+        return newer.unionByName(same.where(F.col(tie).isNotNull())).unionByName(same.where(F.col(tie).isNull()).limit(untied))
+    last, before = cut
+    edge = same.where(F.col(tie) == last)
+    inside = df.where((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(tie) > last)))
+    return inside.unionByName(edge.limit(wanted - before))
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", spread: int = 256) -> DataFrame:

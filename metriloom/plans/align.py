@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metriloom.operators import align
 from metriloom.plans.registry import query
+from metriloom.schemas import METRIC_FAMILIES
 
 SERIES = ["name", "deployment"]
 INC = """inc AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN counter_value < prev THEN counter_value ELSE counter_value - prev END AS increase
@@ -104,16 +105,26 @@ def a08_frames(t):
     return align.merge_frames([latency, orders]).select("timestamp", r("latency"), "orders")
 
 
-@query("a09_metric_family", "samples", """
-WITH a AS (SELECT name, deployment, date_trunc('hour', timestamp) AS timestamp, avg(value) AS value FROM samples GROUP BY 1, 2, 3)
-SELECT timestamp, round(avg(CASE WHEN name = 'view' THEN value END), 6) AS memory_bytes,
-  round(avg(CASE WHEN name = 'click' THEN value END), 6) AS cpu_utilization,
-  round(avg(CASE WHEN name = 'error' THEN value END), 6) AS memory_utilization
-FROM a WHERE name IN ('view', 'click', 'error') GROUP BY 1""")
+FAMILY_METRICS = [m for family in METRIC_FAMILIES.values() for m in family]
+_families = ", ".join(f"('{f}', '{m}', '{c}')" for f, names in METRIC_FAMILIES.items() for m, c in names.items())
+
+
+@query("a09_metric_family", "samples", f"""
+WITH m AS (SELECT * FROM (VALUES {_families}) AS v(family, metric, column_name)),
+s AS (SELECT ({FAMILY_METRICS})[seq % {len(FAMILY_METRICS)} + 1] AS metric, deployment, timestamp, value FROM samples),
+a AS (SELECT metric, deployment, date_trunc('hour', timestamp) AS timestamp, avg(value) AS value FROM s GROUP BY 1, 2, 3)
+SELECT family, timestamp, column_name, round(avg(value), 6) AS value FROM a JOIN m USING (metric) GROUP BY 1, 2, 3""")
 def a09(t):
-    family = {"view": "memory_bytes", "click": "cpu_utilization", "error": "memory_utilization"}
-    aligned = align.align_mean(t.samples, keys=SERIES, period=3600)
-    return align.metric_family(aligned, family).select("timestamp", *[r(c) for c in family.values()])
+    """All families, over samples that carry their metric names in turn; each is a wide frame, shown as rows."""
+    names = F.array(*[F.lit(m) for m in FAMILY_METRICS])
+    samples = t.samples.withColumn("name", names[(F.col("seq") % len(FAMILY_METRICS)).cast("int")])
+    aligned = align.align_mean(samples, keys=SERIES, period=3600)
+    out = None
+    for family, columns in METRIC_FAMILIES.items():
+        wide = align.metric_family(aligned, columns).unpivot(["timestamp"], list(columns.values()), "column_name", "value")
+        part = wide.where("value IS NOT NULL").select(F.lit(family).alias("family"), "timestamp", "column_name", r("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("a10_units_and_filters", "samples", """

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from metriloom.operators import cost
 from metriloom.plans.align import r
-from metriloom.plans.registry import query
+from metriloom.plans.registry import SQL, query
+from metriloom.session import new_path
+from metriloom.sources import tables
 
 COST = """cost AS (SELECT *, replicas * (cpu_requested * 0.0445 + memory_requested * 0.0049) AS hourly,
   (cpu_used / cpu_requested + memory_used / memory_requested) / 2 AS score FROM workloads)"""
@@ -140,6 +142,14 @@ def v02(t):
     return cost.savings_summary(saved(t), "90d").select("level", "key", r("total_savings", 4), "events", r("roi_percent", 4))
 
 
+@query("v02_stored_summary", "", SQL["v02_savings_summary"])
+def v02_stored(t):
+    path = new_path(t.spark, "savings")
+    tables.write_by_date(saved(t), path, order=["namespace"], unit="month")
+    rows, as_of = tables.read_recent(t.spark, path, 90 * 86_400, unit="month")
+    return cost.savings_summary(rows, "90d", as_of=as_of).select("level", "key", r("total_savings", 4), "events", r("roi_percent", 4))
+
+
 @query("v02_last_events", "scaling_events", f"""WITH {SAVED} SELECT workload, namespace, timestamp, seq, round(s * 720, 5) AS savings_monthly
 FROM sav WHERE timestamp >= (SELECT max(timestamp) FROM sav) - INTERVAL 30 DAY ORDER BY timestamp DESC, seq DESC LIMIT 20""")
 def v02_last(t):

@@ -205,7 +205,7 @@ def p14(t):
     return forecast.fixed_margin_band(wide).select("seq", "lower_bound", "upper_bound", "seasonal_lower", "seasonal_upper")
 
 
-@query("p15_forecast_many", "hourly", f"""WITH {fit_sql("hourly")}, few AS (SELECT * FROM hourly WHERE name IN ('view', 'click')), {seasonal_sql("few")},
+@query("p15_forecast_many", "hourly", f"""WITH {fit_sql("hourly")}, {seasonal_sql("hourly")},
 b AS (SELECT name, s AS step, 'baseline' AS model, moving_average + trend * s AS value, 1.96 * std * sqrt(s) AS m FROM fit, {STEPS12}),
 f AS (SELECT *, s AS step, fitted_until + to_hours(s) AS ts FROM sea, {STEPS12}),
 p AS (SELECT f.name, step, 'seasonal' AS model, (my + slope * (epoch_us(ts) / 86400000000.0 - mx)) * daily * weekly AS value, 1.96 * std AS m FROM f
@@ -214,8 +214,7 @@ u AS (SELECT * FROM p UNION ALL SELECT * FROM b WHERE name NOT IN (SELECT name F
 SELECT name, CAST(step AS INT) AS step, (SELECT max(timestamp) FROM hourly) + to_minutes(5 * step) AS timestamp, model, round(value, 5) AS value, round(value - m, 5) AS lower_bound, round(value + m, 5) AS upper_bound FROM u""")
 def p15(t):
     base = forecast.baseline_predict(forecast.baseline_fit(t.hourly, keys=NAME), 12)
-    few = t.hourly.where(F.col("name").isin("view", "click"))
-    sea = seasonal.seasonal_forecast(seasonal.seasonal_fit(few, keys=NAME), 12, step_seconds=3600).withColumnRenamed("predicted", "value")
+    sea = seasonal.seasonal_forecast(seasonal.seasonal_fit(t.hourly, keys=NAME), 12, step_seconds=3600).withColumnRenamed("predicted", "value")
     out = forecast.forecast_many(
         {"baseline": base, "seasonal": sea}, "seasonal", keys=NAME, as_of=t.hourly.agg(F.max("timestamp")).scalar()
     )

@@ -231,13 +231,13 @@ def j02(t):
 @query("j03_champion_challenger", "hourly", f"""WITH {HOLDOUT}, {seasonal_sql("past")},
 v AS (SELECT o.name, value AS actual, (my + slope * (epoch_us(timestamp) / 86400000000.0 - mx)) * daily * weekly AS predicted FROM hourly o JOIN sea USING (name)
   JOIN sea_d ON o.name = sea_d.name AND h = hour(timestamp) JOIN sea_w ON o.name = sea_w.name AND d = isodow(timestamp) - 1 WHERE timestamp >= {CUT}),
-old AS (SELECT name, sqrt(avg((actual - predicted) ** 2)) AS rmse FROM due WHERE name <> 'error' GROUP BY 1),
+old AS (SELECT name, sqrt(avg((actual - predicted) ** 2)) AS rmse FROM due GROUP BY 1),
 new AS (SELECT name, sqrt(avg((actual - predicted) ** 2)) AS rmse FROM v GROUP BY 1)
 SELECT name, round(new.rmse, 5) AS rmse, round(old.rmse, 5) AS champion_rmse, round((old.rmse - new.rmse) / old.rmse, 6) AS improvement,
   old.rmse IS NULL OR (old.rmse - new.rmse) / old.rmse >= 0.05 AS deployed FROM new LEFT JOIN old USING (name)""")
 def j03(t):
     cut = F.lit("2024-01-26").cast("timestamp_ntz")
-    champion = fc.forecast_metrics(holdout(t).where("name <> 'error'"), by=NAME)
+    champion = fc.forecast_metrics(holdout(t), by=NAME)
     params = seasonal.seasonal_fit(t.hourly.where(F.col("timestamp") < cut), keys=NAME)
     later = t.hourly.where(F.col("timestamp") >= cut).withColumnRenamed("value", "actual").join(params, "name")
     challenger = fc.forecast_metrics(seasonal.seasonal_values(later), by=NAME)

@@ -159,12 +159,13 @@ def s09(t):
 
 
 @query("s10_union_sources", "samples", """
-SELECT seq, name, value, 'a' AS source, '{deployment=fixed,host=' || host || '}' AS labels FROM samples WHERE name = 'view'
-UNION ALL SELECT seq, name, value, 'b', '{deployment=' || deployment || '}' FROM samples WHERE name = 'click'""")
+SELECT seq, name, value, 'a' AS source, '{deployment=fixed,host=' || host || '}' AS labels FROM samples WHERE name IN ('view', 'purchase', 'signup')
+UNION ALL SELECT seq, name, value, 'b', '{deployment=' || deployment || '}' FROM samples WHERE name IN ('click', 'error')""")
 def s10(t):
     labels = F.create_map(F.lit("host"), F.col("host"), F.lit("deployment"), F.col("deployment"))
-    a = t.samples.where("name = 'view'").select("seq", "name", "value", F.lit("a").alias("source"), labels.alias("labels"))
-    b = t.samples.where("name = 'click'").select("seq", "name", "value", F.lit("b").alias("source"), F.create_map(F.lit("deployment"), F.col("deployment")).alias("labels"))
+    first = F.col("name").isin("view", "purchase", "signup")
+    a = t.samples.where(first).select("seq", "name", "value", F.lit("a").alias("source"), labels.alias("labels"))
+    b = t.samples.where(~first).select("seq", "name", "value", F.lit("b").alias("source"), F.create_map(F.lit("deployment"), F.col("deployment")).alias("labels"))
     out = host.union_sources([host.merge_static_labels(a, {"deployment": "fixed"}), None, b])
     return out.withColumn("labels", series_id(F.lit(""), "labels"))
 

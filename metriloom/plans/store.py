@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from metriloom.operators import store
-from metriloom.plans.registry import query
+from metriloom.plans.registry import SQL, query
+from metriloom.session import new_path
+from metriloom.sources import tables
 
 HOURS_6, HOURS_12 = 6 * 3600, 12 * 3600
 LIVE = """live AS (SELECT *, CASE WHEN paused THEN 'online'
@@ -109,3 +111,30 @@ def q14(t):
     candidates = {"traffic": ["view", "hits"], "sales": ["purchase", "orders"], "faults": ["error"]}
     out = store.metric_availability(t.samples, candidates, hours=24, namespace="dep4")
     return out.withColumn("resources", F.concat_ws(",", "resources"))
+
+
+def stored(t):
+    """The samples in date folders."""
+    path = new_path(t.spark, "by-date")
+    tables.write_by_date(t.samples, path, order=["name"])
+    return path
+
+
+@query("q01_stored_metrics", "", SQL["q01_get_metrics"])
+def q01_stored(t):
+    rows, as_of = tables.read_recent(t.spark, stored(t), 72 * 3600)
+    return store.get_metrics(rows, "view", deployment="dep2", hours=72, as_of=as_of).select("seq", "name", "value", "timestamp", "deployment")
+
+
+@query("q04_stored_query", "", SQL["q04_metric_query"])
+def q04_stored(t):
+    rows, as_of = tables.read_recent(t.spark, stored(t), 24 * 3600)
+    return store.metric_query(rows, "click", as_of=as_of).select("seq", "value", "timestamp", "count", "latest_value", "latest_at")
+
+
+@query("q14_stored_availability", "", SQL["q14_metric_availability"])
+def q14_stored(t):
+    rows, as_of = tables.read_recent(t.spark, stored(t), 24 * 3600)
+    candidates = {"traffic": ["view", "hits"], "sales": ["purchase", "orders"], "faults": ["error"]}
+    out = store.metric_availability(rows, candidates, hours=24, namespace="dep4", as_of=as_of)
+    return out.withColumn("resources", F.concat_ws(",", "resources"))

@@ -6,6 +6,7 @@ from metriloom.operators import align, telemetry
 from metriloom.operators.scale import attach_row
 from metriloom.plans.align import INC, SERIES, r
 from metriloom.plans.registry import query
+from metriloom.schemas import ALERT_RULES, SCALING_TRIGGERS
 
 HOUR = 3600
 BOUNDS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
@@ -100,58 +101,67 @@ def m09(t):
     return attach_row(empty, filled)
 
 
-RULES = [
-    ("HighErrorRate", "error_ratio", ">", 0.05, 60, "warning"),
-    ("VeryHighErrorRate", "error_ratio", ">", 0.30, 0, "critical"),
-    ("HighMemoryUsage", "latency", ">", 50.0, 120, "warning"),
-]
-
-
-@query("m10_alert_eval", "samples", """
-WITH v AS (
-  SELECT deployment, date_trunc('hour', timestamp) AS timestamp, 'error_ratio' AS expression, count(*) FILTER (name = 'error') / count(*) AS value FROM samples GROUP BY 1, 2
-  UNION ALL SELECT deployment, date_trunc('hour', timestamp), 'latency', avg(value) FROM samples GROUP BY 1, 2),
-e AS (SELECT deployment, timestamp, round(value, 6) AS value, r.*, CASE WHEN above THEN round(value, 6) > threshold END AS holds FROM v JOIN
-  (VALUES ('HighErrorRate', 'error_ratio', true, 0.05, 60, 'warning'), ('VeryHighErrorRate', 'error_ratio', true, 0.30, 0, 'critical'),
-          ('HighMemoryUsage', 'latency', true, 50.0, 120, 'warning')) r(alert, expression, above, threshold, minutes, severity) USING (expression)),
+# facts of the service, made from the samples of an hour
+SERVICE_FACTS = {
+    "up": "CAST(count(*) FILTER (WHERE name = 'view') > 0 AS INT)",
+    "ready": "CAST(count(*) FILTER (WHERE name = 'click') > 0 AS INT)",
+    "models_loaded": "count(DISTINCT name) - 1",
+    "prediction_latency_p95": "max(value) / 50",
+    "error_ratio": "count(*) FILTER (WHERE name = 'error') / count(*)",
+    "critical_anomalies_5m": "count(*) FILTER (WHERE value > 150)",
+    "anomalies_15m": "2 * count(*) FILTER (WHERE value > 40)",
+    "cache_hit_ratio": "count(*) FILTER (WHERE value < 60) / count(*)",
+    "scale_out_5m": "count(*) FILTER (WHERE name = 'purchase' AND value > 100)",
+    "memory_ratio": "avg(CASE WHEN name = 'click' THEN value END) / 60",
+    "cpu_ratio": "avg(CASE WHEN name = 'view' THEN value END) / 60",
+}
+_rules = ", ".join(f"('{a}', '{e}', '{op}', {limit}, {minutes}, '{severity}')" for a, e, op, limit, minutes, severity in ALERT_RULES)
+_facts = " UNION ALL ".join(f"SELECT deployment, timestamp, '{name}' AS expression, {name} AS value FROM f" for name in SERVICE_FACTS)
+
+
+@query("m10_alert_eval", "samples", f"""
+WITH f AS (SELECT deployment, date_trunc('hour', timestamp) AS timestamp, {", ".join(f"round(CAST({sql} AS DOUBLE), 6) AS {name}" for name, sql in SERVICE_FACTS.items())} FROM samples GROUP BY 1, 2),
+v AS ({_facts}),
+e AS (SELECT deployment, timestamp, value, r.*, coalesce(CASE op WHEN '==' THEN value = threshold WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold END, false) AS holds
+  FROM v JOIN (VALUES {_rules}) r(alert, expression, op, threshold, minutes, severity) USING (expression)),
 g AS (SELECT *, count(*) FILTER (NOT holds) OVER (PARTITION BY deployment, alert ORDER BY timestamp) AS grp FROM e),
 s AS (SELECT *, CASE WHEN holds THEN min(timestamp) FILTER (holds) OVER (PARTITION BY deployment, alert, grp) END AS active_since FROM g)
 SELECT deployment, timestamp, value, alert, severity, active_since,
   CASE WHEN NOT holds THEN 'inactive' WHEN date_diff('minute', active_since, timestamp) >= minutes THEN 'firing' ELSE 'pending' END AS state FROM s""")
 def m10(t):
+    """The 13 shipped rules over facts of each deployment and hour."""
     facts = t.samples.groupBy("deployment", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp")).agg(
-        (F.count_if(F.col("name") == "error") / F.count("*")).alias("error_ratio"), F.avg("value").alias("latency")
+        *[F.expr(f"round(CAST({sql} AS DOUBLE), 6)").alias(name) for name, sql in SERVICE_FACTS.items()]
     )
-    values = facts.unpivot(["deployment", "timestamp"], ["error_ratio", "latency"], "expression", "value")
-    return telemetry.alert_eval(values.withColumn("value", F.round("value", 6)), RULES, keys=["deployment"])
-
-
-@query("m11_trigger_eval", "samples", """
-WITH f AS (SELECT date_trunc('hour', timestamp) AS timestamp, round(avg(value) / 60, 6) AS cpu, count(*) * 10.0 AS rps, count(*) FILTER (name = 'purchase') * 30.0 AS ppm FROM samples GROUP BY 1),
-v AS (SELECT timestamp, 'shop-api' AS workload, 'cpu_utilization' AS trigger, cpu AS value FROM f
-  UNION ALL SELECT timestamp, 'shop-api', 'requests_per_second', rps FROM f UNION ALL SELECT timestamp, 'inference', 'predictions_per_minute', ppm FROM f),
-j AS (SELECT * FROM v JOIN (VALUES ('shop-api', 'cpu_utilization', 0.7, 0.3, 2, 20), ('shop-api', 'requests_per_second', 100, 10, 2, 20),
-  ('inference', 'predictions_per_minute', 50, 5, 2, 10)) t(workload, trigger, threshold, activation, lo, hi) USING (workload, trigger))
+    values = facts.unpivot(["deployment", "timestamp"], list(SERVICE_FACTS), "expression", "value")
+    return telemetry.alert_eval(values, ALERT_RULES, keys=["deployment"])
+
+
+# values of the seven triggers, made from the samples of an hour
+TRIGGER_FACTS = {
+    ("shop-api", "cpu_utilization"): "avg(value) / 60",
+    ("shop-api", "requests_per_second"): "count(*) * 10",
+    ("shop-api", "p95_latency"): "max(value) / 300",
+    ("shop-api", "predicted_replicas"): "count(*) FILTER (WHERE name = 'signup')",
+    ("inference", "predictions_per_minute"): "count(*) FILTER (WHERE name = 'purchase') * 30",
+    ("inference", "request_latency"): "min(value) / 10",
+    ("inference", "cpu_utilization"): "avg(CASE WHEN name = 'click' THEN value END) / 60",
+}
+_triggers = ", ".join(f"('{w}', '{n}', {limit}, {active}, {lo}, {hi})" for w, n, limit, active, lo, hi in SCALING_TRIGGERS)
+_values = " UNION ALL ".join(f"SELECT timestamp, '{w}' AS workload, '{n}' AS trigger, c{i} AS value FROM f" for i, (w, n) in enumerate(TRIGGER_FACTS))
+
+
+@query("m11_trigger_eval", "samples", f"""
+WITH f AS (SELECT date_trunc('hour', timestamp) AS timestamp, {", ".join(f"round(CAST({sql} AS DOUBLE), 6) AS c{i}" for i, sql in enumerate(TRIGGER_FACTS.values()))} FROM samples GROUP BY 1),
+v AS ({_values}), j AS (SELECT * FROM v JOIN (VALUES {_triggers}) t(workload, trigger, threshold, activation, lo, hi) USING (workload, trigger))
 SELECT workload, timestamp, count(*) FILTER (value > activation) AS active_triggers,
   CAST(least(greatest(coalesce(max(CASE WHEN value > activation THEN ceil(value / CAST(threshold AS DOUBLE)) END), max(lo)), max(lo)), max(hi)) AS INT) AS replicas
 FROM j GROUP BY 1, 2""")
 def m11(t):
+    """The seven shipped triggers."""
     hour = F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp")
-    facts = t.samples.groupBy(hour).agg(
-        F.round(F.avg("value") / 60, 6).alias("cpu"),
-        (F.count("*") * 10.0).alias("rps"),
-        (F.count_if(F.col("name") == "purchase") * 30.0).alias("ppm"),
-    )
-    asked = F.array(
-        *[
-            F.struct(F.lit(w).alias("workload"), F.lit(n).alias("trigger"), F.col(c).cast("double").alias("value"))
-            for w, n, c in (
-                ("shop-api", "cpu_utilization", "cpu"),
-                ("shop-api", "requests_per_second", "rps"),
-                ("inference", "predictions_per_minute", "ppm"),
-            )
-        ]
-    )
+    facts = t.samples.groupBy(hour).agg(*[F.expr(f"round(CAST({sql} AS DOUBLE), 6)").alias(f"c{i}") for i, sql in enumerate(TRIGGER_FACTS.values())])
+    asked = F.array(*[F.struct(F.lit(w).alias("workload"), F.lit(n).alias("trigger"), F.col(f"c{i}").alias("value")) for i, (w, n) in enumerate(TRIGGER_FACTS)])
     return telemetry.trigger_eval(facts.select("timestamp", F.inline(asked)))
 
 

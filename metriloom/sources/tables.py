@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +30,60 @@ def write_samples(df: DataFrame, path: str, *, mode: str = "append") -> None:
     )
 
 
+def write_by_date(df: DataFrame, path: str, *, ts: str = "timestamp", order: Sequence[str] = (), mode: str = "append", unit: str = "day") -> None:
+    """Any table with a time column in folders by date (of the day, or of the first day of its ``unit``, as month),
+    sorted inside its files; rows without a time get a folder that no time interval reads."""
+    (
+        df.withColumn("date", F.date_trunc(unit, ts).cast("date"))
+        .hint("rebalance", "date")
+        .sortWithinPartitions("date", *order, ts)
+        .write.mode(mode)
+        .partitionBy("date")
+        .parquet(path)
+    )
+
+
+def stored_dates(spark: SparkSession, path: str) -> list[str]:
+    """Dates of the folders below ``path``, newest first: a listing of names, no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted((n.removeprefix("date=") for n in names if re.fullmatch(r"date=\d{4}-\d{2}-\d{2}", n)), reverse=True)
+
+
+def _by_date(spark: SparkSession, path: str) -> DataFrame:
+    """The table with its folders' date; its columns are those of the newest folder."""
+    days = stored_dates(spark, path)
+    if not days:
+        return spark.read.parquet(path)
+    columns = spark.read.parquet(f"{path.rstrip('/')}/date={days[0]}").schema
+    return spark.read.schema(T.StructType([*columns.fields, T.StructField("date", T.DateType())])).parquet(path)
+
+
+def newest_time(spark: SparkSession, path: str, *, ts: str = "timestamp"):
+    """The newest time of a table in date folders, read from the newest folder that has rows; None if it has none."""
+    df = _by_date(spark, path)
+    for day in stored_dates(spark, path):
+        found = df.where(F.col("date") == F.lit(day).cast("date")).agg(F.max(ts)).first()[0]
+        if found is not None:
+            return found
+    return None
+
+
+def read_recent(spark: SparkSession, path: str, seconds: int, *, ts: str = "timestamp", as_of=None, unit: str = "day") -> tuple[DataFrame, object]:
+    """Rows of the last ``seconds`` up to any later time, and the evaluation time (the newest row's unless given).
+
+    Only the date folders of the interval are read: the cut-off is a literal, on the folder and on the time. What
+    comes after decides whether the first moment belongs to the interval.
+    """
+    at = as_of if as_of is not None else newest_time(spark, path, ts=ts)
+    df = _by_date(spark, path)
+    if at is None:
+        return df.drop("date").limit(0), None
+    since = at - timedelta(seconds=seconds)
+    kept = df.where((F.col("date") >= F.date_trunc(unit, F.lit(since)).cast("date")) & (F.col(ts) >= F.lit(since).cast(df.schema[ts].dataType)))
+    return kept.drop("date"), at
+
+
 def read_samples(spark: SparkSession, path: str, *, start=None, end=None, names: list[str] | None = None) -> DataFrame:
     """Canonical samples with ``series_id``. The time interval prunes date folders and, with the names,
     is pushed into the scan."""

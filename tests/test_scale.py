@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metriloom.operators import scale
 from metriloom.operators.recommend import cooldown
@@ -57,7 +58,7 @@ def test_previous_keeps_null_values(spark):
 def test_newest_rows(spark, n):
     rows, df = skewed(spark)
     want = sorted(rows, key=lambda r: (r[2], r[1]), reverse=True)[:n]
-    got = scale.newest_rows(df, "ts", "seq", n, bucket_seconds=900)
+    got = scale.newest_rows(df, "ts", "seq", n, bins=7)
     assert sorted(r["seq"] for r in got.collect()) == sorted(r[1] for r in want)
     assert got.columns == df.columns
 
@@ -110,3 +111,30 @@ def test_cooldown_is_exact(spark, gap, chunk):
             free = last is None or (r[2] - last).total_seconds() >= gap
             assert got[r[1]] == free, (key, r)
             last = r[2] if free else last
+
+
+def test_newest_rows_of_one_moment(spark):
+    """All rows have one time: the tie cuts, also where ties are repeated or null, and no task ranks."""
+    rows = [(START, i, i % 7) for i in range(500)] + [(START - timedelta(days=1), 1, 1), (None, 9, 9)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, seq long, few int")
+    for n in (1, 17, 499):
+        out = scale.newest_rows(df, "ts", "seq", n, bins=5)
+        assert sorted(r["seq"] for r in out.collect()) == list(range(500 - n, 500))
+        assert "Window" not in out._jdf.queryExecution().toString()
+    assert scale.newest_rows(df, "ts", "seq", 500).count() == 500 and scale.newest_rows(df, "ts", "seq", 501).count() == 501
+    assert scale.newest_rows(df, "ts", "seq", 502).count() == 502 and scale.newest_rows(df, "ts", "seq", 0).count() == 0
+    few = scale.newest_rows(df, "ts", "few", 100).groupBy("few").count().collect()
+    assert {r["few"]: r["count"] for r in few} == {6: 71, 5: 29}
+    nulls = spark.createDataFrame([(START, None)] * 5 + [(START, 3)], "ts timestamp_ntz, seq long")
+    assert sorted(str(r["seq"]) for r in scale.newest_rows(nulls, "ts", "seq", 3).collect()) == ["3", "None", "None"]
+
+
+def test_nth_largest(spark):
+    rng = np.random.default_rng(4)
+    values = [int(v) for v in rng.integers(-(2**62), 2**62, 300)] + [2**63 - 1, -(2**63), 5, 5, 5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    down = sorted(values, reverse=True)
+    for n in (1, 2, 150, 151, 153, 305):
+        found, above = scale.nth_largest(df, F.col("v"), n, bins=10)
+        assert found == down[n - 1] and above == sum(v > found for v in values)
+    assert scale.nth_largest(df, F.col("v"), 306) is None

@@ -1,7 +1,7 @@
 """Files and payload texts: good rows, missing fields, bad numbers and times, empty series."""
 
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +189,27 @@ def test_repeated_missing_and_huge_fields_do_not_stop_a_job(spark):
     assert [r["value"] for r in payloads.normalize_cloud_monitoring(bodies(spark, series)).collect()] == [3.0]
     samples, rejects = payloads.ingest_payload(bodies(spark, {"metrics": [{"name": "x", "value": "NaN"}, {"name": "y", "value": "-Infinity"}, {"name": "z", "value": 1}]}))
     assert [r["name"] for r in samples.collect()] == ["z"] and rejects.count() == 2
+
+
+def test_store_scans_read_only_the_folders_of_their_interval(spark, tmp_path):
+    """The newest time and the window come from the newest folders; older files are never opened."""
+    start = datetime(2024, 1, 1)
+    rows = [("m", float(i), start + timedelta(hours=i), i) for i in range(24 * 20)] + [("m", -1.0, None, -1)]
+    df = spark.createDataFrame(rows, "name string, value double, timestamp timestamp_ntz, seq long")
+    at = str(tmp_path / "by-date")
+    tables.write_by_date(df, at, order=["name"])
+    assert tables.stored_dates(spark, at)[:2] == ["2024-01-20", "2024-01-19"]
+    for old in sorted((tmp_path / "by-date").glob("date=2024-01-0*/*.parquet")):
+        old.write_bytes(b"not a table")  # whatever opens it fails
+    assert tables.newest_time(spark, at) == start + timedelta(hours=479)
+    recent, as_of = tables.read_recent(spark, at, 36 * 3600)
+    plan = recent._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-19" in plan and "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in plan
+    found = store.get_metrics(recent, "m", hours=36, limit=1000, as_of=as_of).collect()
+    assert [r["seq"] for r in found] == list(range(480 - 36, 480)) and "date" not in recent.columns
+    monthly = str(tmp_path / "by-month")
+    tables.write_by_date(df, monthly, unit="month")
+    assert tables.stored_dates(spark, monthly) == ["2024-01-01"] and tables.read_recent(spark, monthly, 3600, unit="month")[0].count() == 2
+    empty = str(tmp_path / "none")
+    tables.write_by_date(df.limit(0), empty)
+    assert tables.stored_dates(spark, empty) == []
