@@ -253,7 +253,9 @@ def search(index: DataFrame, queries: DataFrame, vector: str = "embedding", id:
             for (query, v), row in zip(ask, at):
                 row = row[row >= 0]
                 scores = vectors[row] @ v
-                best = np.argsort(-scores, kind="stable")[: k + 1]
+                best = np.argsort(-scores, kind="stable")
+                if len(best) > k + 1:  # all that equal the last one wanted: the smaller ids are chosen below
+                    best = best[scores[best] >= scores[best[k]]]
                 found = [(s, i) for r, s in zip(row[best], scores[best]) for i in ids[ends[r] : ends[r + 1]].tolist()]
                 own = [f for f in found if f[1] == query][:1]
                 if own:

@@ -69,3 +69,11 @@ def test_graph_survives_its_bytes():
     a, b = graph.search(v[:50], 10), again.search(v[:50], 10)
     assert np.array_equal(a[0], b[0]) and (a[0][:, 0] == np.arange(50)).mean() > 0.98
     assert len(graph.levels) > 1
+
+
+def test_equal_products_of_different_vectors_go_to_the_smaller_ids(spark):
+    """Vectors (1, y) all have product 1 with (1, 0)."""
+    rows = [(i, [1.0, float(i % 31) - 15 + i / 100]) for i in range(1, 61)] + [(0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    out = ann.search(ann.build_index(df), df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == list(range(1, 21)) and {r["score"] for r in out} == {1.0}
