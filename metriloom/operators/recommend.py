@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from metriloom.functions.quantities import millicores
 from metriloom.functions.time import MICROS, micros
 from metriloom.operators.scale import chunk_number, join_small
+from metriloom.session import written
 
 # fixed values: thresholds and limits of the recommendations
 SCALE_OUT_ABOVE, SCALE_IN_BELOW = 0.85, 0.3
@@ -114,25 +115,98 @@ def _chunk_exits(cooldown: int, chunk: int):
     return run
 
 
-def _chunk_entries(cooldown: int):
-    """Per series: walk the chunks in order and note the last accepted time before each."""
+#: chunks, or nodes over chunks, that are composed into one node
+FAN = 64
 
-    @F.pandas_udf("array<struct<chunk: bigint, entry: bigint>>")
-    def run(chunks: pd.Series) -> pd.Series:
+
+def _after(entry: np.ndarray, firsts: np.ndarray, exits: np.ndarray, cooldown: int) -> np.ndarray:
+    """Last accepted time after a stretch, for last accepted times before it."""
+    if not len(firsts):
+        return entry
+    j = np.searchsorted(firsts, entry + cooldown, side="left")
+    return np.where(j < len(firsts), exits[np.minimum(j, len(firsts) - 1)], entry)
+
+
+def _composed(cooldown: int):
+    """Several consecutive maps from last accepted time to last accepted time as one.
+
+    What passes the first stretch untouched lies before it by less than a cooldown, so it meets the next one at
+    its first request. A composed map is thus at most one step longer than that of its first stretch.
+    """
+
+    @F.pandas_udf("firsts array<bigint>, exits array<bigint>")
+    def run(parts: pd.Series) -> pd.DataFrame:
         out = []
-        for series in chunks:
-            last, entries = None, []
-            for c in series:
-                entries.append({"chunk": c["chunk"], "entry": last})
-                j = 0 if last is None else int(np.searchsorted(c["firsts"], last + cooldown, side="left"))
-                if j < len(c["firsts"]):
-                    last = int(c["exits"][j])
+        for group in parts:
+            firsts, exits = np.empty(0, np.int64), np.empty(0, np.int64)
+            for part in group:
+                f, x = np.asarray(part["firsts"], np.int64), np.asarray(part["exits"], np.int64)
+                firsts, exits = np.append(firsts, f[:1]), np.append(_after(exits, f, x, cooldown), x[:1]) if len(firsts) else x[:1]
+                if len(firsts) == 1:
+                    firsts, exits = f, x
+                kept = np.append(exits[1:] != exits[:-1], True)
+                firsts, exits = firsts[kept], exits[kept]
+            out.append((firsts.tolist(), exits.tolist()))
+        return pd.DataFrame(out, columns=["firsts", "exits"])
+
+    return run
+
+
+def _entered(cooldown: int):
+    """Per node: the last accepted time before each of its parts, given the one before the node."""
+
+    @F.pandas_udf("array<struct<node: bigint, entry: bigint>>")
+    def run(parts: pd.Series, entry: pd.Series) -> pd.Series:
+        out = []
+        for group, before in zip(parts, entry):
+            last = None if pd.isna(before) else int(before)
+            entries = []
+            for part in group:
+                entries.append({"node": int(part["node"]), "entry": last})
+                if last is None:
+                    last = int(part["exits"][0])
+                else:
+                    last = int(_after(np.array([last]), np.asarray(part["firsts"]), np.asarray(part["exits"]), cooldown)[0])
             out.append(entries)
         return pd.Series(out)
 
     return run
 
 
+def _chunk_entries(exits: DataFrame, keys: Sequence[str], cooldown: int) -> DataFrame:
+    """``chunk, entry`` per series: the last accepted time before each chunk (NULL before the first).
+
+    Maps of ``FAN`` neighbours are composed level by level up to one node per series, and entries are handed down
+    the same tree. No row holds more than ``FAN`` parts, however many chunks a series has.
+    """
+    ends = exits.agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).first()
+    if ends["lo"] is None:
+        return exits.select(*keys, "chunk", F.lit(None).cast("bigint").alias("entry"))
+    part = F.struct("node", "firsts", "exits")
+
+    def grouped(level: DataFrame) -> DataFrame:
+        up = F.floor(F.col("node") / FAN).cast("bigint").alias("up")
+        return level.groupBy(*keys, up).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+
+    levels = [exits.select(*keys, (F.col("chunk") - ends["lo"]).alias("node"), "firsts", "exits")]
+    count = ends["hi"] - ends["lo"] + 1
+    while True:
+        count = -(-count // FAN)
+        if count <= 1:
+            break
+        up = grouped(levels[-1]).select(*keys, F.col("up").alias("node"), _composed(cooldown)("parts").alias("x"))
+        levels.append(written(up.select(*keys, "node", "x.firsts", "x.exits"), "cooldown-level"))
+    entry = None
+    for level in reversed(levels):
+        nodes = grouped(level)
+        if entry is None:
+            placed = nodes.withColumn("entry", F.lit(None).cast("double"))
+        else:
+            placed = nodes.join(entry.select(*keys, F.col("node").alias("up"), F.col("entry").cast("double").alias("entry")), [*keys, "up"])
+        entry = placed.select(*keys, F.inline(_entered(cooldown)("parts", "entry")))
+    return entry.select(*keys, (F.col("node") + ends["lo"]).alias("chunk"), "entry")
+
+
 def _accepted_positions(cooldown: int):
     """Per chunk: the positions of the accepted times, given the last accepted time before it."""
 
@@ -160,8 +234,8 @@ def cooldown(
 
     This is a sequential fold per series, cut into time chunks so that a busy series is spread over
     tasks. A chunk reports, for every first request it could accept, the last one it then accepts;
-    that small table is walked per series to find how each chunk is entered; then each chunk marks
-    its own requests. Requests at the same time are one step (the earliest by ``tie`` can win).
+    these maps are composed in a tree over the chunks of a series to find how each chunk is entered; then each
+    chunk marks its own requests. Requests at the same time are one step (the earliest by ``tie`` can win).
     """
     keys = list(keys)
     chunk_seconds = chunk_seconds or max(3600, cooldown_seconds)
@@ -173,8 +247,7 @@ def cooldown(
     steps = steps.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list(F.struct("us", "tie"))).alias("steps"))  # one chunk long
     times = F.transform("steps", lambda s: s["us"])
     exits = steps.select(*keys, "chunk", _chunk_exits(c, size)("chunk", times).alias("x"))
-    walk = F.array_sort(F.collect_list(F.struct("chunk", "x.firsts", "x.exits")))  # a few values per chunk
-    entries = exits.groupBy(*keys).agg(walk.alias("w")).select(*keys, F.inline(_chunk_entries(c)("w")))
+    entries = _chunk_entries(written(exits.select(*keys, "chunk", "x.firsts", "x.exits"), "cooldown-chunks"), keys, c)
     entry = F.col("entry").cast("double")  # below 2**53, so exact; NULL arrives as NaN
     marked = steps.join(entries, [*keys, "chunk"]).select(*keys, "steps", F.explode(_accepted_positions(c)(times, entry)).alias("at"))
     won = marked.select(*keys, F.col("steps")[F.col("at")].alias("s")).select(

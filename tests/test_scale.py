@@ -138,3 +138,35 @@ def test_nth_largest(spark):
         found, above = scale.nth_largest(df, F.col("v"), n, bins=10)
         assert found == down[n - 1] and above == sum(v > found for v in values)
     assert scale.nth_largest(df, F.col("v"), 306) is None
+
+
+def test_cooldown_composes_chunks_in_a_tree(spark, monkeypatch):
+    """Many chunks and a small fan: entries come down several levels; no row holds more parts than the fan."""
+    from metriloom.operators import recommend
+
+    monkeypatch.setattr(recommend, "FAN", 3)
+    rows, df = skewed(spark, n=900, seed=11)
+    got = {r["seq"]: r["accepted"] for r in cooldown(df, keys=["key"], ts="ts", cooldown_seconds=97, chunk_seconds=97).collect()}
+    for key in {r[0] for r in rows}:
+        last = None
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[2], r[1])):
+            free = last is None or (r[2] - last).total_seconds() >= 97
+            assert got[r[1]] == free, (key, r)
+            last = r[2] if free else last
+
+
+def test_cooldown_of_a_million_chunks(spark):
+    """A series of 10**6 chunks: its entries follow from the maps, and rows stay small on every level."""
+    from metriloom.operators import recommend
+
+    n, size, gap = 1_000_000, 3_600 * 10**6, 5_000 * 10**6 // 2
+    # one request a chunk, 700 to 2900 seconds into it
+    at = F.col("id") * size + (700 + F.pmod(F.xxhash64("id"), F.lit(2_200))) * 10**6
+    maps = spark.range(n).select(F.lit("hot").alias("key"), F.col("id").alias("chunk"), F.array(at).alias("firsts"), F.array(at).alias("exits"))
+    entries = recommend._chunk_entries(maps, ["key"], gap).toPandas().sort_values("chunk")
+    times = maps.select("chunk", F.col("firsts")[0].alias("t")).toPandas().sort_values("chunk")["t"].to_numpy()
+    want, last = np.full(n, -1), None
+    for i, t in enumerate(times.tolist()):
+        want[i] = -1 if last is None else last
+        last = t if last is None or t >= last + gap else last
+    assert np.array_equal(entries["entry"].fillna(-1).to_numpy("int64"), want)
