@@ -63,24 +63,40 @@ def scaling_action(df: DataFrame, *, target: float = 0.7) -> DataFrame:
     )
 
 
-def rightsizing(df: DataFrame) -> DataFrame:
-    """An extra action where the cpu limit is more than three times the request."""
-    text = F.format_string(
+def _oversized() -> Column:
+    return millicores("cpu_limit") > millicores("cpu_request") * LIMIT_FACTOR
+
+
+def _rightsizing_reason() -> Column:
+    # fixed value: the sentence of this action
+    return F.format_string(
         "CPU limit (%s) is significantly higher than request (%s). Consider right-sizing based on actual usage.", "cpu_limit", "cpu_request"
     )
-    return df.where(millicores("cpu_limit") > millicores("cpu_request") * LIMIT_FACTOR).withColumns(
+
+
+def rightsizing(df: DataFrame) -> DataFrame:
+    """An extra action where the cpu limit is more than three times the request."""
+    return df.where(_oversized()).withColumns(
         {
             "action": F.lit("scale_down"),
             "target_cpu_request": F.col("cpu_request"),
             "confidence": F.lit(0.6),
-            "reason": text,
+            "reason": _rightsizing_reason(),
         }
     )
 
 
 def recommend(df: DataFrame, *, target: float = 0.7) -> DataFrame:
-    """All actions of every workload, one row each."""
-    return scaling_action(df, target=target).unionByName(rightsizing(df), allowMissingColumns=True)
+    """All actions of every workload, one row each, from one reading of the input."""
+    acted = scaling_action(df, target=target)
+    sized = rightsizing(df)
+    kinds = {**dict(sized.dtypes), **dict(acted.dtypes)}
+    own, extra = set(df.columns), {"action": F.lit("scale_down"), "target_cpu_request": F.col("cpu_request"), "confidence": F.lit(0.6), "reason": _rightsizing_reason()}
+    main = F.struct(*[(F.col(c) if c in acted.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    other = F.struct(*[extra.get(c, F.col(c) if c in own else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    rows = F.array_compact(F.array(main, F.when(_oversized(), other)))
+    columns = [*acted.columns, *[c for c in kinds if c not in acted.columns]]
+    return acted.select(F.inline(rows)).select(*columns)
 
 
 # ---- cooldown ------------------------------------------------------------------------------

@@ -78,13 +78,14 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
     does an unreadable time. An envelope whose ``metrics`` is not a list, and a sample whose value is
     not a number, go to the rejects with a reason.
     """
-    parsed = df.withColumn("_e", F.from_json(body, ENVELOPE))
-    no_list = F.col("_e.metrics").isNull()
-    opened = parsed.select(  # no row where there is no list
-        *keep, received, F.col("_e.agent_version").alias("agent_version"), F.explode("_e.metrics").alias("m"))
+    # one row per sample, and one that holds none where there is no list, from one parse
+    one = lambda listed, m: F.struct(F.lit(listed).alias("listed"), m.alias("m"))
+    none = F.array(one(False, F.lit(None).cast(ENVELOPE["metrics"].dataType.elementType)))
+    rows = F.coalesce(F.transform("_e", lambda m: one(True, m)), none)
+    opened = df.withColumn("_e", F.from_json(body, ENVELOPE)["metrics"]).select(*keep, received, body, F.inline(rows))
     number = finite("m.value")
     bad = F.col("m.value").isNotNull() & number.isNull()
-    samples = opened.where(~bad).select(
+    samples = opened.where(F.col("listed") & ~bad).select(
         *keep,
         F.coalesce("m.name", F.lit("unknown")).alias("name"),
         F.coalesce(number, F.lit(0.0)).alias("value"),
@@ -93,8 +94,11 @@ def ingest_payload(df: DataFrame, *, body: str = "body", received: str = "receiv
         _read_labels("m.labels").alias("labels"),
         F.coalesce("m.source", F.lit(source)).alias("source"),
     )
-    rejects = parsed.where(no_list).select(*keep, F.lit("metrics is not a list").alias("reason"), F.col(body).alias("content")).unionByName(
-        opened.where(bad).select(*keep, F.lit("value is not a number").alias("reason"), F.to_json("m").alias("content"))
+    no_list = ~F.col("listed")
+    rejects = opened.where(no_list | bad).select(
+        *keep,
+        F.when(no_list, "metrics is not a list").otherwise("value is not a number").alias("reason"),
+        F.when(no_list, F.col(body)).otherwise(F.to_json("m")).alias("content"),
     )
     return samples, rejects
 

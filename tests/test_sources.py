@@ -213,3 +213,10 @@ def test_store_scans_read_only_the_folders_of_their_interval(spark, tmp_path):
     empty = str(tmp_path / "none")
     tables.write_by_date(df.limit(0), empty)
     assert tables.stored_dates(spark, empty) == []
+
+
+def test_ingest_of_null_samples_and_empty_lists(spark):
+    df = bodies(spark, {"metrics": [None, {"name": "a", "value": "2"}]}, {"metrics": []}, {"metrics": None}, "no json")
+    samples, rejects = payloads.ingest_payload(df)
+    assert sorted((r["name"], r["value"]) for r in samples.collect()) == [("a", 2.0), ("unknown", 0.0)]
+    assert [r["reason"] for r in rejects.collect()] == ["metrics is not a list"] * 2
