@@ -133,12 +133,40 @@ def after_last_delete(events: DataFrame, keys: Sequence[str], ts: str, tie: str)
 
 
 FOLDED = ("hostname", "agent_version", "metrics_count", "metrics", "paused", "collection_interval")
+#: what else an agent says of itself when it registers; folded where the events have it
+IDENTITY = ("platform", "location", "region", "ip_address")
+AUTO_DESCRIPTION = "Auto-created deployment"  # fixed value
+
+
+def _identity(df: DataFrame) -> list[str]:
+    return [c for c in IDENTITY if c in df.columns]
+
+
+def with_default_ids(events: DataFrame, *, salt: str = "seq") -> DataFrame:
+    """Events whose registrations without an ``agent_id`` get one from their host and ``salt``."""
+    made = default_agent_id(F.col("agent_id"), F.col("hostname"), F.col(salt))
+    return events.withColumn("agent_id", F.when(F.col("kind") == "register", made).otherwise(F.col("agent_id")))
+
+
+def with_auto_deployments(deployments: DataFrame, events: DataFrame, *, ts: str = "timestamp") -> DataFrame:
+    """The deployments, and those that exist only because an agent has registered into them.
+
+    Such a one is named by its id and created with its first registration.
+    """
+    made = events.where((F.col("kind") == "register") & F.col("deployment_id").isNotNull()).groupBy(F.col("deployment_id").alias("id")).agg(F.min(ts).alias("created_at"))
+    missing = made.join(deployments.select("id"), "id", "left_anti")
+    return deployments.unionByName(
+        missing.select(
+            "id", F.col("id").cast("string").alias("name"), F.lit(AUTO_DESCRIPTION).alias("description"), F.lit("development").alias("environment"),
+            "created_at", F.col("created_at").alias("updated_at"),
+        )
+    )
 
 
 def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "seq") -> DataFrame:
     """One row per agent: for each field the newest event that sets it, as struct (at, value).
 
-    Register events set host and version, the first one also the deployment; heartbeats set the count
+    Register events set host, version and identity (``IDENTITY``, also to NULL), the first one also the deployment; heartbeats set the count
     and, where not empty, the metrics; config events set what is not NULL (an interval out of range is
     ignored). Two such tables can be merged again by the same maxima, see :func:`merge_partials`.
     """
@@ -155,6 +183,7 @@ def registry_partials(events: DataFrame, *, ts: str = "timestamp", tie: str = "s
         F.max(F.when(register | beat, at)).alias("seen"),
         newest("hostname", register),
         newest("agent_version", register),
+        *[newest(c, register) for c in _identity(events)],
         newest("metrics_count", beat),
         newest("metrics", register | (beat & some)),
         newest("paused", config & F.col("paused").isNotNull()),
@@ -168,7 +197,7 @@ def merge_partials(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         union = union.unionByName(p)
     return union.groupBy("agent_id").agg(
-        F.min("first").alias("first"), F.max("seen").alias("seen"), *[F.max(c).alias(c) for c in FOLDED]
+        F.min("first").alias("first"), F.max("seen").alias("seen"), *[F.max(c).alias(c) for c in (*FOLDED, *_identity(union))]
     )
 
 
@@ -185,6 +214,7 @@ def registry_view(partials: DataFrame) -> DataFrame:
         F.col("first.v").alias("deployment_id"),
         value("hostname"),
         value("agent_version"),
+        *[value(c) for c in _identity(partials)],
         F.col("first.at.ts").alias("registered_at"),
         F.col("seen.ts").alias("last_seen"),
         value("metrics_count", 0),

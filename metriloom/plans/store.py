@@ -93,6 +93,48 @@ def q10(t):
     return store.agent_registry(t.registry_events)
 
 
+IDENTITY_SQL = """SELECT CASE WHEN kind = 'register' AND seq % 5 = 0 THEN substr('server-of-' || agent_id, 1, 8) || '-' || substr(md5(CAST(seq AS VARCHAR)), 1, 4) ELSE 'a' || agent_id END AS agent_id,
+  seq, timestamp, kind, CASE WHEN kind = 'register' THEN 'server-of-' || agent_id END AS hostname, deployment_id,
+  CASE WHEN kind = 'register' THEN CASE seq % 3 WHEN 0 THEN 'linux' WHEN 1 THEN 'windows' END END AS platform, CASE WHEN kind = 'register' THEN 'room ' || seq % 4 END AS location,
+  CASE WHEN kind = 'register' AND seq % 2 = 0 THEN 'eu-west' END AS region, CASE WHEN kind = 'register' THEN '10.0.0.' || seq % 250 END AS ip_address FROM registry_events"""
+
+
+def identified(t):
+    """Registry events whose registrations say more of the agent; every fifth has no agent id."""
+    register, seq = F.col("kind") == "register", F.col("seq")
+    named = F.when(register & (seq % 5 == 0), F.lit(None)).otherwise(F.concat(F.lit("a"), "agent_id"))
+    told = {
+        "hostname": F.concat(F.lit("server-of-"), F.col("agent_id")),
+        "platform": F.when(seq % 3 == 0, "linux").when(seq % 3 == 1, "windows"),
+        "location": F.concat(F.lit("room "), (seq % 4).cast("string")),
+        "region": F.when(seq % 2 == 0, "eu-west"),
+        "ip_address": F.concat(F.lit("10.0.0."), (seq % 250).cast("string")),
+    }
+    events = t.registry_events.withColumns({c: F.when(register, v) for c, v in told.items()}).withColumn("agent_id", named)
+    return store.with_default_ids(events)
+
+
+@query("q10_agent_identity", "registry_events", f"""
+WITH r AS ({IDENTITY_SQL}), f AS (SELECT agent_id AS a, min((timestamp, seq)) AS first FROM r WHERE kind = 'register' GROUP BY 1),
+e AS (SELECT r.*, (timestamp, seq) AS k FROM r JOIN f ON a = agent_id WHERE (timestamp, seq) >= first),
+n AS (SELECT agent_id, max(k) FILTER (kind = 'register') AS last, max(timestamp) FILTER (kind <> 'config') AS last_seen FROM e GROUP BY 1)
+SELECT e.agent_id, hostname, platform, location, region, ip_address, last_seen FROM e JOIN n ON n.agent_id = e.agent_id AND e.k = n.last""")
+def q10_identity(t):
+    return store.agent_registry(identified(t)).select("agent_id", "hostname", "platform", "location", "region", "ip_address", "last_seen")
+
+
+@query("q10_auto_deployments", "registry_events", """
+WITH d AS (SELECT DISTINCT 'dep' || o_custkey % 3 AS id FROM orders),
+g AS (SELECT deployment_id AS id, min(timestamp) AS created_at FROM registry_events WHERE kind = 'register' GROUP BY 1)
+SELECT id, 'dep' AS name, '' AS description, 'production' AS environment, TIMESTAMP '2024-01-01' AS created_at, TIMESTAMP '2024-01-01' AS updated_at FROM d
+UNION ALL SELECT id, id, 'Auto-created deployment', 'development', created_at, created_at FROM g WHERE id NOT IN (SELECT id FROM d)""")
+def q10_auto(t):
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    known = t.table("orders").select(F.concat(F.lit("dep"), (F.col("o_custkey") % 3).cast("string")).alias("id")).distinct()
+    known = known.select("id", F.lit("dep").alias("name"), F.lit("").alias("description"), F.lit("production").alias("environment"), at.alias("created_at"), at.alias("updated_at"))
+    return store.with_auto_deployments(known, t.registry_events)
+
+
 @query("q13_trailing_history", "samples", """
 SELECT name, seq, value, timestamp, CAST(rank AS INT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp DESC, seq DESC) AS rank FROM samples) WHERE rank <= 20""")
