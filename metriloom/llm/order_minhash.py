@@ -1,7 +1,8 @@
 """Order MinHash fingerprints: sensitive to edit distance, as built-in functions only.
 
-A text is cut at blanks and line ends into words, a start and an end mark are put around them, and every
-``k`` neighbours form a k-mer. K-mers that repeat are numbered by occurrence, so a text is a set of
+A text is cut at blanks and line ends into words, and words of more than ``PIECE`` characters into pieces of that
+length, so that a text without blanks has members too (the later pieces of a word bear a mark). A start and an end
+mark are put around them, and every ``k`` neighbours form a k-mer. K-mers that repeat are numbered by occurrence, so a text is a set of
 (k-mer, number). For each of ``m`` orders of that set, the ``l`` least members are taken, put back into
 their order in the text and hashed as a tuple; the signature is the ``m`` hashes. Two texts agree in one
 of them about as often as the ``l`` least members of both together are shared and stand in the same
@@ -12,7 +13,8 @@ the hash circle. So one sort serves all of them: hash and position share a long,
 between, and the members behind each point are its least ones. Numbering and sorting stay inside the row;
 nothing is shuffled to make a signature. A text with less than ``l`` members uses what it has.
 
-A null text is empty; an empty text has the two marks alone. Equal texts have equal signatures. An empty
+Very long texts are fingerprinted whole; what they need grows with their members. Where something is put into or
+taken out of a word of several pieces, its later pieces change too. A null text is empty; an empty text has the two marks alone. Equal texts have equal signatures. An empty
 table gives an empty table, and columns named like the result are replaced.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from metriloom.llm.frames import whole_text
 
 GRAM = 2
+PIECE = 16
 LEAST = 2
 ORDERS = 64
 #: the low bits of a long hold the position of a k-mer, the others its hash
@@ -33,7 +36,8 @@ LOW = (1 << POSITION_BITS) - 1
 
 def members(text: Column, k: int = GRAM) -> Column:
     """Sorted longs, hash above position, of all occurrence-numbered k-mers of a text."""
-    words = F.concat(F.array(F.lit("\x02")), F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), F.array(F.lit("\x03")))
+    cut = F.regexp_replace(text, f"([^ \\n]{{{PIECE}}})(?=[^ \\n])", "$1 \x01")
+    words = F.concat(F.array(F.lit("\x02")), F.split(F.replace(cut, F.lit("\n"), F.lit(" ")), " "), F.array(F.lit("\x03")))
 
     def of(w: Column) -> Column:
         high = F.lit(~LOW)
