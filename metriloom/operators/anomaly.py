@@ -80,6 +80,14 @@ def describe(metric: str | Column, value: str | Column, expected: str | Column,
     )
 
 
+def anomaly_counts(found: DataFrame, *, name: str = "name", severity: str = "severity") -> DataFrame:
+    """Anomalies per severity and per metric as rows (``level``, ``key``), which any number of metrics fits; one aggregate."""
+    by_severity, by_name = F.col(severity), F.col(name)
+    return found.groupingSets([[by_severity], [by_name]], by_severity, by_name).agg(
+        F.when(F.grouping(by_severity) == 0, "severity").otherwise("metric").alias("level"), F.count("*").alias("anomalies"), F.max("score").alias("max_score")
+    ).select("level", F.when(F.col("level") == "severity", by_severity).otherwise(by_name).alias("key"), "anomalies", "max_score")
+
+
 def anomaly_summary(points: DataFrame, anomalies: DataFrame, *, metric: str = "name", severity_col: str = "severity", score: str = "score") -> DataFrame:
     """One row: status, rate over all points, counts by severity and by metric, highest score.
 

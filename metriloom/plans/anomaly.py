@@ -65,6 +65,13 @@ def n04(t):
     )
 
 
+@query("n04_anomaly_counts", "samples", f"""WITH {SCORED.format(sigma=2.5)}
+SELECT 'severity' AS level, severity AS key, count(*) AS anomalies, max(score) AS max_score FROM found GROUP BY 2
+UNION ALL SELECT 'metric', name, count(*), max(score) FROM found GROUP BY 2""")
+def n04_counts(t):
+    return anomaly.anomaly_counts(anomaly.zscore_anomalies(t.samples))
+
+
 @query("n05_holdout_zscore", "samples", """
 WITH placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY timestamp, seq) AS rn, count(*) OVER (PARTITION BY name) AS n FROM samples),
 m AS (SELECT name, CASE WHEN max(n) > 10 THEN avg(CASE WHEN rn <= floor(n * 0.8) THEN value END) ELSE 0 END AS mean,

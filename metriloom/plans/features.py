@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metriloom.functions.time import floor_to
 from metriloom.operators import features
 from metriloom.plans.registry import query
 
@@ -78,11 +79,14 @@ def f06(t):
     return rounded(features.transform(t.wide_by_dep, keys=KEYS))
 
 
-@query("f07_prepare_for_training", "wide", f"""WITH wide_by_dep AS (SELECT concat('day', isodow(timestamp)) AS deployment, timestamp, cpu_usage, memory_usage FROM wide), {FILLED}, x AS ({TRANSFORM})
+@query("f07_prepare_for_training", "", f"""WITH wide_by_dep AS (SELECT concat('dep', user_id % 5) AS deployment, time_bucket(INTERVAL 6 HOUR, ts) AS timestamp,
+  avg(CASE WHEN event_type = 'view' THEN value END) AS cpu_usage, avg(CASE WHEN event_type = 'click' THEN value END) AS memory_usage FROM events GROUP BY 1, 2), {FILLED}, x AS ({TRANSFORM})
 SELECT * EXCLUDE (timestamp) FROM x WHERE {" AND ".join(f"{c} IS NOT NULL" for c in EVERY)}""")
 def f07(t):
-    by_day = F.concat(F.lit("day"), F.weekday("timestamp") + 1)  # one series per day of the week
-    frame = features.transform(t.wide.select(by_day.alias("deployment"), "timestamp", *COLS), keys=KEYS)
+    """One series per deployment, aligned to six hours."""
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    aligned = t.events.groupBy(F.concat(F.lit("dep"), F.col("user_id") % 5).alias("deployment"), floor_to("ts", 6 * 3600).alias("timestamp"))
+    frame = features.transform(aligned.agg(mean("view").alias("cpu_usage"), mean("click").alias("memory_usage")), keys=KEYS)
     return rounded(features.prepare_for_training(frame, "cpu_usage", keep=KEYS))
 
 
