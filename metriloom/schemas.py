@@ -53,8 +53,6 @@ RUN_LOG = T.StructType(
 
 # ---- fixed values -------------------------------------------------------------------------
 
-METRIC_TYPES = ("gauge", "counter", "histogram", "summary")
-
 #: USD per unit and hour
 UNIT_PRICES = {"cpu": 0.0445, "memory": 0.0049, "storage": 0.0001}
 HOURS_PER_DAY = 24
