@@ -30,7 +30,7 @@ class ShuffledTables(Tables):
     Every batch holds times of the whole span; the watermark's delay covers it.
     """
 
-    BATCHES = 3
+    BATCHES = 2
 
     @cached_property
     def events(self):

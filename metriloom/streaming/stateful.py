@@ -299,23 +299,27 @@ class HistoryProcessor(OrderedProcessor):
 
 
 class ZScoreProcessor(OrderedProcessor):
-    """Score each point against the mean and deviation of the points before it."""
+    """Score each point against the mean and deviation of the points before it.
 
-    state_schema = _schema(n=LONG, mean=T.DoubleType(), m2=T.DoubleType())
+    Sums are taken around the first value of the series, which is never far from the mean in deviations of the whole,
+    and go on from slot to slot in one order, so a score does not depend on how rows came or were released.
+    """
+
+    state_schema = _schema(n=LONG, base=T.DoubleType(), s1=T.DoubleType(), s2=T.DoubleType())
 
     def __init__(self, keys, ts, tie, slot_seconds, value: str, sigma: float, min_points: int, digits: int):
         super().__init__(keys, ts, tie, value, slot_seconds)
         self.sigma, self.min_points, self.digits = sigma, min_points, digits
 
     def fold(self, carry, at, tie, v):
-        n0, mean0, m20 = carry or (0, float(v[0]), 0.0)
-        d = v - mean0  # sums are taken around the mean so far, where they lose no digits
-        s1, s2 = np.append(0.0, np.cumsum(d)), np.append(m20, m20 + np.cumsum(d * d))
+        n0, base, first, second = carry or (0, float(v[0]), 0.0, 0.0)
+        d = v - base
+        s1, s2 = np.cumsum(np.append(first, d)), np.cumsum(np.append(second, d * d))
         n = n0 + np.arange(len(v) + 1)
         shift = s1 / np.maximum(n, 1)
         spread = np.maximum(s2 - s1 * shift, 0.0)
-        carry = (int(n[-1]), float(mean0 + shift[-1]), float(spread[-1]))
-        mean, std = (mean0 + shift)[:-1], np.maximum(np.sqrt(spread[:-1] / np.maximum(n[:-1], 1)), 0.001)
+        carry = (int(n[-1]), base, float(s1[-1]), float(s2[-1]))
+        mean, std = (base + shift)[:-1], np.maximum(np.sqrt(spread[:-1] / np.maximum(n[:-1], 1)), 0.001)
         score = np.round(np.abs(v - mean) / std, self.digits)
         hit = (n[:-1] >= self.min_points) & (score > self.sigma)
         out = {self.tie: tie[hit], self.ts: _times(at[hit]), self.value: v[hit], "expected": mean[hit], "score": score[hit]}
