@@ -1,6 +1,6 @@
 """Stateful stream operators: liveness, cooldown, alerts, history and running z-score.
 
-Each processor keeps a few numbers per series (the history keeps its trimmed list). Cooldown, alerts, history
+Each processor keeps a few numbers per series (the history keeps trimmed lists, by bucket of series). Cooldown, alerts, history
 and z-score do not depend on the order of arrival: rows wait in state, by time slot, until the watermark has
 passed, and are then applied in event-time order; rows behind it are handed out as late.
 """
@@ -138,14 +138,21 @@ class OrderedProcessor(_Processor):
         self.pending = handle.getMapState("pending", _schema(slot=LONG, part=LONG), lists)
         self.plan = handle.getValueState("plan", _schema(parts=LONG, timer=LONG))  # entries written, time of the timer
 
+    def slot_end(self, at: np.ndarray) -> np.ndarray:
+        """Milliseconds at which the slots of times in microseconds end."""
+        return (at // 1_000 // self.slot_ms + 1) * self.slot_ms
+
+    def placed(self, pdf: pd.DataFrame, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: if it has a time, that time, the end of its slot, and if it is late."""
+        timed = pdf[TIME].notna().to_numpy()
+        at = pdf[TIME].fillna(0).to_numpy("int64")
+        end = self.slot_end(at)
+        return timed, at, end, ~timed | ((end <= mark) & (mark > 0))
+
     def fold(self, carry: tuple | None, at: np.ndarray, tie: np.ndarray, value: np.ndarray) -> tuple[tuple | None, dict | None]:
         """New carried state and output columns for rows in order."""
         raise NotImplementedError
 
-    def released(self, carry: tuple | None, until: int | None) -> dict | None:
-        """Output columns after all complete slots have been applied; ``until`` is the time of the last row."""
-        return None
-
     def late_rows(self, at: pd.Series, tie: pd.Series, value: pd.Series | None) -> dict:
         return {self.tie: tie, self.ts: at}
 
@@ -167,10 +174,7 @@ class OrderedProcessor(_Processor):
         for pdf in rows:
             if self.value is not None:
                 pdf = self.judged(pdf)
-            timed = pdf[TIME].notna().to_numpy()
-            at = pdf[TIME].fillna(0).to_numpy("int64")
-            end = (at // 1_000 // self.slot_ms + 1) * self.slot_ms
-            late = ~timed | ((end <= mark) & (mark > 0))
+            timed, at, end, late = self.placed(pdf, mark)
             if late.any():
                 value = pdf[self.value][late] if self.value is not None else None
                 yield self._out(key, self.late_rows(_times(at[late]).where(timed[late]), pdf[self.tie][late].reset_index(drop=True), value), True)
@@ -196,7 +200,7 @@ class OrderedProcessor(_Processor):
         waiting: dict[int, list[int]] = {}
         for slot, part in self.pending.keys():
             waiting.setdefault(slot, []).append(part)
-        carry, until = (self.state.get() if self.state.exists() else None), None
+        carry = self.state.get() if self.state.exists() else None
         ready = sorted(s for s in waiting if s <= mark)
         for slot in ready:
             lists = [self.pending.getValue((slot, part)) for part in waiting.pop(slot)]
@@ -204,7 +208,6 @@ class OrderedProcessor(_Processor):
             value = np.concatenate([np.asarray(x[2], "float64") for x in lists])
             order = np.lexsort((tie, at))
             carry, out = self.fold(carry, at[order], tie[order], value[order] if len(value) else value)
-            until = int(at[order[-1]])
             if out is not None:
                 yield self._out(key, out, False)
         for slot, part in [k for k in self.pending.keys() if k[0] <= mark]:
@@ -213,8 +216,6 @@ class OrderedProcessor(_Processor):
             self.state.update(carry)
         elif self.state.exists():
             self.state.clear()
-        if (out := self.released(carry, until)) is not None:
-            yield self._out(key, out, False)
         self._set_timer(parts if waiting else 0, -1, min(waiting, default=-1))
 
 
@@ -269,33 +270,126 @@ class AlertProcessor(OrderedProcessor):
 
 
 class HistoryProcessor(OrderedProcessor):
-    """The last ``size`` values of a series; after each release the facts an online forecast needs."""
+    """The last ``size`` values of every series of a bucket; after each release the facts an online forecast needs.
 
-    def __init__(self, keys, ts, tie, slot_seconds, value: str, size: int, window: int):
-        super().__init__(keys, ts, tie, value, slot_seconds)
-        self.size, self.window = size, window
+    A call, a timer and a waiting entry cost the same for one series as for a thousand, so they belong to a bucket of
+    series. An entry holds its series once and its rows as arrays; what is kept lies in blocks of series, so a release
+    reads and writes a block, not a series, and holds ``ROWS`` waiting rows and one slot at most besides.
+    """
 
-    state_schema = _schema(values=T.ArrayType(T.DoubleType()))  # one value, so a release reads and writes it once
+    ROWS = 200_000
+    BLOCKS = 32
 
-    def fold(self, carry, at, tie, value):
-        return ([*(carry[0] if carry else []), *value.tolist()][-self.size :],), None
-
-    def released(self, carry, until):
-        if until is None:
-            return None
-        kept = carry[0]
-        now, before = np.array(kept[-self.window :]), np.array(kept[-2 * self.window : -self.window])
-        return {
-            "n": [len(kept)],
-            "last": [kept[-1]],
-            "ma": [float(now.mean())],
-            "prev": [float(before.mean()) if len(before) else None],
-            "std": [float(now.std())],
-            "until": _times([until]),
-        }
+    def __init__(self, labels: Sequence[str], slot_seconds: int, size: int, window: int):
+        super().__init__(["bucket"], "until", "tie", "value", slot_seconds)
+        self.labels, self.size, self.window = list(labels), size, window
 
-    def late_rows(self, at, tie, value):
-        return {"n": None, "last": value.reset_index(drop=True), "ma": None, "prev": None, "std": None, "until": at}
+    def init(self, handle) -> None:
+        self.handle = handle
+        series = {label: T.ArrayType(T.StringType()) for label in self.labels}
+        waiting = {c: T.BinaryType() for c in ("block", "place", "at", "tie", "value")}
+        kept = {c: T.BinaryType() for c in ("until", "n", "value")}
+        self.pending = handle.getMapState("pending", _schema(slot=LONG, part=LONG), _schema(**series, **waiting))
+        self.kept = handle.getMapState("kept", _schema(block=LONG), _schema(**series, **kept))
+        self.plan = handle.getValueState("plan", _schema(parts=LONG, timer=LONG))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        parts, timer = self.plan.get() if self.plan.exists() else (0, -1)
+        earliest = timer
+        for pdf in rows:
+            pdf = self.judged(pdf).reset_index(drop=True)
+            timed, at, end, late = self.placed(pdf, mark)
+            if late.any():
+                facts = {"n": None, "last": pdf["value"], "ma": None, "prev": None, "std": None, "until": _times(at).where(timed), "late": True}
+                yield pdf[self.labels].assign(**facts)[late]
+            labels = [pdf[c].to_numpy(object) for c in self.labels]
+            series = pdf.groupby(self.labels, dropna=False, sort=False).ngroup().to_numpy()
+            block, tie, value = (pdf[c].to_numpy(d) for c, d in (("block", "int64"), ("tie", "int64"), ("value", "float64")))
+            chosen = np.flatnonzero(~late)
+            order = chosen[np.argsort(end[chosen], kind="stable")]
+            for one in np.split(order, np.flatnonzero(np.diff(end[order])) + 1):
+                if len(one):
+                    slot = int(end[one[0]])
+                    _, first, place = np.unique(series[one], return_index=True, return_inverse=True)
+                    arrays = (block[one[first]], place.astype("int64"), at[one], tie[one], value[one])
+                    self.pending.updateValue((slot, parts), (*(x[one[first]].tolist() for x in labels), *(x.tobytes() for x in arrays)))
+                    parts += 1
+                    earliest = slot if earliest < 0 else min(earliest, slot)
+        self._set_timer(parts, timer, earliest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        parts, _ = self.plan.get()
+        waiting: dict[int, list[int]] = {}
+        for slot, part in self.pending.keys():
+            waiting.setdefault(slot, []).append(part)
+        ready = {s: waiting.pop(s) for s in sorted(waiting) if s <= mark}
+        held, n, blocks = [], 0, set()
+        for slot, slot_parts in ready.items():
+            for part in slot_parts:
+                held.append(self._rows(self.pending.getValue((slot, part))))
+                n += len(held[-1])
+            if n >= self.ROWS:
+                blocks |= self._keep(held)
+                held, n = [], 0
+        if held:
+            blocks |= self._keep(held)
+        if waiting:
+            for slot, slot_parts in ready.items():
+                for part in slot_parts:
+                    self.pending.removeKey((slot, part))
+        else:
+            self.pending.clear()
+        # rows of slots before these were released earlier, so a series whose newest row is older has none now
+        if facts := [self._facts(self.kept.getValue((block,)), min(ready)) for block in sorted(blocks)]:
+            yield pd.concat(facts, ignore_index=True)
+        self._set_timer(parts if waiting else 0, -1, min(waiting, default=-1))
+
+    def _rows(self, entry: tuple) -> pd.DataFrame:
+        block, place, at, tie = (np.frombuffer(x, "int64") for x in entry[-5:-1])
+        labels = {c: np.array(x, object)[place] for c, x in zip(self.labels, entry)}
+        return pd.DataFrame({**labels, "block": block[place], "at": at, "tie": tie, "value": np.frombuffer(entry[-1], "float64")})
+
+    def _keep(self, held: list[pd.DataFrame]) -> set[int]:
+        """Puts rows of complete slots behind what is kept of their series; the blocks changed."""
+        rows = pd.concat(held, ignore_index=True).sort_values(["at", "tie"], kind="stable")
+        changed = set()
+        for block, new in rows.groupby("block", sort=False):
+            stored = self.kept.getValue((int(block),))
+            if stored is not None:
+                until, n = (np.frombuffer(x, "int64") for x in stored[-3:-1])
+                of = np.repeat(np.arange(len(n)), n)
+                labels = {c: np.array(x, object)[of] for c, x in zip(self.labels, stored)}
+                old = pd.DataFrame({**labels, "at": until[of], "value": np.frombuffer(stored[-1], "float64")})
+                new = pd.concat([old, new], ignore_index=True)
+            series = new.groupby(self.labels, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(series, kind="stable")
+            n = np.bincount(series)
+            ends = np.cumsum(n)
+            fresh = np.repeat(ends, n) - np.arange(len(order)) <= self.size
+            value, until = new["value"].to_numpy("float64")[order[fresh]], new["at"].to_numpy("int64")[order[ends - 1]]
+            names = (new[c].to_numpy(object)[order[ends - 1]].tolist() for c in self.labels)
+            self.kept.updateValue((int(block),), (*names, until.tobytes(), np.minimum(n, self.size).tobytes(), value.tobytes()))
+            changed.add(int(block))
+        return changed
+
+    def _facts(self, stored: tuple, since: int) -> pd.DataFrame:
+        until, n = (np.frombuffer(x, "int64") for x in stored[-3:-1])
+        value, ends = np.frombuffer(stored[-1], "float64"), np.cumsum(n)
+        w = self.window
+        ma, std, prev = np.full(len(n), np.nan), np.full(len(n), np.nan), np.full(len(n), np.nan)
+        now, before = np.minimum(n, w), np.clip(n - w, 0, w)
+        for size in np.unique(now):
+            at = np.flatnonzero(now == size)
+            newest = value[(ends[at] - size)[:, None] + np.arange(size)]
+            ma[at], std[at] = newest.mean(axis=1), newest.std(axis=1)
+        for size in np.unique(before[before > 0]):
+            at = np.flatnonzero(before == size)
+            prev[at] = value[(ends[at] - w - size)[:, None] + np.arange(size)].mean(axis=1)
+        frame = pd.DataFrame(dict(zip(self.labels, (np.array(x, object) for x in stored))))
+        frame = frame.assign(n=n, last=value[ends - 1], ma=ma, prev=pd.Series(prev).where(before > 0, None), std=std, until=_times(until), late=False)
+        return frame[self.slot_end(until) >= since]
 
 
 class ZScoreProcessor(OrderedProcessor):
@@ -381,16 +475,29 @@ def stream_alerts(
 
 def stream_history(
     samples: DataFrame, *, keys: Sequence[str] = ("name",), ts: str = "timestamp", tie: str = "seq", value: str = "value", size: int = 1000, window: int = 12,
-    delay: str = "10 minutes", slot_seconds: int = 60,
+    delay: str = "10 minutes", slot_seconds: int = 60, buckets: int = 256,
 ) -> DataFrame:
     """Per series and release the facts for :func:`metriloom.operators.forecast.online_values`.
 
-    A late sample is a row with ``late`` set, its value in ``last`` and its time in ``until``.
+    A late sample is a row with ``late`` set, its value in ``last`` and its time in ``until``. The series are dealt
+    over ``buckets``, whose number stays with the state of a stream.
     """
     df = _ordered(samples, keys, ts, tie, value, delay)
+    labels, hashed = [f"k{i}" for i in range(len(keys))], F.xxhash64(*keys)
+    rows = df.select(
+        F.pmod(hashed, F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.shiftright(hashed, 32), F.lit(HistoryProcessor.BLOCKS)).cast("int").alias("block"),
+        *[F.col(k).cast("string").alias(c) for k, c in zip(keys, labels)],
+        F.coalesce(F.col(tie).cast("long"), F.lit(-1)).alias("tie"),
+        F.col(value).cast("double").alias("value"),
+        TIME,
+    )
     double = T.DoubleType()
-    output = _output(df, keys, n=T.LongType(), last=double, ma=double, prev=double, std=double, until=T.TimestampType(), late=T.BooleanType())
-    return _run(df, keys, HistoryProcessor(keys, ts, tie, slot_seconds, value, size, window), output, "eventtime")
+    names = {c: T.StringType() for c in labels}
+    output = _schema(**names, n=LONG, last=double, ma=double, prev=double, std=double, until=T.TimestampType(), late=T.BooleanType())
+    facts = _run(rows, ["bucket"], HistoryProcessor(labels, slot_seconds, size, window), output, "eventtime")
+    named = [F.col(c).cast(df.schema[k].dataType).alias(k) for k, c in zip(keys, labels)]
+    return facts.select(*named, "n", "last", "ma", "prev", "std", "until", "late")
 
 
 def stream_zscore(

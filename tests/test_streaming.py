@@ -1,8 +1,10 @@
 """Streams over several files and micro-batches against brute force."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from metriloom.operators import store
@@ -162,3 +164,84 @@ def test_registry_batches_equal_one_fold(spark, tmp_path):
     assert sorted(map(str, store.registry_view(jobs.state_version(spark, state)).collect())) == sorted(map(str, store.agent_registry(whole).collect()))
     jobs.registry_batch_writer(state)(whole.limit(0), 2)  # a repeated batch rewrites its own version only
     assert jobs.state_version(spark, state, before=2).count() > 0
+
+
+def test_history_of_many_series_keeps_few_state_rows(spark, tmp_path):
+    """State is kept by buckets of series: the rows of state written are fewer than the series."""
+    rows = [(i % 1500 or None, f"h{i // 1500}", i, START + timedelta(minutes=j), float(i + j)) for i in range(6000) for j in range(3)]
+    rows.append((1, "h0", -1, None, 7.0))
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, "agent long, host string, seq long, timestamp timestamp, value double").write.parquet(folder)
+    stream = jobs.read_table_stream(spark, folder, spark.read.parquet(folder).schema)
+    closed, close = jobs.closed_by(stream, "timestamp", str(tmp_path / "end"))
+    facts = stateful.stream_history(closed, keys=["agent", "host"], size=2, window=2, delay="1 day", slot_seconds=3600)
+    updated = 0
+    for _ in range(2):
+        query = jobs.start(facts, str(tmp_path / "out"), str(tmp_path / "checkpoint"), available_now=True)
+        query.awaitTermination()
+        updated += sum(s["numRowsUpdated"] for p in query.recentProgress for s in p["stateOperators"])
+        close()
+    out = spark.read.schema(facts.schema).parquet(str(tmp_path / "out")).collect()
+    assert [(r["agent"], r["host"], r["last"], r["until"]) for r in out if r["late"]] == [(1, "h0", 7.0, None)]
+    got = {(r["agent"], r["host"]): (r["n"], r["last"], r["ma"], r["prev"], r["std"], r["until"]) for r in out if not r["late"]}
+    assert len(got) == len(out) - 1 == 6000
+    assert got == {(i % 1500 or None, f"h{i // 1500}"): (2, i + 2.0, i + 1.5, None, 0.5, START + timedelta(minutes=2)) for i in range(6000)}
+    assert updated < 6000  # four a series, when each had a state of its own
+
+
+class Held:
+    """State of one grouping key in a dict."""
+
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):
+        held = self.states.setdefault(name, {})
+        calls = {"getValue": held.get, "updateValue": held.__setitem__, "removeKey": held.pop, "clear": held.clear, "keys": lambda: list(held)}
+        return SimpleNamespace(**calls)
+
+    def getValueState(self, name, *_):
+        held = self.states.setdefault(name, {})
+        return SimpleNamespace(exists=lambda: bool(held), get=lambda: held[0], update=lambda x: held.update({0: x}))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 50, 10_000])
+def test_history_releases_in_parts(rows_at_once):
+    """Any number of rows read at once gives the same facts: one row per series and release, of complete slots only."""
+    rng = np.random.default_rng(8)
+    n, minute = 400, 60_000_000
+    frame = pd.DataFrame({"bucket": 0, "k0": rng.choice(["a", "b", None], n), "tie": np.arange(n), "value": rng.integers(0, 50, n).astype(float)})
+    frame["block"] = frame["k0"].eq("a").astype(int)
+    frame[stateful.TIME] = rng.integers(0, 100, n) * minute
+    frame.loc[frame["k0"].eq("b") & (frame[stateful.TIME] < 50 * minute), stateful.TIME] += 50 * minute  # b has rows in the second half only
+    processor, handle = stateful.HistoryProcessor(["k0"], 600, 30, 12), Held()
+    processor.ROWS = rows_at_once
+    processor.init(handle)
+    clock = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert not list(processor.handleInputRows((0,), iter([frame[:150].copy(), frame[150:].copy()]), clock(0)))
+    mark = 0
+    for until in (30, 60, 65, 10_000):
+        mark = until * 60_000
+        due = [x for x in handle.timers if x <= mark]
+        out = []
+        if due:
+            handle.timers -= set(due)
+            out = [r for f in processor.handleExpiredTimer((0,), clock(mark), None) for r in f.to_dict("records")]
+        complete = frame[frame[stateful.TIME] < until // 10 * 10 * minute]
+        new = complete[complete[stateful.TIME] >= {30: 0, 60: 30, 65: 60, 10_000: 60}[until] * minute]
+        names = {None if k is None else k for k in new["k0"]}
+        assert {r["k0"] for r in out} == names and len(out) == len(names)
+        for r in out:
+            own = complete[complete["k0"].isna() if r["k0"] is None else complete["k0"].eq(r["k0"])].sort_values([stateful.TIME, "tie"])
+            values = own["value"].to_numpy()[-30:]
+            assert (r["n"], r["last"], r["ma"]) == (len(values), values[-1], values[-12:].mean()) and r["std"] == pytest.approx(values[-12:].std())
+            assert r["prev"] == values[-24:-12].mean() and r["until"] == pd.Timestamp(own[stateful.TIME].max(), unit="us")
+    assert not handle.timers and not handle.states["pending"]
+    late = frame[:1].copy()
+    assert [x["late"].tolist() for x in processor.handleInputRows((0,), iter([late]), clock(mark))] == [[True]]
