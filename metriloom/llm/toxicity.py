@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from metriloom.llm.frames import small_batches, texts
+from metriloom.llm.frames import forget_kept, small_batches, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -157,6 +157,7 @@ def _document_frequencies(docs: DataFrame, text: str, terms: dict[str, int]) ->
     """How many of all documents hold each term of the vocabulary, and how many there are."""
 
     def run(batches):
+        forget_kept()
         found, n, known = np.zeros(len(terms), dtype=np.int64), 0, {}
         for batch in batches:
             for t in texts(batch.column(0)):
@@ -253,6 +254,7 @@ def score(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        forget_kept()
         known: dict = {}
         for batch in batches:
             found = [index.score(t, known) for t in texts(batch.column(batch.schema.get_field_index(text)))]

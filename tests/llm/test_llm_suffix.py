@@ -1,12 +1,15 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpora import SCHEMA, awkward, prose
 from pyspark.sql import functions as F
 
 from metriloom.llm import suffix
+from metriloom.llm.frames import forget_kept, kept_by_worker
 
 LENGTH = 400
 
@@ -106,3 +109,56 @@ def test_clashing_columns_null_ids_and_empty_table(spark):
     n = len(t.encode())
     assert sorted((r["n_bytes"], r["n_removed"]) for r in out.collect()) == [(0, 0), (n, n), (n, n)]
     assert suffix.remove_repeats(spark.createDataFrame([], SCHEMA)).agg(F.count("*")).first()[0] == 0
+
+
+def test_classes_over_several_arrays_name_equal_windows():
+    pieces = [t.encode() for t in corpus() if len(t.encode()) >= LENGTH]
+    segment, inside, names = suffix.window_classes(pieces, LENGTH, 5_000)
+    assert sum(map(len, pieces)) > 50_000  # many arrays
+    texts = {}
+    for s, i, n in zip(segment.tolist(), inside.tolist(), names.tolist()):
+        texts.setdefault(n, set()).add(pieces[s][i : i + LENGTH])
+    assert len(segment) == sum(len(p) - LENGTH + 1 for p in pieces)
+    assert all(len(v) == 1 for v in texts.values())
+    assert len(texts) == len({w for v in texts.values() for w in v})
+
+
+class Batches:
+    """Stands for a table: gives the function that tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_of_an_anchor_with_many_segments():
+    rng = np.random.default_rng(5)
+    rows = np.tile(rng.integers(97, 123, 560, dtype=np.uint8), (5_000, 1))
+    rows[np.arange(len(rows)), rng.integers(0, 560, len(rows))] = rng.integers(0, 97, len(rows))
+    pieces = [r.tobytes() for r in rows]
+    n = len(pieces)
+    long, short = np.zeros(n, np.int64), np.zeros(n, np.int32)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(long), pa.array(long), pa.array(long + 1), pa.array(long > 0), pa.array(np.arange(n)), pa.array(long), pa.array(short), pa.array(pieces, pa.binary())],
+        names=["anchor", "shard", "shards", "known", "_k1", "_k2", "first", "piece"],
+    )
+    run = suffix._solve(Batches(), LENGTH)
+    tracemalloc.start()
+    out = pa.Table.from_batches(run(iter([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    segment, inside, names = suffix.repeated_starts(pieces)
+    many = np.bincount(names)[names] > 1
+    want = zip(*(x.tolist() for x in suffix._runs(segment[many], inside[many])))
+    assert set(out["kind"]) == {0} and sorted(zip(out["_k1"], out["first"], out["last"])) == sorted(want)
+    assert peak < 50 * sum(map(len, pieces))
+
+
+def test_kept_objects_are_given_up():
+    made = []
+    kept_by_worker("one", lambda: made.append(1))
+    kept_by_worker("one", lambda: made.append(1))
+    forget_kept()
+    forget_kept()
+    kept_by_worker("one", lambda: made.append(1))
+    forget_kept()
+    assert len(made) == 2
